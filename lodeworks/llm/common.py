@@ -35,3 +35,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def words(text: Column) -> Column:
     """The words of a text, an array; nothing for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once a row however often use names it."""
+    return F.transform(F.array(value), use)[0]

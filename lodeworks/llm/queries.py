@@ -21,5 +21,36 @@ def op9_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), F.col("cuts")[0].alias("chars_in_limit"))
 
 
-QUERIES = {"op5_packing": op5_packing, "op9_prefix_tokens": op9_prefix_tokens}
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets, spelled
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
+        spelled(F.array_sort(F.concat("base", "extra"))).alias("spans"), F.size("extra").cast("long").alias("n_random"),
+    )
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("rejected_by", ",").alias("rejected_by"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", F.transform("draws", lambda d: d["shard"]).alias("shards"))
+
+
+QUERIES = {f.__name__: f for f in (op2_secrets, op3_minhash, op5_packing, op6_quality, op8_mixing, op9_prefix_tokens)}
 ORACLES: dict[str, str] = {}

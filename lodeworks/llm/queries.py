@@ -52,5 +52,74 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op3_minhash, op5_packing, op6_quality, op8_mixing, op9_prefix_tokens)}
-ORACLES: dict[str, str] = {}
+#: Tools that op1 reads into chats without tool messages, one after the other.
+TOOLS = ("search", "lookup", "summarise")
+_ARGUMENTS = {"query": {"type": "string", "minLength": 1}, "words": {"type": "integer", "minimum": 1, "maximum": 60}}
+SCHEMAS = {name: {"type": "object", "required": ["query", "words"], "properties": _ARGUMENTS, "additionalProperties": False} for name in TOOLS}
+
+
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chats hold no tool messages, so each user turn stands for a call, and the assistant's turn after it for its
+    result; two calls of three need the user turn before."""
+    from .common import words
+    from .tool_calls import link
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    k = F.floor(F.col("turn") / 2) % 3
+    name = lambda shift: F.concat(F.lit("call_"), (F.col("turn") - shift).cast("string"))
+    arguments = F.to_json(F.struct(F.size(words(F.col("text"))).alias("words"), F.coalesce("text", F.lit("")).alias("query")))
+    calls = turns.where("role = 'user'").select("conv_id", name(0).alias("call_id"), "turn", F.get(F.array(*map(F.lit, TOOLS)), k).alias("name"), arguments.alias("arguments"), F.when(k > 0, F.array(name(2))).alias("needs"))
+    results = turns.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), "turn", F.coalesce("text", F.lit("")).alias("content"))
+    found = link(calls, results, SCHEMAS)
+    return found.select("conv_id", "call_id", "call_turn", "result_turn", F.col("level").cast("long").alias("level"), "status", F.array_join("errors", ";").alias("errors"), "message")
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"), F.array_join("licenses", ",").alias("licenses"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second replica has a byte too many in some records and has lost the payload of others."""
+    from .fixity import audit, warc_record
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rotten = F.when(F.col("page_id") % 997 == 11, "").when(F.col("page_id") % 97 == 5, F.concat("html", F.lit(" "))).otherwise(F.col("html"))
+    found = audit(pages, warc_record(F.col("url"), F.col("html")), warc_record(F.col("url"), rotten), "page_id")
+    return found.select("page_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("offset").cast("long").alias("offset"), "n_bytes", "digest", "damaged")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_tool_calls, op2_secrets, op3_minhash, op4_licenses, op5_packing, op6_quality, op7_nearest, op8_mixing, op9_prefix_tokens, op10_fixity)
+}
+
+ORACLES: dict[str, str] = {
+    "op1_tool_calls": """
+with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations),
+c as (select conv_id, turn, text, (turn // 2) % 3 as k, len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as n from t where role = 'user'),
+r as (select conv_id, turn, text from t where role = 'assistant'),
+l as (select c.*, case when c.k = 0 or p.turn is null then 0 when p.k = 0 or g.turn is null then 1 else 2 end as level
+  from c left join c p on p.conv_id = c.conv_id and p.turn = c.turn - 2 left join c g on g.conv_id = c.conv_id and g.turn = c.turn - 4)
+select coalesce(l.conv_id, r.conv_id) as conv_id, 'call_' || coalesce(l.turn, r.turn - 1) as call_id, l.turn as call_turn, r.turn as result_turn, l.level::bigint as level,
+  case when l.turn is null then 'orphan' when l.text = '' or l.n not between 1 and 60 then 'invalid' when r.turn is null then 'pending' else 'ok' end as status,
+  case when l.turn is null then '' else concat_ws(';', case when l.text = '' then '$.query: too short' end, case when l.n not between 1 and 60 then '$.words: out of range' end) end as errors,
+  '{' || case when l.turn is null then '' else '"call":{"arguments":{"query":' || to_json(l.text)::varchar || ',"words":' || l.n || '},"name":"' || ['search', 'lookup', 'summarise'][l.k + 1] || '"},' end
+  || '"id":"call_' || coalesce(l.turn, r.turn - 1) || '"' || case when r.turn is null then '' else ',"result":' || to_json(r.text)::varchar end || '}' as message
+from l full outer join r on r.conv_id = l.conv_id and r.turn = l.turn + 1""",
+    "op10_fixity": """
+with w as (select page_id, 'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: ' as head, coalesce(url, '') as url, coalesce(html, '') as html,
+  case when page_id % 997 = 11 then '' when page_id % 97 = 5 then coalesce(html || ' ', '') else coalesce(html, '') end as bad from pages),
+r as (select page_id, replace(replace(head || url || '\r\nContent-Type: text/html\r\nContent-Length: ' || strlen(html) || '\r\n\r\n', '\r', chr(13)), '\n', chr(10)) || html || chr(13) || chr(10) || chr(13) || chr(10) as rec, html <> bad as damaged from w),
+d as (select page_id, strlen(rec)::bigint as n_bytes, sha256(rec) as digest, damaged from r)
+select page_id, (row_number() over o - 1)::bigint as ordinal, coalesce(sum(n_bytes) over (order by page_id, digest rows between unbounded preceding and 1 preceding), 0)::bigint as "offset", n_bytes, digest, damaged
+from d window o as (order by page_id, digest)""",
+}

@@ -40,3 +40,8 @@ def words(text: Column) -> Column:
 def let(value: Column, use) -> Column:
     """use(value), with the value worked out once a row however often use names it."""
     return F.transform(F.array(value), use)[0]
+
+
+def carried(columns: tuple[str, ...]) -> list[Column]:
+    """Input columns under names of their own, so that they can't clash with an operator's."""
+    return [F.col(c).alias(f"carried_{c}") for c in columns]

@@ -15,7 +15,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, words, written
+from .common import SPACE, carried, let, words, written
 
 #: Documents in a part of a source's line, roughly, and blocks of a source at most for each shard.
 PART, BLOCKS = 256, 1024
@@ -83,15 +83,15 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, repeat: int = 2, seed: int = 20, shard_words: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: id, size (words), source, source_size, target, taken, draws, and the columns in `carry`.
+    """One row a document: id, size (words), source, source_size, target, taken, draws, and the columns in `carry`
+    under names that begin with carried_.
 
     draws: array of (pass, shard, words, place); words is below size only where a source's target ends within the
     document. A null text has no words; null ids and sources are kept; repeated rows are documents of their own;
     an empty table gives an empty one.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACE.replace("[", "[^"))).cast("long")
-    taken_in = [F.col(c).alias(f"own_{c}") for c in carry]
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), *taken_in), "mixing-sizes")
+    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"), *carried(carry)), "mixing-sizes")
     sums = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mixing-sources")
     all_docs, all_words, sources = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
     parts = 2 ** max(0, ceil(log2(max(1, all_docs / PART))))
@@ -109,11 +109,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     plan = written(plan.join(ends, "place").select(F.col("source").alias("s"), "source_size", "target", "aim", "block", "blocks", "ends"), "mixing-dealt")
 
     part = F.floor((F.col("h").cast("double") + 9.223372036854775807e18) / 1.8446744073709551616e19 * parts).cast("int")
-    placed = sized.withColumn("part", part)
-    sub = placed.groupBy("source", "part").agg(F.sum("size").alias("n"))
-    sub = sub.select(F.col("source").alias("s"), F.col("part").alias("p"), (F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).alias("ahead"))
-    within = F.sum("size").over(Window.partitionBy("source", "part").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    lined = placed.withColumn("within", within).join(sub, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).drop("s", "p")
+    named = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
+    placed = sized.withColumns({"part": part, "name": named})
+    sub = placed.groupBy("name", "part").agg(F.sum("size").alias("n"))
+    sub = sub.select("name", "part", (F.sum("n").over(Window.partitionBy("name").orderBy("part")) - F.col("n")).alias("ahead"))
+    within = F.sum("size").over(Window.partitionBy("name", "part").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    lined = placed.withColumn("within", within).join(sub, ["name", "part"])
     side = F.broadcast(plan) if sources <= BROADCAST_SOURCES else plan
     known = lined.join(side, F.col("source").eqNullSafe(F.col("s"))).withColumn("at", F.col("ahead") + F.col("within"))
 
@@ -126,11 +127,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     drawn = [draw(p) for p in range(repeat)]
     out = known.withColumn("draws", F.filter(F.array(*drawn), lambda d: d["words"] > 0))
     taken = F.aggregate("draws", F.lit(0).cast("bigint"), lambda s, d: s + d["words"])
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", taken.alias("taken"), "draws", *(F.col(f"own_{c}").alias(c) for c in carry if c not in (id_col, source_col)))
+    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", taken.alias("taken"), "draws", *(f"carried_{c}" for c in carry))
 
 
-def mixed_rows(mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """A row for each draw of `mix` (with the text carried), shard by shard in shuffled order; cut texts are cut."""
-    rows = mixed.select("*", F.explode("draws").alias("d"))
-    cut = F.when(F.col("d.words") < F.col("size"), F.array_join(F.slice(words(F.col(text_col)), 1, F.col("d.words").cast("int")), " ")).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, cut).repartition("d.shard", "d.pass", F.pmod(F.col("d.place"), F.lit(64))).sortWithinPartitions("d.shard", "d.place")
+def mixed_rows(mixed: DataFrame, columns: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """A row for each draw of `mix` with the columns that it carried, shard by shard in shuffled order. A document in
+    which a source's target ends is cut to its first words."""
+    rows = mixed.select("size", F.explode("draws").alias("d"), *(f"carried_{c}" for c in columns))
+    text = F.col(f"carried_{text_col}")
+    cut = F.when(F.col("d.words") < F.col("size"), F.array_join(F.slice(words(text), 1, F.col("d.words").cast("int")), " ")).otherwise(text)
+    out = rows.select("d.shard", "d.place", *(cut.alias(c) if c == text_col else F.col(f"carried_{c}").alias(c) for c in columns))
+    return out.repartition("shard", F.pmod("place", F.lit(16))).sortWithinPartitions("shard", "place").select(*columns)

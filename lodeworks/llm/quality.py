@@ -10,7 +10,7 @@ good documents. Where labels are too few, nothing is certified and nothing is re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, words, written
+from .common import carried, let, words, written
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -43,7 +43,7 @@ def repeated_words(w: Column) -> Column:
     return let(w, counted)
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, stratum and the counts that the rules use, over the whole text; a null text has no words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, WHITE, "") != "")
@@ -51,9 +51,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     by_word = let(words(F.col(text_col)), lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     whole = docs.select(
         F.col(id_col).alias("id"), F.col(stratum_col).alias("stratum"), F.length(F.translate(text, WHITE, "")).alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"), by_word.alias("w"), counted.alias("l"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"), by_word.alias("w"), counted.alias("l"), *carried(carry),
     )
-    return whole.select("id", "stratum", *(F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")))
+    return whole.select("id", "stratum", *(F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")), *(f"carried_{c}" for c in carry))
 
 
 def binomial_below(n: Column, k: Column, p: float) -> Column:
@@ -83,8 +83,9 @@ def cutoffs(scored: DataFrame, good: DataFrame, risk: float, error: float) -> Da
     return certified.groupBy("stratum", "rule").agg(F.min("cut").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """One row a document: id, the counts of `features`, base_failed, rejected_by (rules, an array), kept.
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: id, the counts of `features`, base_failed, rejected_by (rules, an array), kept; the columns
+    in `carry` under names that begin with carried_.
 
     labels: id_col and quality; a document whose rows all have quality 1 is good. A null stratum is one of its own.
     Null texts have no words and fail; repeated rows count each; an empty table of either kind is no error. Other
@@ -92,7 +93,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float =
     """
     scores = F.array(*(F.expr(s).cast("double") for s, _ in RULES.values()))
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    scored = written(features(docs, id_col, text_col, stratum_col).withColumns({"scores": scores, "base_failed": base}), "quality")
+    scored = written(features(docs, id_col, text_col, stratum_col, carry).withColumns({"scores": scores, "base_failed": base}), "quality")
     good = labels.groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q")).where("q = 1").select("id")
     chosen = cutoffs(scored.where("not base_failed").select("id", "stratum", "scores"), good, risk, error)
     # A certified row takes hundreds of labelled documents, so there are few; the null stratum is spelled apart.
@@ -100,4 +101,4 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float =
     limits = chosen.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(key(F.col("stratum")), F.lit("/"), F.col("rule")), "cutoff")))).scalar()
     rejected = F.array_compact(F.array(*(F.when(F.get("scores", F.lit(r)) > F.try_element_at(F.col("limits"), F.concat(key(F.col("stratum")), F.lit(f"/{r}"))), name) for r, name in enumerate(RULES))))
     out = scored.withColumn("limits", limits).withColumn("rejected_by", rejected)
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), *(f"carried_{c}" for c in carry))

@@ -12,7 +12,7 @@ expected to be natural. All of it is DataFrame expressions; positions are code p
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import carried, let, written
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -134,8 +134,9 @@ def _judged(span: Column) -> Column:
     return let(encoding, lambda e: F.struct(span["start"], span["kind"], span["end"], F.when(e.isNotNull(), tested(e)).alias("test")))
 
 
-def scan_secrets(docs: DataFrame, rate: float = 0.01, level: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, base and extra, arrays of (start, kind, end) by start, then kind (an index in KINDS).
+def scan_secrets(docs: DataFrame, rate: float = 0.01, level: float = 0.01, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: id, base and extra, arrays of (start, kind, end) by start, then kind (an index in KINDS);
+    the columns in `carry` under names that begin with carried_.
 
     rate: of the extra spans of each class of length, the share that may be natural. level: below this p-value a
     candidate is not random. Null texts count as empty; ids are only passed on; other columns are not read. An
@@ -149,11 +150,12 @@ def scan_secrets(docs: DataFrame, rate: float = 0.01, level: float = 0.01, id_co
         _found(text, ACCESS, 1, text.contains("AKIA")),
         _found(text, HEX, 2, text.rlike(HEX)),
     )
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried(carry))
+    kept = [f"carried_{c}" for c in carry]
     spans = F.transform(base, lambda s: F.struct(s["start"], s["kind"], s["end"]))
     free = lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-    first = source.select("id", "text", F.array_sort(spans).alias("base"))
-    second = first.select("id", "base", F.transform(F.filter(_found(text, CANDIDATE, 3, text.rlike(CANDIDATE)), free), _judged).alias("candidates"))
+    first = source.select("id", "text", F.array_sort(spans).alias("base"), *kept)
+    second = first.select("id", "base", F.transform(F.filter(_found(text, CANDIDATE, 3, text.rlike(CANDIDATE)), free), _judged).alias("candidates"), *kept)
     seen = written(second, "secrets")
 
     tested = seen.select(F.explode("candidates").alias("c")).where("c.test is not null").groupBy("c.test.group", "c.test.step").count()
@@ -163,10 +165,22 @@ def scan_secrets(docs: DataFrame, rate: float = 0.01, level: float = 0.01, id_co
     cut = cuts.agg(F.map_from_entries(F.collect_list(F.struct("group", "cut")))).scalar()  # a row for each class at most
     passes = lambda c: c["test"].isNotNull() & (c["test"]["p_random"] >= level) & (c["test"]["step"] >= F.coalesce(F.try_element_at(F.col("cut"), c["test"]["group"]), F.lit(STEPS + 1)))
     extra = F.transform(F.filter("candidates", passes), lambda c: F.struct(c["start"], c["kind"], c["end"]))
-    return seen.select("id", "base", "candidates", cut.alias("cut")).select(F.col("id").alias(id_col), "base", extra.alias("extra"))
+    return seen.select("id", "base", "candidates", cut.alias("cut"), *kept).select(F.col("id").alias(id_col), "base", extra.alias("extra"), *kept)
 
 
 def spelled(spans: Column) -> Column:
     """Spans as kind:start:end, joined by commas."""
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+
+def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with each span, or run of overlapping spans, replaced by a mark. spans: sorted by start."""
+
+    def step(acc: Column, s: Column) -> Column:
+        new = s["start"] >= acc["at"]
+        grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, grown).otherwise(acc["out"]).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest))

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
     conf = spark.sparkContext.getConf()
     found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lodeworks-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return found.rstrip("/") if found else _own_dir(spark.sparkContext.applicationId)
+
+
+@lru_cache
+def _own_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix=f'lodeworks-{application}-')}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -5,10 +5,14 @@ of 128 values costs 64 hashes a shingle. 32 bands of two permutations, four valu
 documents with a similarity of 0.75 share one with a probability above 0.99999.
 
 Equal word sequences count once. In each bucket, all documents are held against the smallest, on their full
-shingle sets; links make components. Where a bucket then still spans several components, all but its largest
-component's documents are held against the bucket's documents of other components, too, so no candidate pair stays
-undecided unless it is already in one component. Pairs that a 128-bit sketch of the signatures shows to be far
-apart (less than one in a million of those with a similarity of 0.75) are left out inside the join.
+shingle sets; links make components. Where a bucket then still spans several components, further turns follow: its
+documents are held against the one that shares most shingles with other components, then against one picked by
+hash, and at last all but its largest component's documents against those of other components. So no candidate
+pair stays undecided unless it is already in one component. What can't be linked drops out before pairs are made,
+by an exact bound: two documents have no more in common than the lesser of them shares with other components at
+all. In these turns the sets are compared inside the join, so that it gives links, not candidates. Pairs that a 128-bit sketch of the signatures shows to be far apart (less than one in a million of those with
+a similarity of 0.75) are left out inside the join, too. So a large family of loose variants, of which many are
+close to a few and to none else, makes as many pairs as it has members for each turn, not their square.
 """
 
 from collections.abc import Iterator
@@ -28,6 +32,8 @@ PERMUTATIONS = 64
 BANDS = 32
 #: Differing bits of two sketches at most; with a similarity of 0.75, 16 of 128 are expected.
 FAR = 35
+#: Turns in which a bucket's documents are held against one of them, after the first.
+TURNS = 2
 #: Ids up to which a filter is broadcast (some MB); beyond that it is a shuffled semi-join.
 BROADCAST_ROWS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -107,15 +113,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(sign, f"id {kind}, n_shingles long, key binary, s0 long, s1 long, bands array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    pairs = written(pairs, "minhash-pairs")
-    wanted = pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))).distinct()
-    wanted = written(wanted, "minhash-wanted")
-    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = written(docs.select(id_col, text_col).join(small, id_col, "left_semi"), "minhash-texts")
-    side = lambda k: texts.select(F.col(id_col).alias(k), F.col(text_col).alias(f"text_{k}"))
-    kind = docs.schema[id_col].dataType.simpleString()
+def _confirmed(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough. texts: id, text."""
+    side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
+    kind = texts.schema["id"].dataType.simpleString()
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = lru_cache(128)(lambda text: shingles(word_list(text)))
@@ -131,37 +132,74 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, least: int, id_col: str, text_
     return written(both.mapInArrow(confirm, f"a {kind}, b {kind}").distinct(), "minhash-links")
 
 
+def _bridging(labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, shared, own): those of a document's shingles that other components have, too, and their number.
+    labels: rep, label."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(word_list(t)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rep", "s"])
+
+    each = texts.mapInArrow(cut, f"rep {kind}, s array<long>").join(labels, "rep").select("rep", "label", F.explode("s").alias("shingle"))
+    wide = each.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
+    return written(each.join(wide, "shingle").groupBy("rep").agg(F.count("*").alias("shared"), F.collect_set("shingle").alias("own")), "minhash-shared")
+
+
 def near_duplicates(docs: DataFrame, least: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component_id, kept (whether it is its component's smallest id).
 
     least: the similarity in hundredths from which documents are linked. Documents without words are their own
-    component. Rows that share an id are one document in what they are linked with; a null id is never linked to
-    through itself and gets the smallest id of its copies. Other columns of the input are not read.
+    component. Rows that share an id but not a text are one document, linked in the first turn only; a null id is
+    never linked to through itself and gets the smallest id of its copies. Other columns of the input are not read.
     """
     signed = written(signatures(docs, id_col, text_col), "minhash-signed")
     reps = written(signed.where("key is not null").groupBy("key", "n_shingles", "s0", "s1", "bands").agg(F.min("id").alias("rep")), "minhash-reps")
     rows = reps.where("rep is not null").select("rep", F.explode("bands").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = written(rows.join(hubs, "bucket").select("bucket", "rep", "hub", "n"), "minhash-members")
+    wanted = written(members.select(F.col("rep").alias(id_col)).distinct(), "minhash-wanted")
+    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = written(docs.select(id_col, text_col).join(small, id_col, "left_semi").toDF("id", "text"), "minhash-texts")
     known = reps.where("rep is not null").groupBy("rep").agg(F.min("n_shingles").alias("n_min"), F.max("n_shingles").alias("n_max"), F.min("s0").alias("s0"), F.min("s1").alias("s1"), F.count("*").alias("texts"))
-    own = lambda k: known.select(*(F.col(c).alias(c if c == "rep" else f"{c}_{k}") for c in known.columns)).withColumnRenamed("rep", k)
+    side = lambda df, k, keep=(): df.select(*keep, *(F.col(c).alias(k if c == "rep" else f"{c}_{k}") for c in df.columns if c not in keep))
     # Rows that share an id but not a text can't be judged by one sketch: such pairs go to the full sets.
-    near = F.expr(f"(texts_a > 1 or texts_b > 1 or (100 * n_min_a >= {least} * n_min_b and 100 * n_min_b >= {least} * n_min_a and bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) <= {FAR}))")
+    near = f"(texts_a > 1 or texts_b > 1 or (100 * n_min_a >= {least} * n_min_b and 100 * n_min_b >= {least} * n_min_a and bit_count(s0_a ^ s0_b) + bit_count(s1_a ^ s1_b) <= {FAR}))"
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(stars.join(own("a"), "a").join(own("b"), "b").where(near).select("a", "b"), docs, least, id_col, text_col)
+    links = _confirmed(stars.join(side(known, "a"), "a").join(side(known, "b"), "b").where(near).select("a", "b"), texts, least)
     found = components(links)
 
-    marked = members.where("n > 2").join(found, members.rep == found.node, "left").select("bucket", "rep", "hub", F.coalesce("component", "rep").alias("label"))
-    spread = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    open_rows = written(marked.join(spread, "bucket"), "minhash-open")
-    if not open_rows.isEmpty():
-        most = open_rows.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label"))["label"].alias("most"))
-        full = open_rows.where("rep <> hub").join(known, "rep").join(most, "bucket")
-        at = lambda k: full.select("bucket", *(F.col(c).alias(k if c == "rep" else f"{c}_{k}") for c in full.columns if c not in ("bucket", "hub")))
-        rest = at("a").where("label_a <> most_a").join(at("b"), "bucket").where("label_a <> label_b and (label_b = most_b or a < b)").where(near)
-        more = _confirmed(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, least, id_col, text_col)
+    shared = None
+    for turn in range(TURNS + 1):
+        spread = lambda df: df.join(df.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("n_min").alias("least_n")).where("lo <> hi").select("bucket", "least_n"), "bucket")
+        marked = members.where("n > 2").join(found, members.rep == found.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label")).join(known.where("texts = 1"), "rep")
+        if shared is None:
+            open_rows = written(spread(marked), "minhash-open")
+            if open_rows.isEmpty():
+                break
+            shared = _bridging(open_rows.select("rep", "label").distinct(), texts)
+        # Documents that share too few shingles with other components can't be linked to one of the bucket's sizes.
+        kept = spread(marked.join(shared, "rep")).where(f"{100 + least} * shared >= {least} * (n_min + greatest(ceil({least} * n_min / 100), least_n))").drop("least_n")
+        kept = written(spread(kept).drop("least_n"), "minhash-open")
+        if kept.isEmpty():
+            break
+        at_a, at_b = (side(kept, k, ("bucket",)) for k in "ab")
+        if turn < TURNS:  # by turns the document that shares most, and any one
+            rank = F.struct("shared", "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep"))
+            at_a = at_a.join(kept.groupBy("bucket").agg(F.max(rank)["rep"].alias("a")), ["bucket", "a"])
+            once = F.lit(True)
+        else:
+            sizes = kept.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label"))["label"].alias("most"))
+            at_a = at_a.join(sizes, "bucket").where("label_a <> most")
+            once = F.expr("label_b = most or a < b")
+        overlap = f"{100 + least} * least(shared_a, shared_b) >= {least} * (n_min_a + n_min_b)"
+        linked = f"{100 + least} * size(array_intersect(own_a, own_b)) >= {least} * (n_min_a + n_min_b)"  # cheap tests first
+        pairs = at_a.join(at_b, (at_a["bucket"] == at_b["bucket"]) & once & F.expr(f"label_a <> label_b and {overlap} and {near} and {linked}"))
+        more = written(pairs.select("a", "b").distinct(), "minhash-links")
         if not more.isEmpty():
-            found = components(links.union(more))
+            links = links.union(more)
+            found = components(links)
     named = reps.join(found, reps.rep == found.node, "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.coalesce("component", "id"))

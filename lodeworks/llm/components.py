@@ -17,16 +17,20 @@ def _small(e: DataFrame) -> DataFrame:
     return e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
 
 
+#: Edges up to which one task does the steps (some MB); beyond, they are shuffled.
+SMALL = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b) that are not the smallest of their component.
 
     Each step links neighbours to the smallest of them and keeps the components; steps end when nothing changes.
     The minimum of a node's neighbours is combined before the shuffle, so a node with very many is no burden.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    before, small = None, e.count() <= SMALL
     while True:
-        e = written(_small(_large(e)).where("u <> v").distinct(), "components")
+        e = written(_small(_large(e.coalesce(1) if small else e)).where("u <> v").distinct(), "components")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -6,8 +6,8 @@ documents with a similarity of 0.75 share one with a probability above 0.99999.
 
 Equal word sequences count once. In each bucket, all documents are held against the smallest, on their full
 shingle sets; links make components. Where a bucket then still spans several components, further turns follow: its
-documents are held against the one that shares most shingles with other components, then against one picked by
-hash, and at last all but its largest component's documents against those of other components. So no candidate
+documents are held against the one that shares most shingles with other components, and at last all but its largest
+component's documents against those of other components. So no candidate
 pair stays undecided unless it is already in one component. What can't be linked drops out before pairs are made,
 by an exact bound: two documents have no more in common than the lesser of them shares with other components at
 all. In these turns the sets are compared inside the join, so that it gives links, not candidates. Pairs that a 128-bit sketch of the signatures shows to be far apart (less than one in a million of those with
@@ -33,7 +33,7 @@ BANDS = 32
 #: Differing bits of two sketches at most; with a similarity of 0.75, 16 of 128 are expected.
 FAR = 35
 #: Turns in which a bucket's documents are held against one of them, after the first.
-TURNS = 2
+TURNS = 1
 #: Ids up to which a filter is broadcast (some MB); beyond that it is a shuffled semi-join.
 BROADCAST_ROWS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -185,9 +185,8 @@ def near_duplicates(docs: DataFrame, least: int = 75, id_col: str = "doc_id", te
         if kept.isEmpty():
             break
         at_a, at_b = (side(kept, k, ("bucket",)) for k in "ab")
-        if turn < TURNS:  # by turns the document that shares most, and any one
-            rank = F.struct("shared", "rep") if turn == 0 else F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep"))
-            at_a = at_a.join(kept.groupBy("bucket").agg(F.max(rank)["rep"].alias("a")), ["bucket", "a"])
+        if turn < TURNS:  # the document that shares most
+            at_a = at_a.join(kept.groupBy("bucket").agg(F.max(F.struct("shared", "rep"))["rep"].alias("a")), ["bucket", "a"])
             once = F.lit(True)
         else:
             sizes = kept.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label"))["label"].alias("most"))

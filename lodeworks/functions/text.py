@@ -164,9 +164,9 @@ def specificity(c: Column, patterns: list[str] = vocab.SPECIFICS) -> Column:
     return let(F.lower(text(c)), lambda t: sum((t.rlike(p).cast("int") for p in patterns), F.lit(0)))
 
 
-def extractive_summary(c: Column, pool: list[str], regions: list[str] = ["georgia", "southeast"], count: int = 4, limit: int = 750) -> Column:  # noqa: B006
+def extractive_summary(c: Column, pool: list[str], regions: list[str] = ["georgia", "southeast"], count: int = 4, limit: int = 750, specifics: list[str] = vocab.SPECIFICS) -> Column:  # noqa: B006
     """The first sentence and the best others, in their order: keywords, numbers and specifics score."""
-    score = lambda s: keyword_count(s, pool) + 0.6 * F.size(F.regexp_extract_all(F.lower(s), F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0))) + 0.6 * specificity(s) + F.when(keyword_count(s, regions) > 0, 1.0).otherwise(0.0)
+    score = lambda s: keyword_count(s, pool) + 0.6 * F.size(F.regexp_extract_all(F.lower(s), F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0))) + 0.6 * specificity(s, specifics) + F.when(keyword_count(s, regions) > 0, 1.0).otherwise(0.0)
 
     def pick(s: Column) -> Column:
         ranked = F.array_sort(F.transform(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda x, i: F.struct((-score(x)).alias("k"), (i + 1).alias("i"))))

@@ -1,14 +1,15 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; the driver of a run writes each
-stage's rows and reads them again. Counted as part of `lodeworks.llm`.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; whoever runs them writes each
+stage's rows and reads them again. A stage begins by deleting the intermediate tables of those before it, which are
+needed no longer then. Counted as part of `lodeworks.llm`.
 """
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import table, written
+from lodeworks.llm.common import release, table, written
 from lodeworks.llm.minhash import near_duplicates
 from lodeworks.llm.mixing import mix, mixed_rows
 from lodeworks.llm.packing import pack
@@ -25,11 +26,13 @@ def _back(*others: str) -> list:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    release(spark)
     return judge(docs, table(spark, sf_dir, "labels"), carry=DOCUMENT).where("kept").select(*_back())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id stays; of rows that repeat it, one."""
+    release(spark)
     stays = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     found = docs.select(*DOCUMENT).join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     alike = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text", "lang", "source", "n_chars")
@@ -38,6 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts give way to a mark."""
+    release(spark)
     found = scan_secrets(docs, carry=DOCUMENT)
     spans = F.array_sort(F.concat("base", "extra"))
     masked = found.select("*", redacted(F.col("carried_text"), spans).alias("text"))
@@ -46,12 +50,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their source draws them, in the order of the mix."""
+    release(spark)
     rows = mixed_rows(mix(docs, carry=DOCUMENT), DOCUMENT)
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their token ids."""
+    release(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -65,5 +71,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
+            docs = written(docs, f"pipeline-{name}", keep=True)
     return docs

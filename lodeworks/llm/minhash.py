@@ -180,11 +180,12 @@ def near_duplicates(docs: DataFrame, least: int = 75, id_col: str = "doc_id", te
                 break
             shared = _bridging(open_rows.select("rep", "label").distinct(), texts)
         # Documents that share too few shingles with other components can't be linked to one of the bucket's sizes.
-        kept = spread(marked.join(shared, "rep")).where(f"{100 + least} * shared >= {least} * (n_min + greatest(ceil({least} * n_min / 100), least_n))").drop("least_n")
+        kept = spread(marked.join(shared.drop("own"), "rep")).where(f"{100 + least} * shared >= {least} * (n_min + greatest(ceil({least} * n_min / 100), least_n))").drop("least_n")
         kept = written(spread(kept).drop("least_n"), "minhash-open")
         if kept.isEmpty():
             break
         at_a, at_b = (side(kept, k, ("bucket",)) for k in "ab")
+        with_own = lambda df, k: df.join(shared.select(F.col("rep").alias(k), F.col("own").alias(f"own_{k}")), k)
         if turn < TURNS:  # the document that shares most
             at_a = at_a.join(kept.groupBy("bucket").agg(F.max(F.struct("shared", "rep"))["rep"].alias("a")), ["bucket", "a"])
             once = F.lit(True)
@@ -194,6 +195,7 @@ def near_duplicates(docs: DataFrame, least: int = 75, id_col: str = "doc_id", te
             once = F.expr("label_b = most or a < b")
         overlap = f"{100 + least} * least(shared_a, shared_b) >= {least} * (n_min_a + n_min_b)"
         linked = f"{100 + least} * size(array_intersect(own_a, own_b)) >= {least} * (n_min_a + n_min_b)"  # cheap tests first
+        at_a, at_b = with_own(at_a, "a"), with_own(at_b, "b")
         pairs = at_a.join(at_b, (at_a["bucket"] == at_b["bucket"]) & once & F.expr(f"label_a <> label_b and {overlap} and {near} and {linked}"))
         more = written(pairs.select("a", "b").distinct(), "minhash-links")
         if not more.isEmpty():

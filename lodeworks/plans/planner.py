@@ -1,0 +1,129 @@
+"""From a question to a structured query: what it names, what it asks for, and the frame that answers it.
+
+The plan is made once a question on the driver, from vocabularies of the table's columns; the answer is a DataFrame.
+"""
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import vocab as V
+from ..operators import analytics as A
+
+#: Words of a question -> the column that it groups by; the first that fits.
+GROUPS = (
+    ("industry group", "industry_group"), ("primary facility type", "primary_facility_type"), ("supplier or affiliation type", "supplier_or_affiliation_type"), ("classification method", "classification_method"),
+    ("primary oem", "primary_oems"), ("ev battery relevant", "ev_battery_relevant"), ("ev supply chain role", "role"), ("categor", "category"), ("county", "county"), ("counties", "county"), ("city", "city"), ("cities", "city"),
+)
+
+
+@dataclass
+class Plan:
+    """What a question names (lists of known values) and asks for."""
+
+    question: str
+    intent: str = "fact"
+    structured: bool = False
+    group_by_role: bool = False
+    categories: list[str] = field(default_factory=list)
+    companies: list[str] = field(default_factory=list)
+    locations: list[str] = field(default_factory=list)
+    excluded: list[str] = field(default_factory=list)
+    oems: list[str] = field(default_factory=list)
+    roles: list[str] = field(default_factory=list)
+    group: str | None = None
+    limit: int | None = None
+    threshold: tuple[str, int] | None = None
+    queries: list[str] = field(default_factory=list)
+
+
+def key(text: str) -> str:
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).strip()
+
+
+def _named(question: str, values: list[str]) -> list[str]:
+    """Known values that stand in a question as whole words, longest first, each once."""
+    found: dict[str, str] = {}
+    for v in sorted(values, key=lambda v: -len(v)):
+        if key(v) and f" {key(v)} " in f" {question} ":
+            found.setdefault(key(v), v)
+    return list(found.values())
+
+
+def threshold(question: str) -> tuple[str, int] | None:
+    m = re.search(r"employment\s*(>=|<=|>|<|\s+at\s+least)\s*([\d,]+)", question, re.IGNORECASE)
+    return (m[1] if m[1] in (">=", "<=", ">", "<") else ">=", int(m[2].replace(",", ""))) if m else None
+
+
+def plan(question: str, known: dict[str, list[str]]) -> Plan:
+    """known: categories, companies, locations, oems, roles: the distinct values of the table's columns."""
+    q = key(question)
+    has = lambda words: any(w in q for w in words)
+    p = Plan(question, excluded=re.findall(r"excluding (?:rows with )?location\s*=\s*([A-Za-z0-9 ,()/-]+?)(?:\.|\?|,|$)", question, re.IGNORECASE))
+    p.intent = next((k for k, words in V.INTENTS.items() if has(words)), "fact")
+    p.categories = [c for c in known.get("categories", []) if key(c) in q and not (key(c) == "oem" and re.search(r"\boem (contract|s?\b)|primary oems?", q))]
+    p.categories = [c for c in p.categories if not any(c != o and key(c) in key(o) and key(o) in q for o in p.categories)]
+    p.companies, p.oems = _named(q, known.get("companies", [])), _named(q, known.get("oems", []))
+    parts = {x: [x, x.split(",")[-1]] for x in known.get("locations", [])}
+    p.locations = [x for x, ys in parts.items() if any(key(y) and key(y) in q for y in ys) and key(x) not in map(key, p.excluded)]
+    p.roles = [r for r in known.get("roles", []) if r and r in q]
+    if "linked to" in q or "supply to" in q:
+        p.oems, p.companies = p.oems or p.companies, []
+    p.group = next((column for words, column in GROUPS if words in q), None)
+    p.group_by_role = "group" in q and "ev supply chain role" in q
+    p.threshold = threshold(question)
+    m = re.search(r"(top|bottom)\s+(\d+)", q)
+    p.limit = int(m[2]) if m else 5 if has(("top", "highest", "largest", "bottom", "fewest")) else None
+    filters = p.companies + p.categories + p.locations + p.oems + p.roles
+    p.structured = has(V.ANALYTIC) or p.threshold is not None or (bool(filters) and p.intent != "definition")
+    focus = [w for w in q.split() if w not in V.STOPWORDS][:12]
+    p.queries = list(dict.fromkeys(x for x in (question, " ".join(focus), " | ".join(dict.fromkeys(filters))) if x.strip()))
+    return p
+
+
+def filtered(rows: DataFrame, p: Plan) -> DataFrame:
+    """The rows that a plan's named values and limit leave."""
+    out = rows
+    same = lambda c, values: F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+", " ")).isin([key(v) for v in values])
+    for column, values in (("category", p.categories), ("company", p.companies), ("location", p.locations), ("primary_oems", p.oems)):
+        if values and column in rows.columns:
+            out = out.where(same(column, values))
+    if p.excluded and "location" in rows.columns:
+        out = out.where(~same("location", p.excluded))
+    if p.roles:
+        hit = lambda c: F.exists(F.array(*map(F.lit, p.roles)), lambda r: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), r))
+        out = out.where(hit("role") | hit("product_service") if "product_service" in rows.columns else hit("role"))
+    if p.threshold:
+        out = out.where(F.expr(f"employment {p.threshold[0]} {p.threshold[1]}"))
+    return out
+
+
+def answer(question: str, rows: DataFrame, known: dict[str, list[str]]) -> DataFrame:
+    """The frame that answers a question: templates in order, the first that fits."""
+    p = plan(question, known)
+    q, df = key(question), filtered(rows, plan(question, known))
+    if p.group_by_role:
+        return A.listing(df, "role", "company")
+    if "appear multiple times" in q:
+        return A.multi_valued(df, "company", "role")
+    if "only one company" in q:
+        return A.single_members(df, p.group or "role", "company")
+    if "most concentrated" in q:
+        return A.concentration(df, "role", "county").orderBy(F.desc("share"), "role").limit(1)
+    if "missing primary oems" in q:
+        return df.where(~A.not_blank("primary_oems"))
+    if "median" in q:
+        return df.agg(F.median("employment").alias("median"))
+    if "range" in q and "employment" in q:
+        return A.extremes(df, "employment", "company")
+    if p.group and "employment" in q and ("total" in q or "average" in q):
+        return A.group_numbers(df, p.group, "employment", "mean" if "average" in q else "sum", p.limit)
+    if p.group and ("how many" in q or "count" in q or p.limit):
+        return A.group_counts(df, p.group, "bottom" in q or "fewest" in q, "only one" in q, p.limit)
+    if "employment" in q and p.limit:
+        return df.where("employment is not null").orderBy(F.desc("employment"), "company").limit(p.limit)
+    if p.group and "represented" in q:
+        return df.where(A.not_blank(p.group)).select(p.group).distinct().orderBy(p.group)
+    return df

@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,12 +33,29 @@ def _own_dir(application: str) -> str:
 _WRITTEN: list[str] = []
 
 
+#: Rows of an Arrow batch that goes to a Python task. Whole texts are long, and a task holds a batch several times over.
+BATCH_ROWS = 500
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches have BATCH_ROWS rows at most meanwhile; the session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation.
     keep: `release` leaves the table alone."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with short_batches(spark):
+        df.write.parquet(path)
     if not keep:
         _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,10 +1,12 @@
 """Quality rules whose cutoffs are chosen by the risk of rejecting good documents.
 
-For each stratum (language) and rule, cutoffs are tried from the mildest on. A cutoff is certified while the exact
-binomial test on the labelled good documents of the stratum rejects that it would reject a share of `risk / rules`
-or more of them, at level `error / (rules * strata)`; the first that fails ends the row (fixed-sequence testing, so
-the grid needs no further correction). With confidence 1 - error, then, no stratum loses more than `risk` of its
-good documents. Where labels are too few, nothing is certified and nothing is rejected.
+In each stratum (language) the rules are certified as one family. SEQUENCE tightens their cutoffs together, mildest
+first: first each rule's mildest one, rule by rule, then each rule's second, and so on. A step is certified while the
+exact binomial test on the labelled good documents of the stratum rejects that the rules, with the cutoffs so far,
+reject a share of `risk` or more of them, at level `error / strata`; the first step that fails ends the sequence
+(fixed-sequence testing, so neither the grid nor the number of rules needs a correction). With confidence 1 - error,
+then, no stratum loses more than `risk` of its good documents. Where labels are too few, nothing is certified and
+nothing is rejected: with no good document lost, log(error / strata) / log(1 - risk) of them are needed.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,7 +72,8 @@ def binomial_below(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(scored: DataFrame, good: DataFrame, risk: float, error: float) -> DataFrame:
-    """(stratum, rule, cutoff) certified. scored: id, stratum, scores (array in the order of RULES). good: id."""
+    """(stratum, rule, cutoff) certified with each rule by itself: a share of `risk / rules` at level
+    `error / (rules * strata)`. scored: id, stratum, scores (array in the order of RULES). good: id."""
     held = scored.join(good, "id").select("stratum", "scores")
     rules = F.array(*(F.struct(F.lit(r).alias("rule"), F.array(*(F.lit(c) for c in cuts)).alias("cuts")) for r, (_, cuts) in enumerate(RULES.values())))
     tries = held.select("stratum", "scores", F.explode(rules).alias("r")).select("stratum", F.col("r.rule").alias("rule"), F.posexplode("r.cuts").alias("place", "cut"), "scores")
@@ -83,6 +86,27 @@ def cutoffs(scored: DataFrame, good: DataFrame, risk: float, error: float) -> Da
     return certified.groupBy("stratum", "rule").agg(F.min("cut").alias("cutoff"))
 
 
+#: Steps of the sequence, in order: (rule, place of its cutoff).
+SEQUENCE = sorted(((r, k) for r, (_, cuts) in enumerate(RULES.values()) for k in range(len(cuts))), key=lambda x: (x[1], x[0]))
+
+
+def joint_cutoffs(scored: DataFrame, good: DataFrame, risk: float, error: float) -> DataFrame:
+    """(stratum, rule, cutoff) certified as one family; `cutoffs` bounds each rule by itself. Same arguments."""
+    bounds = [cuts for _, cuts in RULES.values()]
+    # The step from which on a document is lost: a step's cutoffs are at least as tight as those of the steps before.
+    lost_at = F.least(*(F.when(F.get("scores", F.lit(r)) > bounds[r][k], step).otherwise(len(SEQUENCE)) for step, (r, k) in enumerate(SEQUENCE)))
+    counted = scored.join(good, "id").groupBy("stratum", lost_at.alias("step")).count()
+    sums = counted.groupBy("stratum").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("step", "count"))).alias("lost"))
+    strata = sums.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
+    steps = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(bounds[r][k]).alias("cut")) for r, k in SEQUENCE))
+    tried = sums.withColumn("strata", strata).select("stratum", "n", "lost", "strata", F.posexplode(steps).alias("step", "s"))
+    row = Window.partitionBy("stratum").orderBy("step")
+    counts = tried.withColumn("lost", F.sum(F.coalesce(F.try_element_at("lost", F.col("step")), F.lit(0).cast("long"))).over(row))
+    fine = binomial_below(F.col("n"), F.col("lost"), risk) <= error / F.col("strata")
+    certified = counts.withColumn("failed", F.sum(F.when(fine, 0).otherwise(1)).over(row)).where("failed = 0")
+    return certified.groupBy("stratum", F.col("s.rule").alias("rule")).agg(F.min("s.cut").alias("cutoff"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: id, the counts of `features`, base_failed, rejected_by (rules, an array), kept; the columns
     in `carry` under names that begin with carried_.
@@ -95,7 +119,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float =
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     scored = written(features(docs, id_col, text_col, stratum_col, carry).withColumns({"scores": scores, "base_failed": base}), "quality")
     good = labels.groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("q")).where("q = 1").select("id")
-    chosen = cutoffs(scored.where("not base_failed").select("id", "stratum", "scores"), good, risk, error)
+    chosen = joint_cutoffs(scored.where("not base_failed").select("id", "stratum", "scores"), good, risk, error)
     # A certified row takes hundreds of labelled documents, so there are few; the null stratum is spelled apart.
     key = lambda c: F.concat(F.when(c.isNull(), "n").otherwise("s"), F.coalesce(c, F.lit("")))
     limits = chosen.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(key(F.col("stratum")), F.lit("/"), F.col("rule")), "cutoff")))).scalar()

@@ -114,6 +114,28 @@ def test_cutoffs_bound_the_risk(spark):
     assert few.count() == 0
 
 
+def test_joint_cutoffs_certify_small_strata(spark):
+    zero = [0.0, 0.0, 0.0, 0.0, -9.0]  # lost by no rule
+    lossy = [0.4, 0.0, 0.0, 0.0, -9.0]  # lost from the second cutoff of symbols on
+    rows = [("a", zero)] * 480 + [("b", zero)] * 300 + [(None, zero)] * 599 + [(None, lossy)] + [("", lossy)] * 500
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, stratum string, scores array<double>")
+    found = {(r.stratum, r.rule): r.cutoff for r in quality.joint_cutoffs(df, df.select("id"), 0.01, 0.05).collect()}
+    assert {k[0] for k in found} == {"a", None, ""}  # four strata: 436 with none lost; b has too few
+    assert {r: found["a", r] for r in range(5)} == {r: cuts[-1] for r, (_, cuts) in enumerate(quality.RULES.values())}
+    # One lost of 600 is one too many: P(X <= 1) = 0.017, more than 0.05 / 4. The sequence ends there for every rule.
+    assert {r: found[None, r] for r in range(5)} == {r: cuts[0] for r, (_, cuts) in enumerate(quality.RULES.values())}
+    assert {r: found["", r] for r in range(5)} == {r: cuts[0] for r, (_, cuts) in enumerate(quality.RULES.values())}
+
+
+def test_judge_rejects_junk_of_a_mid_size_stratum(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, words, "en") for i in range(400)] + [(400, " ".join(f"$$%{i}$$%%%" for i in range(200)), "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.judge(df, labels).collect()}
+    assert not out[400].base_failed and out[400].rejected_by == ["symbols"] and sum(r.kept for r in out.values()) == 400
+
+
 def test_mixing(spark, docs):
     rng = random.Random(2)
     rows = [(i, " ".join("w" for _ in range(rng.randrange(1, 60))), rng.choice("abcde")) for i in range(800)] + [(900, "only one", None)]

@@ -34,14 +34,16 @@ def bullets(answers: DataFrame) -> DataFrame:
 
 
 def validated(answers: DataFrame, evidence: DataFrame) -> DataFrame:
-    """One row a bullet: id, ord, missing, invalid, label, failed. answers: id, text; evidence: id, token, text.
+    """One row a bullet: id, ord, missing, invalid, label, failed. answers: id, text; evidence: id, token, text,
+    or token, text where all answers were given the same.
 
     A bullet without citation is missing one; one that cites what wasn't given is invalid; others are judged on the
     texts that they cite.
     """
     own = bullets(answers)
     cites = own.select("id", "ord", F.posexplode("cited").alias("k", "token"))
-    found = cites.join(evidence.select("id", "token", F.col("text").alias("given")), ["id", "token"], "left")
+    key = [c for c in ("id", "token") if c in evidence.columns]
+    found = cites.join(evidence.select(*key, F.col("text").alias("given")), key, "left")
     by = found.groupBy("id", "ord").agg(F.count_if(F.col("given").isNull()).alias("unknown"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "given"))), lambda x: x["given"]), " ").alias("given"))
     joined = own.join(by, ["id", "ord"], "left")
     missing, invalid = F.size("cited") == 0, F.coalesce(F.col("unknown"), F.lit(0)) > 0

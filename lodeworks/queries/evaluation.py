@@ -47,22 +47,22 @@ from {_B} b left join documents e on e.doc_id = b.conv_id % 50)"""
 _LABEL = "case when missing or invalid then 'unsupported' when len(own) = 0 then 'nonfactual' when len(list_filter(nums, lambda n: not contains(coalesce(ev, ''), n))) > 0 then 'unsupported' when len(list_filter(own, lambda w: list_contains(given, w))) / len(own) >= 0.55 then 'supported' when len(list_filter(own, lambda w: list_contains(given, w))) / len(own) >= 0.3 then 'partial' else 'unsupported' end"
 
 
-def _evidence(spark, d, checked):
-    docs = table(spark, d, "documents").where("doc_id < 50").select(F.concat(F.lit("DOC:d"), F.col("doc_id").cast("string")).alias("token"), "text")
-    return checked.select("id").crossJoin(F.broadcast(docs))
+def _evidence(spark, d):
+    """Every document, under the token that cites it."""
+    return table(spark, d, "documents").select(F.concat(F.lit("DOC:d"), F.col("doc_id").cast("string")).alias("token"), "text")
 
 
 @query(f"select id, (i - 1)::bigint as ord, missing, invalid, {_LABEL} as label from {_JUDGED}")
 def support_heuristic(spark, d):
     a = answers(spark, d)
-    return E.validated(a, _evidence(spark, d, a)).select("id", F.col("ord").cast("long").alias("ord"), "missing", "invalid", "label")
+    return E.validated(a, _evidence(spark, d)).select("id", F.col("ord").cast("long").alias("ord"), "missing", "invalid", "label")
 
 
 @query(f"""select id, count(*) as bullets, round(count(*) filter (not missing) / count(*), 6) as coverage, round(count(*) filter (not missing and not invalid) / nullif(count(*) filter (not missing), 0), 6) as validity,
 round(count(*) filter (label = 'supported') / count(*), 6) as support_rate, round(count(*) filter (label <> 'supported') / count(*), 6) as unsupported_rate from (select *, {_LABEL} as label from {_JUDGED}) group by 1""")
 def rag_validation(spark, d):
     a = answers(spark, d)
-    return E.answer_metrics(E.validated(a, _evidence(spark, d, a)))
+    return E.answer_metrics(E.validated(a, _evidence(spark, d)))
 
 
 _PAIR = "(select item_id, case item_id % 4 when 0 then 'Alpha, Beta, Gamma' when 1 then 'about 1,250 units' when 2 then 'it is 5%' else 'Same Answer' end as a, case item_id % 4 when 0 then 'beta, delta' when 1 then '1200' when 2 then '0.05' else 'same answer!' end as g, case item_id % 4 when 0 then 'list' when 1 then 'number tolerance=10%' when 2 then 'percent' else 'text' end as f from benchmark)"

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.text import let  # noqa: F401
 from lodeworks.operators import analytics, dedup, joins, ranking
+from lodeworks.operators.evaluation import validated
 from lodeworks.plans.planner import answer, plan
+from lodeworks.queries.evaluation import _evidence
 from lodeworks.streaming.ingest import append_once, file_stream, windowed_counts
 
 
@@ -93,3 +95,11 @@ def test_streaming(spark, tmp_path):
         append_once(file_stream(spark, f"{tmp_path}/in", events.schema), f"{tmp_path}/out", f"{tmp_path}/ck", "event_id").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 20
     assert windowed_counts(events, "10 minutes").agg(F.sum("n")).first()[0] == 20
+
+
+def test_evidence_is_every_document(spark, tmp_path):
+    docs = [(7, "seven red lamps glow"), (60, "sixty blue boats sail"), (4000, "four thousand green birds sing")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    answers = spark.createDataFrame([("a", "- sixty blue boats sail [DOC:d60]\n- red lamps glow [DOC:d7]\n- green birds sing [DOC:d4000]\n- lost [DOC:d8]\n- none")], "id string, text string")
+    out = {r.ord: r for r in validated(answers, _evidence(spark, str(tmp_path))).collect()}
+    assert [(out[k].missing, out[k].invalid, out[k].label) for k in range(5)] == [*[(False, False, "supported")] * 3, (False, True, "unsupported"), (True, False, "unsupported")]

@@ -1,21 +1,21 @@
 """Licence scans by sentence rules: normalised sentences become known identifiers, and sequences of identifiers
 are matched against ordered rules.
 
-Texts that name none of KEYWORDS have no licence sentence. Others are cut into sentences twice, line by line and
+Texts that have none of KEYWORDS, one of which each sentence of the table has, have no licence sentence. Others are cut into sentences twice, line by line and
 with lines joined into paragraphs; the cut that gives more known sentences counts (ties: lines). Rules are tried in
 order; a rule whose identifiers stand next to each other takes them, wherever and as often as they occur, so that
 longer and more specific rules come first and a sentence serves one rule. All is DataFrame expressions in one
 scan, without a shuffle; the sentence table is a literal of fixed size.
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let
 
-KEYWORDS = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain")
-
-#: Normalised sentence -> identifier.
+#: Sentence -> identifier. References stand as "licensed under ...", which LEADS makes of other forms.
 SENTENCES = {
     "licensed under the apache license version 2.0": "ApacheRef",
     "licensed under the apache license version 2.0 the license": "ApacheRef",
@@ -23,16 +23,11 @@ SENTENCES = {
     "you may obtain a copy of the license at": "ApacheCopy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheAsIs",
     "see the license for the specific language governing permissions and limitations under the license": "ApacheSee",
-    "released under the mit license": "MitRef",
     "licensed under the mit license": "MitRef",
-    "this project is licensed under the mit license": "MitRef",
-    "this software is released under the mit license": "MitRef",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and/or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MitGrant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MitNotice",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MitAsIs",
-    "this work is licensed under the gnu general public license version 3": "Gpl3Ref",
     "licensed under the gnu general public license version 3": "Gpl3Ref",
-    "this work is licensed under the gnu general public license version 2": "Gpl2Ref",
     "licensed under the gnu general public license version 2": "Gpl2Ref",
     "licensed under the gnu lesser general public license version 3": "Lgpl3Ref",
     "licensed under the gnu affero general public license version 3": "Agpl3Ref",
@@ -45,14 +40,17 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "BsdBinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
     "this source code form is subject to the terms of the mozilla public license v 2.0": "Mpl2Ref",
+    "licensed under the mozilla public license version 2.0": "Mpl2Ref",
     "licensed under cc by 4.0": "CcBy4",
     "licensed under cc by-sa 4.0": "CcBySa4",
     "licensed under cc by-nc 4.0": "CcByNc4",
     "licensed under cc by-nc-sa 4.0": "CcByNcSa4",
     "licensed under cc by-nd 4.0": "CcByNd4",
-    "this work is licensed under a creative commons attribution 4.0 international license": "CcBy4",
-    "this work is licensed under a creative commons attribution-sharealike 4.0 international license": "CcBySa4",
-    "this work is licensed under a creative commons attribution-noncommercial 4.0 international license": "CcByNc4",
+    "licensed under a creative commons attribution 4.0 international license": "CcBy4",
+    "licensed under a creative commons attribution-sharealike 4.0 international license": "CcBySa4",
+    "licensed under a creative commons attribution-noncommercial 4.0 international license": "CcByNc4",
+    "licensed under a creative commons attribution-noncommercial-sharealike 4.0 international license": "CcByNcSa4",
+    "licensed under a creative commons attribution-noderivatives 4.0 international license": "CcByNd4",
     "this work is dedicated to the public domain": "PublicDomain",
     "this is free and unencumbered software released into the public domain": "Unlicense",
     "all rights reserved": "AllRights",
@@ -82,22 +80,40 @@ RULES = (
     (("CcByNd4",), "CC-BY-ND-4.0"),
     (("Unlicense",), "Unlicense"),
     (("PublicDomain",), "LicenseRef-public-domain"),
+    (("AllRights",), "LicenseRef-all-rights-reserved"),
 )
 #: What normalising takes for the same.
 SPELLINGS = ((r"\blicence(d?)\b", "license$1"), (r"\b(?:version|v)\.? ?(?=[0-9])", "version "), (r"[^a-z0-9./+ -]+", " "), (r"(?<![0-9])\.|\.(?![0-9])", " "), (r" +", " "))
 
+#: The ways to begin a reference that are taken for "licensed under".
+LEADS = (r"^(?:(?:this|the) (?:[a-z0-9-]+ ){0,3}(?:is|are) )?(?:(?:re)?licensed|released|distributed|made available|available) under (?:the terms of )?(?=the |a |an |cc )", "licensed under ")
+#: Words and phrases in lower case, of which each sentence of SENTENCES has one, with any lead.
+KEYWORDS = ("licen", "copyright", "warrant", "redistribut", "permission", "public domain", "all rights reserved", "cc by")
+
 
 def normalised(sentence: Column) -> Column:
-    """Lower case, one spelling, no signs but those inside versions and names, single spaces."""
+    """Lower case, one spelling, no signs but those inside versions and names, single spaces, one form of reference."""
     out = F.lower(sentence)
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    return F.regexp_replace(F.trim(out), *LEADS)
+
+
+def key(sentence: str) -> str:
+    """`normalised` of a sentence of the table."""
+    out = sentence.lower()
+    for pattern, to in SPELLINGS:
+        out = re.sub(pattern, to.replace("$", "\\"), out)
+    return re.sub(LEADS[0], LEADS[1], out.strip(" "))
+
+
+#: Normalised sentence -> identifier.
+TABLE = {key(sentence): identifier for sentence, identifier in SENTENCES.items()}
 
 
 def known_sentences(parts: Column) -> Column:
     """The identifiers of an array of sentences, in order; unknown ones are left out."""
-    table = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
+    table = F.create_map(*(F.lit(x) for pair in TABLE.items() for x in pair))
     return F.filter(F.transform(parts, lambda s: F.try_element_at(table, normalised(s))), lambda i: i.isNotNull())
 
 
@@ -112,7 +128,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hinted = low.contains(KEYWORDS[0])
     for word in KEYWORDS[1:]:
         hinted = hinted | low.contains(word)
-    ends = r"(?<=[.;:!?])[ \t]+"
+    ends = r"(?<=[.;:!?])(?!(?<=\b[vV]\.)[ \t]+[0-9])[ \t]+"  # not within 'v. 2.0'
     by_line = F.flatten(F.transform(F.split(text, r"\r?\n"), lambda line: F.split(line, ends)))
     joined = F.flatten(F.transform(F.split(text, r"(?:\r?\n[ \t]*){2,}"), lambda part: F.split(F.regexp_replace(part, r"[ \t]*\r?\n[ \t#*/;-]*", " "), ends)))
     both = F.struct(known_sentences(by_line).alias("lines"), known_sentences(joined).alias("joined"))

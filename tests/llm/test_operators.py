@@ -197,6 +197,30 @@ def test_licenses(spark, docs):
     assert licenses.scan_licenses(docs).count() == docs.count()
 
 
+def test_licence_table_is_whole(spark):
+    found = spark.createDataFrame([(k, s) for k, s in enumerate(licenses.SENTENCES)], "doc_id long, text string")
+    by_id = {r.doc_id: r.sentences for r in licenses.scan_licenses(found).collect()}
+    assert [by_id[k] for k in range(len(by_id))] == [[i] for i in licenses.SENTENCES.values()]
+    assert all(any(w in s for w in licenses.KEYWORDS) for s in licenses.SENTENCES)
+    assert {i for ids, _ in licenses.RULES for i in ids} <= set(licenses.SENTENCES.values())
+    alone = {ids[0] for ids, _ in licenses.RULES if len(ids) == 1}
+    assert {"AllRights", *(i for i in licenses.SENTENCES.values() if i.endswith("Ref") or i.startswith("Cc"))} <= alone
+
+
+def test_licence_references_in_any_form(spark):
+    named = {
+        "the Apache License, Version 2.0": "Apache-2.0", "the MIT licence": "MIT", "the GNU General Public License, version 3": "GPL-3.0-only", "the GNU General Public License v2": "GPL-2.0-only",
+        "the GNU Lesser General Public License, version 3": "LGPL-3.0-only", "the GNU Affero General Public License v. 3": "AGPL-3.0-only", "the Mozilla Public License, v. 2.0": "MPL-2.0", "CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
+        "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "CC-BY-NC-SA-4.0",
+    }
+    leads = ("Licensed under", "Released under", "This work is licensed under", "This project is released under", "The software is distributed under the terms of", "This file is made available under")
+    texts = [(f"Some words. {lead} {name}. More words.", lic) for lead in leads for name, lic in named.items()]
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    texts += [(mpl, "MPL-2.0"), ("Text. All rights reserved.", "LicenseRef-all-rights-reserved"), ("This work is not licensed under the MIT License.", None), ("It is v. Good.\nReleased under the MIT License.", "MIT")]
+    rows = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {texts[r.doc_id][0]: r.licenses for r in rows} == {t: [lic] if lic else [] for t, lic in texts}
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([(1, "a", 0, "f", '{"q": "x", "n": 2.0}', None), (1, "b", 2, "f", '{"q": 1}', ["a"]), (1, "b", 9, "f", "{}", ["a"]), (1, "c", 3, "g", "{", ["d"]), (1, "d", 4, "f", '{"q":"y"}', ["c"]), (1, "e", 5, "f", '{"q":"z"}', ["b", "zz"]), (None, None, 1, "f", '{"q":"z"}', None)], "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>")
     results = spark.createDataFrame([(1, "a", 1, "ok é"), (1, "q", 3, "lost"), (1, "e", 4, "soon")], "conv_id long, call_id string, turn long, content string")

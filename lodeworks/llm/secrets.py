@@ -1,14 +1,18 @@
 """Secrets in texts: three known forms, and random-looking strings found by a battery of tests.
 
-A string of 20 or more characters of an encoding (hexadecimal, base 32, 36, 62 or 64) that holds a digit is a
-candidate. Under the inferred encoding, chi-squared uniformity over the alphabet, runs about the alphabet's middle
-and serial correlation are tested; the least p-value, times three, says whether it can be random. Whether chance
-could make a natural word or identifier of that length so even is a second p-value, from the chi-squared
-statistic's mean and variance under natural letter frequencies. Those p-values, in classes of length, go through
+A string of 20 or more characters of an encoding (hexadecimal, base 32, 36, 62 or 64) is a candidate. Under the
+inferred encoding, chi-squared uniformity over the alphabet, runs about the alphabet's middle and serial correlation
+are tested; the least p-value, times three, says whether it can be random. Whether a natural word, identifier or
+number could look so is a second p-value: the likelihood of the string under a natural model (letters by frequency,
+lower case, upper case, digits and signs in runs) over that under the uniform one. The mean of the inverse ratio is 1
+under the model, so a ratio of p or less has a probability of p at most, at any length; of two models, one with the
+cases exchanged, the larger ratio counts. These p-values, in classes of length, go through
 the Benjamini-Hochberg procedure on a grid, so that of what is reported in each class a share `rate` at most is
 expected to be natural. All of it is DataFrame expressions; positions are code points, ends exclusive.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +22,7 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encoding -> its alphabet in order; the first that has all characters of a candidate is inferred.
@@ -34,28 +38,29 @@ ENCODINGS = {
 }
 #: Letters of English text in per mille, a to z.
 LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
-#: In natural strings of an encoding: share of digits, of upper case where both cases are in it, and of signs.
-NATURAL_DIGITS, NATURAL_UPPER, NATURAL_SIGNS = 0.15, 0.1, 0.05
+#: In natural strings, how often a class follows another (rows: lower case, upper case, digits, signs), in per mille;
+#: scaled to the classes that an alphabet has. Hexadecimal ones are mostly plain numbers or letters in long runs.
+FOLLOWS = ((890, 45, 25, 40), (600, 330, 30, 40), (60, 40, 850, 50), (600, 200, 150, 50))
+HEX_FOLLOWS = ((880, 0, 120, 0), (0, 880, 120, 0), (40, 40, 920, 0), (0, 0, 0, 0))
 #: Lengths at which a class of candidates begins.
 CLASSES = (20, 24, 32, 48, 80)
 #: Steps of the grid of p-values: a quarter of a power of ten each, 80 of them.
 STEP, STEPS = 0.25, 80
 
 
-def _natural(alphabet: str) -> tuple[float, float]:
-    """Sums of the squares and cubes of the natural frequencies of an alphabet's characters."""
-    lower, upper = any(c in _LOWER for c in alphabet), any(c in _UPPER for c in alphabet)
-    weight = {}
-    for c in alphabet:
-        if c in _DIGITS:
-            weight[c] = (0.8 if len(alphabet) == 16 else NATURAL_DIGITS) / 10
-        elif c.lower() in _LOWER:
-            case = 1 if not (lower and upper) else NATURAL_UPPER if c in _UPPER else 1 - NATURAL_UPPER
-            weight[c] = (0.2 / 6 if len(alphabet) == 16 else LETTERS[_LOWER.index(c.lower())] / 1000) * case
-        else:
-            weight[c] = NATURAL_SIGNS / 2
-    total = sum(weight.values())
-    return sum((w / total) ** 2 for w in weight.values()), sum((w / total) ** 3 for w in weight.values())
+def _natural(alphabet: str, swapped: bool) -> tuple[list[int], list[float], list[float]]:
+    """A natural model of an alphabet's strings: its characters' classes (0 to 3), the logarithms of their
+    probabilities within the class, and those of class b after a at place 4 a + b. swapped: cases exchanged."""
+    classes = [0 if c in _LOWER else 1 if c in _UPPER else 2 if c in _DIGITS else 3 for c in alphabet]
+    weight = [LETTERS[_LOWER.index(c.lower())] if c.lower() in _LOWER else 1 for c in alphabet]
+    sums = [sum(w for w, k in zip(weight, classes, strict=True) if k == of) for of in range(4)]
+    place = (1, 0, 2, 3) if swapped else (0, 1, 2, 3)
+    rows = HEX_FOLLOWS if len(alphabet) == 16 else FOLLOWS
+    logs = []
+    for a in range(4):
+        row = [rows[place[a]][place[b]] if sums[b] else 0 for b in range(4)]
+        logs += [math.log(x / sum(row)) if x else -99.0 for x in row]
+    return classes, [math.log(w / sums[k]) for w, k in zip(weight, classes, strict=True)], logs
 
 
 def _tail(z: Column) -> Column:
@@ -90,8 +95,10 @@ def _judged(span: Column) -> Column:
         signs = alphabet.replace("-", "").replace("+/", "+/") + ("-" if "-" in alphabet else "")
         encoding = F.when(value.rlike(f"^[{signs}]+$"), name).otherwise(encoding)
     alphabets = F.create_map(*(F.lit(x) for pair in ENCODINGS.items() for x in pair))
-    squares = F.create_map(*(F.lit(x) for k, a in ENCODINGS.items() for x in (k, _natural(a)[0])))
-    cubes = F.create_map(*(F.lit(x) for k, a in ENCODINGS.items() for x in (k, _natural(a)[1])))
+    models = {name: [_natural(alphabet, swapped) for swapped in (False, True)] for name, alphabet in ENCODINGS.items()}
+    by_name = lambda f: F.create_map(*(x for name in ENCODINGS for x in (F.lit(name), F.array(*(F.lit(y) for y in f(models[name]))))))
+    classes, within = by_name(lambda m: m[0][0]), by_name(lambda m: m[0][1])
+    follows = [by_name(lambda m, i=i: m[i][2]) for i in range(2)]
 
     def tested(e: Column) -> Column:
         return let(alphabets[e], lambda alphabet: let(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double") - 1), lambda v: figures(v, F.length(alphabet).cast("double"), e)))
@@ -106,7 +113,7 @@ def _judged(span: Column) -> Column:
             F.struct(
                 n.alias("n"), k.alias("k"), (k / n * same - n).alias("chi"), (total(v, lambda x: x) / n).alias("mean"),
                 total(v, lambda x: high(x).cast("double")).alias("n1"), (1 + total(pairs, lambda p: (high(p["x"]) != high(p["y"])).cast("double"))).alias("runs"),
-                squares[e].alias("s2"), cubes[e].alias("s3"),
+                likelihood(v, e).alias("natural"),
             ),
             lambda s: let(
                 F.struct(
@@ -117,6 +124,18 @@ def _judged(span: Column) -> Column:
             ),
         )
 
+    def likelihood(v: Column, e: Column) -> Column:
+        """Logarithm of a candidate's probability under the likelier natural model; the first class is any of those
+        that the alphabet has, four at most."""
+
+        def of(x: Column) -> Column:
+            pairs = F.zip_with(F.slice(x["c"], 1, F.size(x["c"]) - 1), F.slice(x["c"], 2, F.size(x["c"]) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+            kinds = F.size(F.array_distinct(x["all"])).cast("double")
+            own = F.aggregate(v, -F.log(kinds), lambda acc, i: acc + F.get(x["logs"], i.cast("int")))
+            return let(F.struct(pairs.alias("pairs"), own.alias("own")), lambda y: y["own"] + F.greatest(*(let(f[e], lambda k: F.aggregate(y["pairs"], F.lit(0.0), lambda acc, c: acc + F.get(k, c["a"] * 4 + c["b"]))) for f in follows)))
+
+        return let(F.struct(classes[e].alias("all"), within[e].alias("logs")), lambda t: let(F.struct(F.transform(v, lambda i: F.get(t["all"], i.cast("int"))).alias("c"), t["all"].alias("all"), t["logs"].alias("logs")), of))
+
     def p_values(t: Column) -> Column:
         s, n, k = t["s"], t["s"]["n"], t["s"]["k"]
         df = k - 1
@@ -124,10 +143,8 @@ def _judged(span: Column) -> Column:
         m = 2 * s["n1"] * t["n2"] / n
         run = F.when(m < 1, 0.0).otherwise(2 * _tail(F.abs(s["runs"] - m - 1) / F.sqrt(F.greatest(m * (m - 1) / (n - 1), F.lit(1e-9)))))
         serial = F.when(t["spread"] <= 0, 0.0).otherwise(2 * _tail(F.abs(t["joint"] / F.greatest(t["spread"], F.lit(1e-9)) + 1 / n) * F.sqrt(n)))
-        mean = k + k * (n - 1) * s["s2"] - n
-        spread = k / n * F.sqrt(F.greatest(2 * n * (n - 1) * (2 * (n - 2) * s["s3"] + s["s2"] - (2 * n - 3) * s["s2"] * s["s2"]), F.lit(1e-9)))
-        natural = _tail((mean - s["chi"]) / spread)
-        step = F.least(F.floor(-F.log10(F.greatest(natural, F.lit(1e-30))) / STEP), F.lit(STEPS)).cast("int")
+        ratio = (s["natural"] + n * F.log(k)) / math.log(10.0)
+        step = F.greatest(F.lit(0), F.least(F.floor(-ratio / STEP), F.lit(STEPS))).cast("int")
         group = sum((n >= low).cast("int") for low in CLASSES) - 1
         return F.struct(group.alias("group"), step.alias("step"), F.least(F.lit(1.0), 3 * F.least(even, run, serial)).alias("p_random"))
 

@@ -75,6 +75,21 @@ def test_secrets(spark, docs):
     assert masked == "ab [secret]ef"
 
 
+def test_secrets_of_ordinary_length(spark):
+    rng, keys = random.Random(11), []
+    for name, alphabet in secrets.ENCODINGS.items():
+        keys += [(name, n, "".join(rng.choice(alphabet) for _ in range(n))) for n in (20, 24, 32, 40) for _ in range(60)]
+    natural = ["getUserByIdFromCache2024", "iPhoneXRCaseBlackFriday2024Sale", "THE_QUICK_BROWN_FOX_2", "12345678901234567890", "queelleaiierelletion", "cherbeeinschheiteinein", "-" * 30, "some/long/path/to/file_2", "Donaudampfschifffahrtsgesellschaft", "HTMLElementXMLHttpRequest"]
+    texts = [f"see {k} there" for _, _, k in keys] + [f"see {w} there" for w in natural * 20]
+    out = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r.doc_id: [(s.start, s.end) for s in sorted([*r.base, *r.extra])] for r in out}
+    assert not [texts[i] for i in range(len(keys), len(texts)) if spans[i]]
+    for name in secrets.ENCODINGS:
+        for n, least in ((20, 0.7), (24, 0.8), (32, 0.85), (40, 0.85)):
+            own = [i for i, k in enumerate(keys) if k[:2] == (name, n)]
+            assert sum(spans[i] == [(4, 4 + n)] for i in own) >= least * len(own), (name, n)
+
+
 def test_quality_counts_and_bounds(spark, docs):
     texts = ["a b c d a b c x", "a a a a", "one two", "", None, "l\nl\n\nm\nl # $"]
     rows = {r.id: r for r in quality.features(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}

@@ -16,8 +16,12 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Distinct pieces that a worker remembers, in each of two generations.
-MEMO = 300_000
+#: Bytes, roughly, of the pieces that a worker remembers, in each of two generations of each of its maps.
+MEMO = 48 << 20
+#: What an entry costs besides its texts.
+ENTRY = 200
+#: Pairs of tokens of which a worker remembers whether one may follow the other.
+PAIRS = 600_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -28,22 +32,24 @@ def _byte_of() -> dict[str, int]:
 
 
 class Memo:
-    """A map of at most 2 * MEMO entries; the generation that was filled longest ago goes first."""
+    """A map of at most 2 * MEMO bytes, roughly, and one text's keys; the generation that was filled longest ago goes first."""
 
     def __init__(self, make):
         self.new: dict = {}
         self.old: dict = {}
         self.make = make
+        self.size = 0
 
     def fill(self, keys) -> dict:
         """A map that has all the keys."""
-        if len(self.new) > MEMO:
-            self.old, self.new = self.new, {}
+        if self.size > MEMO:
+            self.old, self.new, self.size = self.new, {}, 0
         new, old = self.new, self.old
         for k in keys:
             if k not in new:
                 v = old.get(k)
-                new[k] = self.make(k) if v is None else v
+                new[k] = v = self.make(k) if v is None else v
+                self.size += ENTRY + 2 * len(k) + (len(v) if isinstance(v, bytes) else 8 * len(v))
         return new
 
     def get(self, key):
@@ -118,6 +124,8 @@ class PrefixCounts:
         byte_of = _byte_of()
         self.special = [t["content"] for t in model["added_tokens"] if t["special"]]
         ranks = {bytes(byte_of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in self.special}
+        # Of special strings that begin at one place, the longest counts.
+        self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.core = tiktoken.Encoding("bytes", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.ends = ahocorasick.Automaton()
         self.bytes_of = {i: b for b, i in ranks.items()}
@@ -130,7 +138,7 @@ class PrefixCounts:
         self.chunk = Memo(self._chunk)
 
     def _may_follow(self, a: int, b: int) -> bool:
-        if len(self.follows) > 4 * MEMO:
+        if len(self.follows) > PAIRS:
             self.follows.clear()
         found = self.follows[a << 20 | b] = self.core.encode_single_piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found
@@ -202,16 +210,18 @@ class PrefixCounts:
 
     def steps(self, text: str) -> bytes:
         """Steps of the count from code point to code point."""
-        found = [(text.find(s), s) for s in self.special if s in text]
-        if found:  # a special string is one token once whole, and plain text before that
-            at, s = min(found, key=lambda x: (x[0], -len(x[1])))
-            head = np.frombuffer(self.steps(text[:at]), "<i2")
-            partly = np.frombuffer(self._plain(text[:at] + s[:-1]), "<i2").astype(np.int64)
-            whole = int(head.sum(dtype=np.int64)) + 1
-            own = np.append(partly[at:], whole - int(partly.sum()))
-            own[0:1] += int(partly[:at].sum()) - int(head.sum(dtype=np.int64)) if len(s) > 1 else 0
-            return head.tobytes() + own.astype("<i2").tobytes() + self.steps(text[at + len(s) :])
-        return self._plain(text)
+        out, at = [], 0
+        for m in self.marks.finditer(text) if self.special else ():
+            # A special string is one token once whole, and plain text before that.
+            before, mark = text[at : m.start()], m.group()
+            head = self._plain(before)
+            partly = np.frombuffer(self._plain(before + mark[:-1]), "<i2").astype(np.int64)
+            until = int(np.frombuffer(head, "<i2").sum(dtype=np.int64))
+            own = np.append(partly[len(before) :], until + 1 - int(partly.sum()))
+            own[0:1] += int(partly[: len(before)].sum()) - until if len(mark) > 1 else 0
+            out += [head, own.astype("<i2").tobytes()]
+            at = m.end()
+        return b"".join([*out, self._plain(text[at:])]) if out else self._plain(text)
 
     def _plain(self, text: str) -> bytes:
         if self.BESIDE.search(text):

@@ -10,8 +10,14 @@ Without weights, the target proportions are the sources' shares of all tokens, a
 With weights, when a queue runs dry the others go on in their own proportions. What is left of a queue, less than
 its next credit, is packed at the end. Sequences follow each other without gaps, so only the last one is short.
 
-A null text is an empty one, null ids and sources are kept, repeated rows are packed each. Other columns of the
-input are not read.
+Any number of sources is served. The QUEUES - 1 largest have queues of their own. The others, each with less than a
+quantum of a window if sources are more than that, share one queue, and within it a second round-robin: a run of at
+most a window of a source's tokens, whose middle is the source's token x, is due at x / weight (x / tokens of the
+source without weights), and runs stand in the order in which they are due. That is the same proportion carried
+across windows; a source is ahead or behind by one run at most.
+
+A null text is an empty one (its closing id alone), null ids and sources are kept, repeated rows are packed each.
+Other columns of the input are not read. An empty table gives no pieces. Long texts are encoded one at a time.
 """
 
 from collections.abc import Iterator
@@ -19,46 +25,55 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import word_ids
-from .common import written
+from .common import ordered_parts, written
 
-#: Queues at most. With more sources, the largest have their own and the others share the last one.
-MAX_QUEUES = 256
+#: Queues, of which the last is shared where there are more sources.
+QUEUES = 256
 #: Bits after the point of a queue's credit for a round.
 POINT = 20
 
 
-def token_table(docs: DataFrame, path: str, queues: dict, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a document: id, queue, block (the task that read it), before (tokens of its queue earlier in that
+def token_table(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row a document: id, source, block (the task that read it), before (tokens of its source earlier in that
     block), n_tokens, ids (little-endian, the closing end_id included)."""
-    kind, last = docs.schema[id_col].dataType.simpleString(), MAX_QUEUES - 1
+    kind, source_kind = (docs.schema[c].dataType.simpleString() for c in (id_col, source_col))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, block, sent = word_ids(path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], words.dtype).tobytes()
         for batch in batches:
-            queue, before, n, ids = [], [], [], []
+            before, n, ids = [], [], []
             for text, source in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                q = queues.get(source, last)
                 raw = words.ids(text or "") + end
                 size = len(raw) // words.dtype.itemsize
-                queue.append(q)
-                before.append(sent.get(q, 0))
+                before.append(sent.get(source, 0))
                 n.append(size)
                 ids.append(raw)
-                sent[q] = sent.get(q, 0) + size
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(queue, pa.int32()), pa.array([block] * len(n), pa.int64()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], [id_col, "queue", "block", "before", "n_tokens", "ids"])
+                sent[source] = sent.get(source, 0) + size
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([block] * len(n), pa.int64()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["id", "source", "block", "before", "n_tokens", "ids"])
 
-    return docs.select(id_col, text_col, source_col).mapInArrow(encode, f"`{id_col}` {kind}, queue int, block long, before long, n_tokens long, ids binary")
+    return docs.select(id_col, text_col, source_col).mapInArrow(encode, f"id {kind}, source {source_kind}, block long, before long, n_tokens long, ids binary")
 
 
-def queues_of(docs: DataFrame, source_col: str = "source") -> dict:
-    """The queue of each of the largest sources, at most MAX_QUEUES of them."""
-    rows = docs.groupBy(source_col).count().orderBy(F.desc("count"), F.col(source_col).asc_nulls_last()).limit(MAX_QUEUES).collect()
-    return {r[0]: i for i, r in enumerate(rows)}
+def shared_queue(rows: DataFrame, due: Column, window: int, bytes_each: int) -> DataFrame:
+    """(id, g, start, length, n_tokens, ids): the runs of documents in the order in which they are due, with their
+    places g in the queue. rows: id, source, g (within the source), n_tokens, ids; due: a number by the run's middle
+    token, of columns of rows and `middle`."""
+    starts = F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(window).cast("long"))
+    cut = rows.select("*", F.explode(starts).alias("start"))
+    cut = cut.withColumn("length", F.least(F.lit(window).cast("long"), F.col("n_tokens") - F.col("start")))
+    cut = cut.withColumn("middle", F.col("g") + F.col("start") + F.col("length") / 2).withColumn("due", due)
+    own = F.substring("ids", (F.col("start") * bytes_each + 1).cast("int"), (F.col("length") * bytes_each).cast("int"))
+    runs = cut.select("id", "source", "g", "start", "length", "n_tokens", "due", own.alias("ids"))
+    placed = ordered_parts(runs, [F.asc("due"), F.asc("source"), F.asc("g"), F.asc("start")], "packing-runs")
+    sums = placed.groupBy("part").agg(F.sum("length").alias("n"))
+    ahead = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))  # a row a part
+    inside = F.sum("length").over(Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
+    return placed.withColumn("inside", inside).join(ahead, "part").select("id", (F.col("ahead") + F.col("inside")).alias("g"), "start", "length", "n_tokens", "ids")
 
 
 def rounds(totals: list[int], weights: list[float] | None, window: int, quantum: int) -> list[dict]:
@@ -110,43 +125,64 @@ def places(q: int, lo: int, hi: int, phases: list[dict], totals: list[int], quan
                 yield x, phase["at"] + g * quantum + x - z, y - x
 
 
-def pack(docs: DataFrame, path: str, window: int = 2048, quantum: int = 8, weights: dict | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 2048, quantum: int = 8, weights: dict | None = None, queues: int = QUEUES, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row a piece: id, start, length, doc_tokens, queue, sequence_id, offset, ids (binary, little-endian
     unsigned 32-bit). `sequences` puts the pieces together.
 
     quantum: tokens that a queue sends at least, but at its end; a window's share of a source is met within it.
-    weights: source -> weight; sources that it lacks follow when the others have run dry.
+    weights: source -> weight; sources that it lacks follow when the others have run dry. queues: QUEUES.
     """
-    queues = queues_of(docs, source_col)
-    tokens = written(token_table(docs, path, queues, end_id, id_col, text_col, source_col), "packing-ids")
-    sums = written(tokens.groupBy("queue", "block").agg(F.sum("n_tokens").alias("n")), "packing-sums")
-    totals = [0] * MAX_QUEUES
-    for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # MAX_QUEUES rows at most
-        totals[r.queue] = r.n
-    totals = totals[: max([i + 1 for i, t in enumerate(totals) if t], default=0)]
-    own = None if weights is None else [next((float(weights.get(s, 0)) for s, i in queues.items() if i == q), 0.0) for q in range(len(totals))]
-    phases = rounds(totals, own, window, quantum)
-    offsets = sums.select("queue", "block", (F.sum("n").over(Window.partitionBy("queue").orderBy("block")) - F.col("n")).alias("ahead"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
+    tokens = written(token_table(docs, path, end_id, id_col, text_col, source_col), "packing-ids")
+    sums = written(tokens.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")), "packing-sums")
+    totals_of = sums.groupBy("source").agg(F.sum("n").alias("total"))
+    kind, bytes_each = tokens.schema["source"].dataType.simpleString(), word_ids(path).dtype.itemsize
+    given = spark.createDataFrame([(k, float(v)) for k, v in (weights or {}).items()], f"named {kind}, weight double")
+    weighed = totals_of.join(given, F.col("source").eqNullSafe(F.col("named")), "left").select("source", "total", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    known = written(weighed, "packing-sources")
+    first = known.orderBy((F.col("weight") > 0).desc(), F.desc("total"), F.col("source").asc_nulls_last()).limit(queues + 1).collect()
+    if len(first) > queues:
+        del first[queues - 1 :]
+    everything, all_weight = known.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    totals, own = [r.total for r in first], [r.weight for r in first]
+    rest = everything - sum(totals)
+    if rest:
+        totals, own = [*totals, rest], [*own, max(0.0, all_weight - sum(own))]
+    phases = rounds(totals, own if weights is not None else None, window, quantum)
+    # At most `queues` rows; sources beyond them have no row, and so the shared queue.
+    numbered = F.broadcast(spark.createDataFrame([(r.source, i) for i, r in enumerate(first)], f"named {kind}, queue int"))
+    offsets = sums.select("source", "block", (F.sum("n").over(Window.partitionBy("source").orderBy("block")) - F.col("n")).alias("ahead"))
+    at = offsets.select(F.col("source").alias("of"), F.col("block").alias("by"), "ahead")
+    placed = tokens.join(at, (F.col("block") == F.col("by")) & F.col("source").eqNullSafe(F.col("of"))).join(numbered, F.col("source").eqNullSafe(F.col("named")), "left")
+    placed = placed.select("id", "source", "queue", (F.col("before") + F.col("ahead")).alias("g"), "n_tokens", "ids")
+    runs = placed.where("queue is not null").select("id", "queue", "g", F.lit(0).cast("long").alias("start"), F.col("n_tokens").alias("length"), "n_tokens", "ids")
+    if rest:
+        mine = placed.where("queue is null").join(known.withColumnsRenamed({"source": "of"}), F.col("source").eqNullSafe(F.col("of")))
+        # Sources without a weight, where others have one, are due after these.
+        due = F.col("middle") / F.col("total")
+        if weights is not None:
+            due = F.when(F.col("weight") > 0, F.col("middle") / F.col("weight")).otherwise(F.lit(1e300) * (1 + due))
+        late = shared_queue(mine, due, window, bytes_each)
+        runs = runs.unionByName(late.withColumn("queue", F.lit(len(totals) - 1)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = word_ids(path).dtype
         for batch in batches:
             out: tuple[list, ...] = tuple([] for _ in range(8))
-            for doc, q, g, n, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for doc, q, g, begin, n, whole, raw in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 ids = np.frombuffer(raw, dtype).astype("<u4")
                 for token, place, length in places(q, g, g + n, phases, totals, quantum):
                     while length > 0:
                         size = min(length, window - place % window)
                         piece = ids[token - g : token - g + size].tobytes()
-                        for to, v in zip(out, (doc, token - g, size, n, q, place // window, place % window, piece), strict=True):
+                        for to, v in zip(out, (doc, begin + token - g, size, whole, q, place // window, place % window, piece), strict=True):
                             to.append(v)
                         token, place, length = token + size, place + size, length - size
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (batch.schema.field(0).type, *[pa.int64()] * 3, pa.int32(), *[pa.int64()] * 2, pa.binary()), strict=True)], NAMES)
 
     NAMES = [id_col, "start", "length", "doc_tokens", "queue", "sequence_id", "offset", "ids"]
-    placed = tokens.join(offsets, ["queue", "block"]).select(id_col, "queue", (F.col("before") + F.col("ahead")).alias("g"), "n_tokens", "ids")
-    return placed.mapInArrow(cut, f"`{id_col}` {kind}, start long, length long, doc_tokens long, queue int, sequence_id long, offset long, ids binary")
+    id_kind = tokens.schema["id"].dataType.simpleString()
+    return runs.mapInArrow(cut, f"`{id_col}` {id_kind}, start long, length long, doc_tokens long, queue int, sequence_id long, offset long, ids binary")
 
 
 def sequences(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:

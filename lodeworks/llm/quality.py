@@ -9,6 +9,8 @@ then, no stratum loses more than `risk` of its good documents. Where labels are
 nothing is rejected: with no good document lost, log(error / strata) / log(1 - risk) of them are needed.
 """
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,17 +60,31 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     return whole.select("id", "stratum", *(F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")), *(f"carried_{c}" for c in carry))
 
 
+#: Coefficients of Stirling's series for ln n!, fixed values.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680)
+
+
+def log_factorial(n: Column) -> Column:
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = sum((c / F.pow(x, F.lit(2.0 * i + 1)) for i, c in enumerate(STIRLING)), x * F.log(x) - x + F.log(2 * math.pi * x) / 2)
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
 def binomial_below(n: Column, k: Column, p: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), summed in logarithms from the terms' ratios."""
-    odds = F.log(F.lit(p / (1 - p)))
-    start = n * F.log(F.lit(1 - p))
+    """P(X <= k) for X ~ Binomial(n, p): terms from k downwards by their ratios. Beyond 20 standard deviations from the
+    mean they are nothing in double precision, so no more are summed than that, however many are lost."""
+    mean, reach = n * p, 20 * F.sqrt(n * p * (1 - p)) + 60
+    first = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(p) + (n - k) * math.log(1 - p)
+    count = F.least(k.cast("double"), 2 * reach, F.greatest(k - mean + reach, F.lit(60.0))).cast("long")
+    steps = F.when(count >= 1, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<bigint>"))
 
     def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] + F.log((n - i + 1) / i) + odds
-        return let(term, lambda t: F.struct(t.alias("term"), (F.greatest(t, acc["sum"]) + F.log1p(F.exp(-F.abs(t - acc["sum"])))).alias("sum")))
+        ratio = (k - i) / (n - k + i + 1) * ((1 - p) / p)
+        return let(acc["term"] * ratio, lambda t: F.struct(t.alias("term"), (acc["sum"] + t).alias("sum")))
 
-    steps = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.least(F.lit(1.0), F.exp(F.aggregate(steps, F.struct(start.alias("term"), start.alias("sum")), step, lambda acc: acc["sum"])))
+    one = F.lit(1.0).cast("double")
+    total = F.aggregate(steps, F.struct(one.alias("term"), one.alias("sum")), step, lambda acc: acc["sum"])
+    return F.when(k >= n, 1.0).when(k > mean + reach, 1.0).otherwise(F.least(one, F.exp(first) * total))
 
 
 def cutoffs(scored: DataFrame, good: DataFrame, risk: float, error: float) -> DataFrame:
@@ -112,8 +128,9 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, error: float =
     in `carry` under names that begin with carried_.
 
     labels: id_col and quality; a document whose rows all have quality 1 is good. A null stratum is one of its own.
-    Null texts have no words and fail; repeated rows count each; an empty table of either kind is no error. Other
-    columns are not read.
+    Null and empty texts have no words and fail; texts are read whole; repeated rows count each; rows without an id
+    are judged but hold no label; scores equal to a cutoff pass; without documents there are no rows, without labels
+    no rule is certified. Other columns are not read.
     """
     scores = F.array(*(F.expr(s).cast("double") for s, _ in RULES.values()))
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")

@@ -71,7 +71,7 @@ def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = turns.where("role = 'user'").select("conv_id", name(0).alias("call_id"), "turn", F.get(F.array(*map(F.lit, TOOLS)), k).alias("name"), arguments.alias("arguments"), F.when(k > 0, F.array(name(2))).alias("needs"))
     results = turns.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), "turn", F.coalesce("text", F.lit("")).alias("content"))
     found = link(calls, results, SCHEMAS)
-    return found.select("conv_id", "call_id", "call_turn", "result_turn", F.col("level").cast("long").alias("level"), "status", F.array_join("errors", ";").alias("errors"), "message")
+    return found.select("conv_id", "call_id", "call_turn", "result_turn", F.col("level").cast("long").alias("level"), "status", F.array_join("errors", ";").alias("errors"), "message", "position")
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,13 +88,20 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second replica has a byte too many in some records and has lost the payload of others."""
+    """The pages' archive against a second one, in which some records have a byte too many, have lost their payload, are
+    missing, stand twice, or are new between others. Ids are even, so that new ones find room."""
     from .fixity import audit, warc_record
 
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    rotten = F.when(F.col("page_id") % 997 == 11, "").when(F.col("page_id") % 97 == 5, F.concat("html", F.lit(" "))).otherwise(F.col("html"))
-    found = audit(pages, warc_record(F.col("url"), F.col("html")), warc_record(F.col("url"), rotten), "page_id")
-    return found.select("page_id", F.col("ordinal").cast("long").alias("ordinal"), F.col("offset").cast("long").alias("offset"), "n_bytes", "digest", "damaged")
+    k = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select((2 * k).alias("record_id"), "page_id", "url", "html")
+    rotten = F.when(k % 997 == 11, "").when(k % 97 == 5, F.concat("html", F.lit(" "))).otherwise(F.col("html"))
+    whole = pages.where("page_id % 89 <> 3").withColumn("html", rotten)
+    twice = pages.where("page_id % 211 = 9 and page_id % 89 <> 3").withColumn("html", rotten)
+    new = pages.where("page_id % 307 = 8").withColumn("record_id", F.col("record_id") + 1)
+    found = audit(pages, whole.unionByName(twice).unionByName(new), "record_id", warc_record(F.col("url"), F.col("html")))
+    # A digest of many records is no record's.
+    one = lambda n, d: F.when(F.col(n) == 1, F.col(d))
+    return found.select("record_id", "n", "n_bytes", "ordinal", "offset", one("n", "digest").alias("digest"), "copy_n", "copy_n_bytes", "copy_ordinal", "copy_offset", one("copy_n", "copy_digest").alias("copy_digest"), "status")
 
 
 QUERIES = {
@@ -113,13 +120,19 @@ select coalesce(l.conv_id, r.conv_id) as conv_id, 'call_' || coalesce(l.turn, r.
   case when l.turn is null then 'orphan' when l.text = '' or l.n not between 1 and 60 then 'invalid' when r.turn is null then 'pending' else 'ok' end as status,
   case when l.turn is null then '' else concat_ws(';', case when l.text = '' then '$.query: too short' end, case when l.n not between 1 and 60 then '$.words: out of range' end) end as errors,
   '{' || case when l.turn is null then '' else '"call":{"arguments":{"query":' || to_json(l.text)::varchar || ',"words":' || l.n || '},"name":"' || ['search', 'lookup', 'summarise'][l.k + 1] || '"},' end
-  || '"id":"call_' || coalesce(l.turn, r.turn - 1) || '"' || case when r.turn is null then '' else ',"result":' || to_json(r.text)::varchar end || '}' as message
+  || '"id":"call_' || coalesce(l.turn, r.turn - 1) || '"' || case when r.turn is null then '' else ',"result":' || to_json(r.text)::varchar end || '}' as message,
+  row_number() over (partition by coalesce(l.conv_id, r.conv_id) order by l.level nulls last, coalesce(l.turn, r.turn), 'call_' || coalesce(l.turn, r.turn - 1)) as position
 from l full outer join r on r.conv_id = l.conv_id and r.turn = l.turn + 1""",
     "op10_fixity": """
-with w as (select page_id, 'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: ' as head, coalesce(url, '') as url, coalesce(html, '') as html,
+with p as (select page_id * 2 as record_id, page_id, coalesce(url, '') as url, coalesce(html, '') as html,
   case when page_id % 997 = 11 then '' when page_id % 97 = 5 then coalesce(html || ' ', '') else coalesce(html, '') end as bad from pages),
-r as (select page_id, replace(replace(head || url || '\r\nContent-Type: text/html\r\nContent-Length: ' || strlen(html) || '\r\n\r\n', '\r', chr(13)), '\n', chr(10)) || html || chr(13) || chr(10) || chr(13) || chr(10) as rec, html <> bad as damaged from w),
-d as (select page_id, strlen(rec)::bigint as n_bytes, sha256(rec) as digest, damaged from r)
-select page_id, (row_number() over o - 1)::bigint as ordinal, coalesce(sum(n_bytes) over (order by page_id, digest rows between unbounded preceding and 1 preceding), 0)::bigint as "offset", n_bytes, digest, damaged
-from d window o as (order by page_id, digest)""",
+x as (select 1 as side, record_id, url, html from p union all select 2, record_id, url, bad from p where page_id % 89 <> 3
+  union all select 2, record_id, url, bad from p where page_id % 89 <> 3 and page_id % 211 = 9 union all select 2, record_id + 1, url, html from p where page_id % 307 = 8),
+r as (select side, record_id, replace('WARC/1.0~WARC-Type: resource~WARC-Target-URI: ', '~', chr(13) || chr(10)) || url || replace('~Content-Type: text/html~Content-Length: ', '~', chr(13) || chr(10)) || strlen(html) || replace('~~', '~', chr(13) || chr(10)) || html || replace('~~', '~', chr(13) || chr(10)) as rec from x),
+g as (select side, record_id, count(*) as n, sum(strlen(rec))::bigint as n_bytes, min(sha256(rec)) as d, min(sha256(rec)) = max(sha256(rec)) as alike from r group by 1, 2),
+l as (select *, (sum(n) over o - n)::bigint as ordinal, (sum(n_bytes) over o - n_bytes)::bigint as "offset" from g window o as (partition by side order by record_id)),
+a as (select * from l where side = 1), b as (select * from l where side = 2)
+select coalesce(a.record_id, b.record_id) as record_id, a.n, a.n_bytes, a.ordinal, a."offset", case when a.n = 1 then a.d end as digest, b.n as copy_n, b.n_bytes as copy_n_bytes, b.ordinal as copy_ordinal, b."offset" as copy_offset, case when b.n = 1 then b.d end as copy_digest,
+  case when b.n is null then 'missing' when a.n is null then 'added' when a.d <> b.d then 'changed' when a.n <> b.n then 'repeated' else 'intact' end as status
+from a full join b on a.record_id = b.record_id""",
 }

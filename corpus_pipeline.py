@@ -1,15 +1,23 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; whoever runs them writes each
-stage's rows and reads them again. A stage begins by deleting the intermediate tables of those before it, which are
-needed no longer then. Counted as part of `lodeworks.llm`.
+stage's rows and reads them again. A stage begins by deleting the intermediate tables of the stages before it over
+the same sf_dir, since their rows have been written then; no other tables are touched. Counted as part of
+`lodeworks.llm`.
+
+In every stage null texts count as empty, null ids, languages and sources are values of their own, repeated rows are
+documents each until near_dedup makes them one, texts are read whole, columns besides those of DOCUMENT are not read
+(so they can't clash), and an empty table gives an empty one.
 """
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import release, table, written
+from lodeworks.llm.common import delete, scratch, table, written
 from lodeworks.llm.minhash import near_duplicates
 from lodeworks.llm.mixing import mix, mixed_rows
 from lodeworks.llm.packing import pack
@@ -17,6 +25,29 @@ from lodeworks.llm.quality import judge
 from lodeworks.llm.secrets import redacted, scan_secrets
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+#: sf_dir -> (stage, its intermediate tables) of the stages that have begun.
+_TABLES: dict[str, list[tuple[int, list[str]]]] = {}
+
+
+def _stage(place: int):
+    """A stage at a place in the order: what it makes on the way is deleted when a later one begins."""
+
+    def wrap(f: Callable) -> Callable:
+        @wraps(f)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            begun = _TABLES.setdefault(sf_dir, [])
+            for before, paths in begun:
+                if before < place:
+                    delete(spark, paths)
+            begun[:] = [x for x in begun if x[1]]
+            with scratch() as paths:
+                out = f(spark, docs, sf_dir)
+            begun.append((place, paths))
+            return out
+
+        return run
+
+    return wrap
 
 
 def _back(*others: str) -> list:
@@ -24,40 +55,43 @@ def _back(*others: str) -> list:
     return [F.col(f"carried_{c}").alias(c) for c in DOCUMENT if c not in others]
 
 
+@_stage(0)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    release(spark)
+    """Documents that the rules reject go. A null language is a stratum of its own."""
     return judge(docs, table(spark, sf_dir, "labels"), carry=DOCUMENT).where("kept").select(*_back())
 
 
+@_stage(1)
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays; of rows that repeat it, one."""
-    release(spark)
-    stays = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.select(*DOCUMENT).join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    alike = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text", "lang", "source", "n_chars")
+    """Of each group of near duplicates one document stays: the one with the smallest id (null last), of several texts
+    with that id the one of the smallest hash, and of rows that repeat it one. Rows that share an id but not a text
+    are different documents. Documents without words all stay."""
+    leads = near_duplicates(docs).where("leads").select(F.col("doc_id").alias("lead_id"), "text_hash").distinct()
+    own = docs.select(*DOCUMENT, F.xxhash64("text").alias("text_hash"))
+    found = own.join(leads, own["doc_id"].eqNullSafe(leads["lead_id"]) & (own["text_hash"] == leads["text_hash"]), "left_semi")
+    alike = Window.partitionBy("doc_id", "text_hash").orderBy("lang", "source", "n_chars")
     return found.withColumn("k", F.row_number().over(alike)).where("k = 1").select(*DOCUMENT)
 
 
+@_stage(2)
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts give way to a mark."""
-    release(spark)
     found = scan_secrets(docs, carry=DOCUMENT)
     spans = F.array_sort(F.concat("base", "extra"))
     masked = found.select("*", redacted(F.col("carried_text"), spans).alias("text"))
     return masked.select(*_back("text", "n_chars"), "text", F.length("text").cast("long").alias("n_chars")).select(*DOCUMENT)
 
 
+@_stage(3)
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their source draws them, in the order of the mix."""
-    release(spark)
     rows = mixed_rows(mix(docs, carry=DOCUMENT), DOCUMENT)
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_stage(4)
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their token ids."""
-    release(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

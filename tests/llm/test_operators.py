@@ -48,6 +48,33 @@ def test_near_duplicates_edges(docs):
     assert all(r.kept for r in rows if r.doc_id in (3, 4, 5)) and minhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_near_duplicates_of_short_documents_are_all_found(spark):
+    rng, texts = random.Random(3), []
+    for f in range(150):
+        w = [f"f{f}w{k}" for k in range(rng.randrange(5, 24))]
+        texts += [" ".join(w), " ".join(w[1:]), " ".join([*w, "tail"])]
+    rows = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    s = [sets(t) for t in texts]
+    for a in range(len(texts)):
+        for b in range(a - a % 3, a):
+            if 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b]):
+                assert rows[a].component_id == rows[b].component_id, (a, b)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join("x" if i == k else w for i, w in enumerate(base))
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = [(1, other, 0), (1, near(30), 1), (2, near(31), 2), (3, other + " more", 3), (None, near(0), 4), (None, near(0), 5), (None, "all alone in the world here", 6), (2, near(31), 7)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, bucket int")).collect()
+    assert len(got) == len(rows)
+    names = {(r.doc_id, r.text_hash): (r.component_id, r.kept, r.leads) for r in got}
+    hashes = dict(spark.createDataFrame(rows, "d long, t string, x int").select("x", F.xxhash64("t")).collect())
+    assert names[1, hashes[0]] == (1, True, True) and names[3, hashes[3]] == (1, False, False)
+    assert names[1, hashes[1]] == (1, True, True) and names[2, hashes[2]] == (1, False, False) and names[None, hashes[4]] == (1, False, False)
+    assert names[None, hashes[6]] == (None, True, True)
+
+
 def test_signatures_estimate_without_bias():
     rng = np.random.default_rng(0)
     errors = []
@@ -90,6 +117,46 @@ def test_secrets_of_ordinary_length(spark):
             assert sum(spans[i] == [(4, 4 + n)] for i in own) >= least * len(own), (name, n)
 
 
+def base_spans(text):
+    """The contract's base kinds by Python's `re`, with positions in code points."""
+    out = []
+    for m in re.finditer(secrets.ASSIGN.replace("(?i)", ""), text, re.I | re.A):
+        out += [(m.start(), "assign", m.end())] if len(m[2]) >= 6 else []
+    out += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    out += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    order = {k: i for i, k in enumerate(secrets.KINDS)}
+    return sorted(out, key=lambda x: (x[0], order[x[1]]))
+
+
+def test_base_spans_against_brute_force(spark):
+    rng = random.Random(21)
+    bits = ["password", "PassWd", "secret", "Token", "api_key", "apikey", "AKIA", "AKIAAKIA", "0123456789abcdef", "deadbeef", "ABCDEF0123456789", ":", "=", " : ", '"', "'", "\t", "\n", "\u00a0", "🙂", "é", "\u017f", "k", "abcdef", "a.b-c_d/e+f==", "x" * 30, "g", " ", "\u212a"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(1500)] + ["", "a" * 100_000 + " token=abcdef", None]
+    rows = secrets.scan_secrets(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, base string")).collect()
+    for r in rows:
+        got = [(s.start, secrets.KINDS[s.kind], s.end) for s in r.base]
+        assert got == base_spans(texts[r.doc_id] or ""), texts[r.doc_id]
+
+
+def test_false_discoveries_among_natural_strings(spark):
+    """In each class of length, keys planted among many natural strings: few of what is reported is natural."""
+    rng = random.Random(8)
+    stems = ["get", "user", "Name", "by", "Id", "from", "Cache", "list", "Order", "item", "Total", "price", "Http", "Server", "Error", "config", "Value", "stream", "Reader", "index"]
+    natural, keys = [], []
+    for low, high in ((20, 24), (24, 32), (32, 48), (48, 80)):
+        for _ in range(600):
+            word, sep = "", rng.choice(["", "_", "-"])
+            while len(word) < low:
+                word += (sep if word else "") + rng.choice(stems)
+            natural.append(word[: high - 1].rstrip("_-"))
+        keys += ["".join(rng.choice(secrets.ENCODINGS["base62"]) for _ in range(rng.randrange(low, high))) for _ in range(150)]
+    natural = [w for w in natural if len(w) >= 20]
+    texts = [f"see {k} there" for k in keys] + [f"see {w} there" for w in natural]
+    out = {r.doc_id: r.extra for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found, wrong = sum(bool(out[i]) for i in range(len(keys))), sum(bool(out[i]) for i in range(len(keys), len(texts)))
+    assert found >= 0.8 * len(keys) and wrong <= 0.03 * max(found, 1), (found, wrong)
+
+
 def test_quality_counts_and_bounds(spark, docs):
     texts = ["a b c d a b c x", "a a a a", "one two", "", None, "l\nl\n\nm\nl # $"]
     rows = {r.id: r for r in quality.features(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
@@ -135,7 +202,7 @@ def test_joint_cutoffs_certify_small_strata(spark):
     rows = [("a", zero)] * 480 + [("b", zero)] * 300 + [(None, zero)] * 599 + [(None, lossy)] + [("", lossy)] * 500
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, stratum string, scores array<double>")
     found = {(r.stratum, r.rule): r.cutoff for r in quality.joint_cutoffs(df, df.select("id"), 0.01, 0.05).collect()}
-    assert {k[0] for k in found} == {"a", None, ""}  # four strata: 436 with none lost; b has too few
+    assert {k[0] for k in found} == {"a", None, ""}  # four strata: 437 with none lost; b has too few
     assert {r: found["a", r] for r in range(5)} == {r: cuts[-1] for r, (_, cuts) in enumerate(quality.RULES.values())}
     # One lost of 600 is one too many: P(X <= 1) = 0.017, more than 0.05 / 4. The sequence ends there for every rule.
     assert {r: found[None, r] for r in range(5)} == {r: cuts[0] for r, (_, cuts) in enumerate(quality.RULES.values())}
@@ -151,6 +218,127 @@ def test_judge_rejects_junk_of_a_mid_size_stratum(spark):
     assert not out[400].base_failed and out[400].rejected_by == ["symbols"] and sum(r.kept for r in out.values()) == 400
 
 
+def test_binomial_bound_of_any_size(spark):
+    own = spark.createDataFrame([(10**9, 10**7 + 5000), (10**9, 9 * 10**6), (10**10, 10**9), (437, 0), (436, 0), (0, 0), (10**9, 10**7)], "n long, k long")
+    p = [r.p for r in own.select(quality.binomial_below(F.col("n"), F.col("k"), 0.01).alias("p")).collect()]
+    assert p[0] == pytest.approx(0.944, abs=0.002) and p[1] < 1e-200 and p[2] == 1.0 and p[3] == pytest.approx(0.99**437, rel=1e-9) and p[3] <= 0.0125 < p[4] and p[5] == 1.0
+    assert p[6] == pytest.approx(0.5, abs=0.001)
+
+
+def test_verdict_against_brute_force(spark):
+    rng, rows, labels = random.Random(12), [], []
+    for i in range(4200):
+        lang = ("en", "de", None)[i % 3]
+        bad = rng.random() < 0.25
+        w = [rng.choice("abcdefgh") * rng.randrange(3, 7) + str(rng.randrange(10**6)) for _ in range(rng.randrange(30, 90))]
+        w = [f"{x}$$%%##" if bad and rng.random() < 0.9 else x for x in w]
+        rows.append((i, " ".join(w), lang))
+        if rng.random() < 0.8:
+            labels.append((i, 0 if bad else 1, 0))
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+
+    def scores(text):
+        w = text.split()
+        chars, symbols = sum(map(len, w)), sum(c in quality.SYMBOLS for c in text)
+        return [symbols / max(chars, 1), 0.0, 0.0, chars / max(len(w), 1), -chars / max(len(w), 1)]
+
+    good, cuts = {i for i, q, _ in labels if q == 1}, [c for _, c in quality.RULES.values()]
+    base = {i: len(t.split()) < 50 for i, t, _ in rows}
+    for lang in ("en", "de", None):
+        held = [scores(t) for i, t, x in rows if x == lang and i in good and not base[i]]
+        limits, lost = {}, lambda lim: sum(any(s[r] > c for r, c in lim.items()) for s in held)  # noqa: B023
+        for r, k in quality.SEQUENCE:
+            tried = limits | {r: cuts[r][k]}
+            n, x = len(held), lost(tried)
+            if sum(math.comb(n, j) * 0.01**j * 0.99 ** (n - j) for j in range(x + 1)) > 0.05 / 3:
+                break
+            limits = tried
+        assert limits, lang
+        for i, t, x in rows:
+            if x == lang:
+                wrong = [name for r, name in enumerate(quality.RULES) if r in limits and scores(t)[r] > limits[r]]
+                assert (got[i].kept, got[i].rejected_by) == (not base[i] and not wrong, wrong), (i, wrong)
+    assert any(r.rejected_by for r in got.values())
+
+
+def test_the_risk_is_kept_in_nearly_all_samples(spark):
+    """400 strata of 600 labels each; good documents have symbols whose share of losses by cutoff is known."""
+    rng, rows, i = random.Random(5), [], 0
+    shares = (0.05, 0.02, 0.012, 0.008, 0.004)  # of good documents beyond each cutoff of the first rule, from the mildest reversed
+    for k in range(400):
+        for _ in range(600):
+            u = rng.random()
+            score = next((c + 0.01 for c, p in zip((0.05, 0.1, 0.2, 0.3, 0.5)[::-1], shares[::-1], strict=True) if u < p), 0.0)
+            rows.append((i, str(k), [score, 0.0, 0.0, 0.0, -9.0]))
+            i += 1
+    df = spark.createDataFrame(rows, "id long, stratum string, scores array<double>")
+    found = {r.stratum: r.cutoff for r in quality.joint_cutoffs(df, df.select("id"), 0.01, 20.0).where("rule = 0").collect()}  # level 0.05 a stratum
+    true = dict(zip((0.05, 0.1, 0.2, 0.3, 0.5), shares, strict=True))
+    broken = sum(true[c] >= 0.01 for c in found.values())
+    assert 0 < len(found) and broken <= 0.05 * 400
+
+
+def test_operators_on_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, id int, bucket int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.judge(docs, labels).count() == 0 and secrets.scan_secrets(docs).count() == 0 and mixing.mix(docs).count() == 0 and minhash.near_duplicates(docs).count() == 0
+
+
+def brute_targets(sizes, weights=(5, 2, 1), share=1.5, repeat=2):
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, budget, out = dict.fromkeys(names), share * sum(sizes.values()), {}
+    while True:
+        open_ = [s for s in names if s not in out]
+        if not open_:
+            return out
+        level = (budget - sum(out.values())) / sum(weight[s] for s in open_)
+        over = [s for s in open_ if weight[s] * level >= repeat * sizes[s]]
+        if not over:
+            return out | {s: weight[s] * level for s in open_}
+        out |= {s: float(repeat * sizes[s]) for s in over}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_against_brute_force(spark, seed):
+    """Targets by water-filling; words taken by walking each source's line; shards by the tree's runs."""
+    rng = random.Random(seed)
+    names = ["a", "b", "", "Z", "é", None][: 3 + seed]
+    rows = [(rng.choice([i, i, i, None, 7]), " ".join("w" for _ in range(rng.choice([0, 1, 5, 40, 400]))) if rng.random() > 0.02 else None, rng.choice(names + ["b"] * 4), 1) for i in range(700)]
+    rows += [(3, "same words here", "b", 1)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(5)
+    out = mixing.mix(df, shard_words=3000).collect()
+    sizes = {s: sum(len((t or "").split()) for _, t, x, _ in rows if x == s) for s in {r[2] for r in rows}}
+    want = brute_targets(sizes)
+    assert sorted((r.doc_id or -1, r.size, str(r.source)) for r in out) == sorted((i or -1, len((t or "").split()), str(s)) for i, t, s, _ in rows)
+    for s, total in sizes.items():
+        own = [r for r in out if r.source == s]
+        assert all(r.source_size == total and r.target == pytest.approx(want[s], rel=1e-9) for r in own)
+        aim = round(want[s])
+        assert sum(r.taken for r in own) == aim and all(r.taken == sum(d.words for d in r.draws) for r in own)
+        # Whole passes take all of each document, the last one the beginning of the line: at most one is cut.
+        full, rest = divmod(aim, total) if total else (0, 0)
+        assert all(full * r.size <= r.taken <= min(2, full + 1) * r.size for r in own) and sum(full * r.size < r.taken < (full + 1) * r.size for r in own) <= 1
+        # A shard's draws of a source are its words but for the documents at its ends.
+        shards = sorted({d.shard for r in own for d in r.draws})
+        assert all(0 <= x < 4096 for x in shards)
+    again = mixing.mix(df.repartition(2), shard_words=3000).collect()
+    of = lambda rows: sorted((str(r.doc_id), r.size, str(r.source), r.taken, tuple(sorted((d["pass"], d.shard, d.words) for d in r.draws))) for r in rows)
+    assert of(out) == of(again)
+
+
+def test_shards_get_their_quotas(spark):
+    plan = spark.createDataFrame([(0, 5000, 700), (1, 3, 1), (2, 0, 1), (3, 999, 125)], "place int, draws long, span long")
+    runs = mixing.shard_runs(plan, 3, 5).select("place", "shard", "first", "last").distinct().collect()
+    tree = {r.shard: r.draws for r in mixing.split_tree(spark.range(1).select(F.array(*(F.lit(x).cast("bigint") for x in (5000, 3, 0, 999))).alias("draws")), 3, 5).collect()}
+    for place in range(4):
+        own, at = sorted((r for r in runs if r.place == place), key=lambda r: r.shard), 0
+        assert {r.shard: r.last - r.first + 1 for r in own} == {s: d[place] for s, d in tree.items() if d[place]}
+        for r in own:
+            assert r.first == at
+            at = r.last + 1
+
+
 def test_mixing(spark, docs):
     rng = random.Random(2)
     rows = [(i, " ".join("w" for _ in range(rng.randrange(1, 60))), rng.choice("abcde")) for i in range(800)] + [(900, "only one", None)]
@@ -191,17 +379,71 @@ def test_nearest(spark):
     assert [(r.query_id, r.vec_id, round(r.score, 6)) for r in few] == [(0, 1, 0.707107)]
 
 
-def test_fixity_finds_all_and_only_damage(spark):
-    rows = [(i, f"http://x/{i}", f"body {i}") for i in range(300)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    bad = F.when(F.col("page_id").isin(7, 150, 299), "rot").otherwise(F.col("html"))
-    out = fixity.audit(df, fixity.warc_record(F.col("url"), F.col("html")), fixity.warc_record(F.col("url"), bad), "page_id").collect()
-    assert {r.page_id for r in out if r.damaged} == {7, 150, 299} and len(out) == 300
-    at = 0
-    for r in sorted(out, key=lambda r: r.ordinal):
-        assert r.offset == at
-        at += r.n_bytes
-    assert fixity.audit(df.where("false"), fixity.warc_record(F.col("url"), F.col("html")), F.lit(""), "page_id").count() == 0
+def test_nearest_with_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 2), (0, [0.0, 1.0], 3), (1, [1.0, 0.1], 4), (1, [1.0, 0.1], 5), (2, [0.9, 0.3], 6), (3, [0.1, 1.0], 7), (None, [1.0, 1.0], 8)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int"), every=2, k=2).collect()
+    answers = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        answers.setdefault((r.query_id, r.query_key), []).append(r.vec_id)
+    assert sorted((q, *v) for (q, _), v in answers.items()) == [(0, 1, 2), (0, 3, 2), (2, 1, 0)]
+    many = [(i % 3, [1.0, float(i % 5)]) for i in range(3000)]  # fifteen rows, each two hundred times
+    got = ann.nearest(spark.createDataFrame(many, "vec_id long, embedding array<double>"), every=3, k=4).collect()
+    assert len({r.query_key for r in got}) == 5 and len(got) == 20
+    assert {tuple(sorted(r.vec_id for r in got if r.query_key == k)) for k in {r.query_key for r in got}} == {(1, 1, 2, 2)}
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert ann.nearest(empty).count() == 0
+
+
+RECORD = fixity.warc_record
+
+
+def archive(spark, rows):
+    return spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
+
+
+def told(spark, a, b):
+    rows = fixity.audit(archive(spark, a), archive(spark, b), "page_id", RECORD(F.col("url"), F.col("html"))).collect()
+    return {r.page_id: r for r in rows}
+
+
+@pytest.mark.parametrize("n", [1, 15, 700])
+def test_fixity_finds_all_and_only_damage(spark, n):
+    rng = random.Random(n)
+    a = [(2 * i, f"http://x/{i}", f"body {i}") for i in range(n)]
+    b = [r for r in a if rng.random() > 0.05]
+    b = [(i, u, h + "!") if rng.random() < 0.05 else (i, u, h) for i, u, h in b]
+    b += [r for r in b if rng.random() < 0.05] + [(2 * i + 1, "new", None) for i in range(n) if rng.random() < 0.05]
+    rng.shuffle(b)
+    out = told(spark, a, b)
+    record = lambda u, h: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len((h or '').encode())}\r\n\r\n{h or ''}\r\n\r\n"
+    of = lambda rows, i: sorted(record(u, h) for j, u, h in rows if i == j)
+    assert set(out) == {r[0] for r in a + b}
+    for i, r in out.items():
+        x, y = of(a, i), of(b, i)
+        want = "missing" if not y else "added" if not x else "intact" if x == y else "repeated" if set(x) == set(y) and len(set(x)) == 1 else "changed"
+        assert r.status == want, i
+    for n_, o, k in (("n", "offset", "ordinal"), ("copy_n", "copy_offset", "copy_ordinal")):
+        size, own = n_.replace("n", "n_bytes") if n_ == "n" else "copy_n_bytes", sorted((r for r in out.values() if r[n_]), key=lambda r: r.page_id)
+        at = place = 0
+        for r in own:
+            assert (r[o], r[k]) == (at, place)
+            at, place = at + r[size], place + r[n_]
+
+
+def test_fixity_edges(spark):
+    a = [(i, f"u{i}", "x") for i in range(40)]
+    assert {r.status for r in told(spark, a, []).values()} == {"missing"} and {r.status for r in told(spark, [], a).values()} == {"added"}
+    assert told(spark, [], []) == {} and {r.status for r in told(spark, a, a[::-1]).values()} == {"intact"}
+    nulls = [(None, None, None)] * 30 + [(7, None, "x" * 200_000)] * 2
+    assert {k: r.status for k, r in told(spark, nulls, nulls).items()} == {None: "intact", 7: "intact"}
+    assert {k: r.status for k, r in told(spark, nulls, nulls[1:] + [(7, "u", "")]).items()} == {None: "repeated", 7: "changed"}
+    big = told(spark, a[:3], [(i, f"u{i}", "x") for i in range(900)])  # trees of unequal height
+    assert [big[i].status for i in (0, 2, 3, 899)] == ["intact", "intact", "added", "added"]
+    # Only branches that differ are gone down: an insertion leaves all other nodes as they were.
+    rows = [(i, f"u{i}", "x") for i in range(2000)]
+    x, y = (fixity.tree(fixity.leaves(archive(spark, r), "page_id", RECORD(F.col("url"), F.col("html"))), 3) for r in (rows, rows[:1000] + rows[1001:]))
+    changed = [p.join(q, ["node", "digest"], "left_anti").count() for p, q in zip(x, y, strict=True)]
+    assert changed[0] == 1 and max(changed[1:]) <= 2 and x[1].count() > 60 and [x[3].count(), y[3].count()] == [1, 1]
 
 
 def test_licenses(spark, docs):
@@ -213,13 +455,23 @@ def test_licenses(spark, docs):
 
 
 def test_licence_table_is_whole(spark):
-    found = spark.createDataFrame([(k, s) for k, s in enumerate(licenses.SENTENCES)], "doc_id long, text string")
-    by_id = {r.doc_id: r.sentences for r in licenses.scan_licenses(found).collect()}
-    assert [by_id[k] for k in range(len(by_id))] == [[i] for i in licenses.SENTENCES.values()]
-    assert all(any(w in s for w in licenses.KEYWORDS) for s in licenses.SENTENCES)
-    assert {i for ids, _ in licenses.RULES for i in ids} <= set(licenses.SENTENCES.values())
-    alone = {ids[0] for ids, _ in licenses.RULES if len(ids) == 1}
-    assert {"AllRights", *(i for i in licenses.SENTENCES.values() if i.endswith("Ref") or i.startswith("Cc"))} <= alone
+    """Each sentence of the table is found, alone and in a text, and each identifier has a rule."""
+    own = [(name, text) for name, texts in licenses.SENTENCES.items() for text in texts]
+    rows = licenses.scan_licenses(spark.createDataFrame([(k, text) for k, (_, text) in enumerate(own)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.sentences for r in rows} == {k: [name] for k, (name, _) in enumerate(own)}
+    assert all(any(w in text.lower() for w in licenses.KEYWORDS) for _, text in own)
+    assert {i for ids, _ in licenses.ALL_RULES for i in ids} <= set(licenses.TABLE.values())
+    assert {i for i in licenses.TABLE.values() if i.startswith("Ref:")} == {ids[0] for ids, _ in licenses.ALL_RULES if len(ids) == 1 and ids[0].startswith("Ref:")}
+
+
+SPELLED = {
+    "Licensed under CC-BY-4.0.": "CC-BY-4.0", "Licensed under the Apache License 2.0.": "Apache-2.0", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "Licensed under the GNU GPL v3.": "GPL-3.0-only", "Licensed under the GNU General Public License v3.0.": "GPL-3.0-only",
+    "Licensed under the MIT license (MIT).": "MIT", "// SPDX-License-Identifier: (MIT OR Apache-2.0)": "Apache-2.0,MIT", "/* SPDX-License-Identifier: GPL-2.0+ */": "GPL-2.0-or-later", "This file is released under GPLv2 or any later version.": "GPL-2.0-or-later", "Released under CC0.": "CC0-1.0",
+    "This project is licensed under the BSD 3-Clause License.": "BSD-3-Clause", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "Available under the ISC licence.": "ISC", "Licensed under the zlib/libpng License.": "Zlib", "Licensed under EPL-2.0.": "EPL-2.0", "Licensed under the LGPL v2.1.": "LGPL-2.1-only",
+    "Licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0", "This work is not licensed under the MIT License.": "", "It was seized under a licence.": "",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "AGPL-3.0-or-later",
+    "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.": "LGPL-2.1-or-later",
+}
 
 
 def test_licence_references_in_any_form(spark):
@@ -229,11 +481,14 @@ def test_licence_references_in_any_form(spark):
         "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "CC-BY-NC-SA-4.0",
     }
     leads = ("Licensed under", "Released under", "This work is licensed under", "This project is released under", "The software is distributed under the terms of", "This file is made available under")
-    texts = [(f"Some words. {lead} {name}. More words.", lic) for lead in leads for name, lic in named.items()]
+    texts = [(f"Some words. {lead} {name}. More words.", lic) for lead in leads for name, lic in named.items()] + list(SPELLED.items())
     mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
-    texts += [(mpl, "MPL-2.0"), ("Text. All rights reserved.", "LicenseRef-all-rights-reserved"), ("This work is not licensed under the MIT License.", None), ("It is v. Good.\nReleased under the MIT License.", "MIT")]
-    rows = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
-    assert {texts[r.doc_id][0]: r.licenses for r in rows} == {t: [lic] if lic else [] for t, lic in texts}
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution."
+    endorse = "\n3. Neither the name of Example Corp. nor the names of its contributors may be used to\n   endorse or promote products derived from this software without specific\n   prior written permission."
+    texts += [(mpl, "MPL-2.0"), (bsd, "BSD-2-Clause"), (bsd + endorse.replace(" Corp.", ""), "BSD-3-Clause"), ("Text. All rights reserved.", "LicenseRef-all-rights-reserved"), ("It is v. Good.\nReleased under the MIT License.", "MIT"), ("", ""), (None, ""), ("words " * 50_000 + "\nReleased under the MIT License.", "MIT")]
+    rows = licenses.scan_licenses(spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(texts)], "doc_id long, text string, sentences string")).collect()
+    assert {r.doc_id: ",".join(sorted(r.licenses)) for r in rows} == {i: lic for i, (_, lic) in enumerate(texts)}
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_tool_calls(spark):
@@ -244,5 +499,60 @@ def test_tool_calls(spark):
     assert {k: r.status for k, r in rows.items()} == {"a": "ok", "b": "invalid", "c": "invalid", "d": "pending", "e": "early", "q": "orphan", None: "pending"}
     assert {k: rows[k].level for k in "abcde"} == {"a": 0, "b": 1, "c": None, "d": None, "e": 2}
     assert rows["a"].message == '{"call":{"arguments":{"n":2,"q":"x"},"name":"f"},"id":"a","result":"ok é"}' and rows["b"].n_calls == 2
-    assert [r.call_id for r in tool_calls.ordered(tool_calls.link(calls, results, schema)).collect() if r.level is not None] == ["a", "b", "e"]
     assert re.match(r"\$\.q", rows["b"].errors[0])
+    ranks = sorted((r for r in tool_calls.link(calls, results, schema).collect() if r.conv_id == 1), key=lambda r: r.position)
+    assert [r.position for r in ranks] == [1, 2, 3, 4, 5, 6] and [r.call_id for r in ranks] == ["a", "b", "e", "c", "q", "d"]
+    none = calls.where("false"), results.where("false")
+    assert tool_calls.link(*none, schema).count() == 0 and tool_calls.link(none[0], results, schema).count() == 3 and tool_calls.link(calls, none[1], {}).count() == 6
+
+
+def test_arguments_against_schemas():
+    of = lambda v, s: list(tool_calls.violations(v, s))
+    assert of(True, {"enum": [1]}) and not of(1.0, {"enum": [1]}) and of({"a": True}, {"enum": [{"a": 1}]})
+    assert of(True, {"type": "integer"}) and not of(2.0, {"type": "integer"}) and of([1, "x"], {"items": {"type": "integer"}}) == ["$[1]: not integer"]
+    for bad in ({"type": "datetime"}, {"properties": {"q": {"type": "text"}}}, {"items": {"type": ["string", "nul"]}}, "string"):
+        with pytest.raises(ValueError):
+            tool_calls.checked(bad)
+
+
+@pytest.mark.parametrize("edges", [0, 20_000])
+def test_levels_of_chains_circles_and_webs(spark, edges):
+    rng = random.Random(6)
+    needs = [(1, f"c{i}", f"c{i - 1}") for i in range(1, 60)] + [(2, f"d{i}", f"d{rng.randrange(i)}") for i in range(1, 50) for _ in range(2)] + [(3, "a", "b"), (3, "b", "a"), (3, "c", "a"), (3, "c", "d"), (3, "e", "f"), (3, "f", "f"), (3, "g", "nowhere")]
+    calls = sorted({(c, x) for c, a, b in needs for x in (a, b) if x != "nowhere"})
+
+    def level(c, x, seen=()):
+        if x in seen:
+            raise RecursionError
+        return max((level(c, b, (*seen, x)) + 1 for c2, a, b in needs if (c2, a) == (c, x) and b != "nowhere"), default=0)
+
+    want = {}
+    for c, x in calls:
+        try:
+            want[c, x] = level(c, x) if c == 3 else None
+        except RecursionError:
+            pass
+    for c in (1, 2):  # in the order of their numbers, each after those that it needs
+        for x in sorted((x for d, x in calls if d == c), key=lambda x: int(x[1:])):
+            want[c, x] = max((want[c, b] + 1 for d, a, b in needs if (d, a) == (c, x)), default=0)
+    got = tool_calls.levels(spark.createDataFrame(calls, "conv_id long, call_id string"), spark.createDataFrame(needs, "conv_id long, call_id string, needs string"), edges)
+    assert {(r.conv_id, r.call_id): r.level for r in got.collect()} == want
+
+
+def test_places_of_a_long_conversation(spark):
+    """One conversation has nearly all rows, so that its ranges lie in several parts; a very long text among them."""
+    n = 3000
+    calls = spark.createDataFrame([(1 if i % 50 else i, f"c{i:05}", i, "f", '{"q":"' + "x" * (100_000 if i == 7 else 1) + '"}', [f"c{i - 2:05}"] if i % 7 == 0 else None, "x") for i in range(n)], "conv_id long, call_id string, turn long, name string, arguments string, needs array<string>, level string")
+    results = spark.createDataFrame([(1, "c00007", 8, "r" * 200_000, 1)], "conv_id long, call_id string, turn long, content string, position int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = tool_calls.link(calls, results, {"f": {"type": "object"}}).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by = {}
+    for r in rows:
+        by.setdefault(r.conv_id, []).append(r)
+    for own in by.values():
+        order = sorted(own, key=lambda r: (r.level is None, r.level or 0, r.call_turn, r.call_id))
+        assert [r.position for r in order] == list(range(1, len(own) + 1))
+    assert len(rows) == n and max(len(r.message) for r in rows) > 300_000

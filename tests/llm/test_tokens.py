@@ -83,3 +83,76 @@ def test_rounds_fill_windows_in_proportion(weights):
 def test_empty_tables(docs):
     none = docs.where("false")
     assert pack(none, WORDS).count() == 0 and prefix_table(none, BYTES).count() == 0
+
+
+def test_special_strings_without_end():
+    own, library = PrefixCounts(BYTES), Tokenizer.from_file(BYTES)
+    text = "<|endoftext|>" * 3000 + "a <|endoftext|> b" + "<|endoftext|" * 3
+    steps = own.steps(text)
+    assert len(steps) == 2 * len(text) and tokens_at(steps, len(text)) == len(library.encode(text, add_special_tokens=False).ids)
+    for k in (0, 5, 13, 14, 26, len(text) - 40, len(text) - 1):
+        assert tokens_at(steps, k) == len(library.encode(text[:k], add_special_tokens=False).ids), k
+
+
+def test_memo_is_bounded_by_bytes(monkeypatch):
+    from lodeworks.llm import bpe
+
+    monkeypatch.setattr(bpe, "MEMO", 20_000)
+    memo = bpe.Memo(lambda k: (k * 4).encode())
+    for i in range(5000):
+        assert memo.get(f"key {i}" * 5) == (f"key {i}" * 20).encode()
+    assert len(memo.new) + len(memo.old) < 250
+
+
+def many_sources(spark, n):
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(5 + i * 13 % 90)), f"s{i % n:03}" if i % 9 else None) for i in range(900)]
+    rows += [(2000 + i, "hot source words here " * 8, "hot") for i in range(300)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_packing_keeps_the_proportions_of_any_number_of_sources(spark, weighted):
+    """Eight queues for some two hundred sources: the last is shared, and all get their part of every stretch."""
+    docs, window = many_sources(spark, 300), 256
+    source = {r.doc_id: r.source for r in docs.collect()}
+    names = sorted({s for s in source.values() if s})
+    weights = {s: 1.0 + k % 3 for k, s in enumerate(names)} if weighted else None
+    rows = pack(docs, WORDS, window=window, quantum=8, weights=weights, queues=8).collect()
+    total, place, ends = {}, {}, {}
+    for r in rows:
+        s = source[r.doc_id]
+        total[s] = total.get(s, 0) + r.length
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        place.setdefault(s, []).append((r.sequence_id * window + r.offset, r.length))
+    for k, pieces in ends.items():  # gapless, all full but the last
+        at = 0
+        for o, n in sorted(pieces):
+            assert o == at
+            at += n
+        assert at == window or k == max(ends)
+    for d in {r.doc_id for r in rows}:
+        own = sorted((r for r in rows if r.doc_id == d), key=lambda r: r.start)
+        at = 0
+        for r in own:
+            assert r.start == at
+            at += r.length
+        assert at == own[0].doc_tokens
+    whole = sum(total.values())
+    assert len({r.queue for r in rows}) == 8 and len(total) > 100
+    sent = lambda s, upto: sum(max(0, min(n, upto - p)) for p, n in place[s])
+    if not weighted:
+        for s, t in total.items():
+            for upto in range(0, whole - 2 * window, 4 * window):
+                assert abs(sent(s, upto) - t * upto / whole) <= 2 * window, (s, upto)
+    else:  # while all weighted sources last, they are served by their weights; the null source comes last
+        first = min(total[s] / weights[s] for s in names)
+        upto = int(first * sum(weights.values()) * 0.8)
+        for s in names:
+            assert abs(sent(s, upto) - weights[s] * upto / sum(weights.values())) <= 2 * window, s
+        assert min(p for p, _ in place[None]) >= 0.6 * whole
+
+
+def test_packing_edges(spark, docs):
+    assert pack(docs.where("false"), WORDS).count() == 0
+    one = pack(docs.where("doc_id = 3"), WORDS).collect()
+    assert [(r.start, r.length, r.sequence_id, r.offset) for r in one] == [(0, 1, 0, 0)] and np.frombuffer(one[0].ids, "<u4").tolist() == [1]

@@ -31,7 +31,7 @@ PDF_HINTS = ["report", "white paper", "brief", "fact sheet", "study", "roadmap",
 DOCUMENT_HINTS = [*QUALITY, "supplier", "tier", "facility", "plant", "county", "georgia", "capacity", "gwh", "tons", "offtake", "localization", "webinar", "presentation", "fact sheet", "case study"]
 RESEARCH = ["abstract", "literature review", "electrochemical", "coulombic efficiency", "cycle life", "half-cell", "coin cell", "electrode slurry", "xrd", "sem analysis", "lab-scale", "novel chemistry", "peer reviewed"]
 NEWS = ["announced today", "according to", "reported", "news release", "press release", "breaking", "monday", "tuesday", "wednesday", "thursday", "friday", "weekend", "shares rose"]
-MARKETING = ["best-in-class", "leading provider", "we offer", "our solutions", "our products", "trusted partner", "industry-leading"]
+MARKETING = ["request a quote", "contact us", "learn more", "book a demo", "schedule a demo", "world-class", "best-in-class", "leading provider", "we offer", "our solutions", "our products", "trusted partner", "industry-leading"]
 QUERY_HINTS = ["supplier tier network", "facility capacity timeline", "Georgia Southeast", "risk resilience localization"]
 # Relationship, logistics, policy and recycling terms of the rubric.
 RUBRIC = {
@@ -40,6 +40,22 @@ RUBRIC = {
     "relationship": ["supplier", "tier 1", "tier 2", "tier 3", "customer", "offtake", "joint venture", "partner"],
     "recycling": ["recycling", "black mass", "hydrometallurgy", "recovered material", "scrap"],
 }
+# Relationship, logistics and policy terms of the lexical-entity score.
+LEXICAL = {
+    "relationship": ["supplier", "tier 1", "tier 2", "tier 3", "customer", "offtake", "joint venture"],
+    "logistics": ["logistics", "port", "savannah", "brunswick", "rail", "hazmat", "freight", "intermodal"],
+    "policy": [*POLICY, "localization", "site readiness", "workforce", "grant", "incentive"],
+}
+# HTML elements that are no content, words of a class or id that tell boilerplate and content, and the
+# meta tags that hold a publication date, in order.
+NO_CONTENT = ["script", "style", "noscript", "nav", "footer", "header", "aside", "form"]
+BOILERPLATE = ["nav", "menu", "footer", "header", "aside", "sidebar", "breadcrumb", "social", "share", "cookie", "banner", "subscribe", "newsletter", "pager"]
+CONTENT = ["article", "content", "main", "story", "post", "entry", "body", "report", "copy", "text", "rich-text", "rich_text", "rich text", "richtext"]
+META_DATES = [("property", "article:published_time"), ("property", "article:modified_time"), ("name", "pubdate"), ("name", "publish-date"), ("name", "date"), ("name", "article:published_time"), ("itemprop", "datePublished")]
+# What the score of an HTML block adds for a paragraph, a heading, a mark of punctuation (at most so much in
+# all), takes off for a list item and for its share of link text, and adds for a main element and a telling class.
+BLOCK = {"paragraph": 120.0, "heading": 60.0, "mark": 4.0, "marks": 200.0, "item": -8.0, "links": -1500.0, "main": 400.0, "hint": 250.0}
+BLOCK_LEAST = 250
 # Regular expressions over lower-cased text, one specificity signal each.
 SPECIFICS = [
     r"\b\d+(?:\.\d+)?\s?(gwh|mwh|kwh|mtpa|tons|tonnes|million|billion|%)\b",
@@ -62,6 +78,14 @@ MONTHS = "Jan|January|Feb|February|Mar|March|Apr|April|May|Jun|June|Jul|July|Aug
 DATES = [rf"\b(?:{MONTHS})\s+\d{{1,2}},\s+20\d{{2}}\b", r"\b20\d{2}-\d{2}-\d{2}\b", r"\b\d{1,2}/\d{1,2}/20\d{2}\b", r"\b20\d{2}\b"]
 CAPACITIES = r"\b\d+(?:\.\d+)?\s?(?:gwh|mwh|kwh|mtpa|tons per year|tons|tonnes|million|billion|%)\b"
 FACILITIES = r"\b([A-Z][A-Za-z0-9&,\- ]{2,80}?\s(?:plant|facility|site|factory|campus|metaplant|hub|center|centre|port|terminal))\b"
+# A card's characters of a first page and of two, summary lengths, and kinds of names with their caps.
+FIRST_PAGE, TWO_PAGES = 2500, 5000
+NAME_CAPS = {"company": 20, "county": 15, "oem": 15, "port": 10}
+VALUE_CHAIN_CAP = 20
+# Points of what a card's evidence consists of.
+EVIDENCE = {"metadata_summary": 5.0, "first_page_summary": 18.0, "two_page_summary": 15.0, "sampled_summary": 15.0, "headings_text": 10.0, "relevant_chunks": 20.0, "evidence_pages_text": 15.0}
+# Weights of the grounded-entity score; dates count up to four.
+GROUNDED = {"companies": 18.0, "counties": 12.0, "oems": 14.0, "facilities": 10.0, "capacities": 18.0, "dates": 5.0}
 # The words of a question that route it.
 ROUTES = {
     "web_needed": ["international import", "international imports", "imports", "growing fastest", "growing", "demand", "regionally", "workforce capacity", "shifting from ice", "ice components"],

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
+from .shared import if_small
 
 
 def overriding(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -41,20 +42,41 @@ def merged_modes(frames: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return out
 
 
+#: Aliases up to which each text is searched for each of them; beyond, windows of words are joined with them.
+IN_ROW = 64
+
+
+def aliases_of(names: DataFrame) -> DataFrame:
+    """(name, ord, alias) of names (name, alias, ord, and kind if some are counties). A county's alias that doesn't say
+    so counts only before "county" or "georgia"."""
+    own = names.select("name", "ord", match_key(F.col("alias")).alias("alias"), (F.col("kind") if "kind" in names.columns else F.lit("")).alias("kind")).where("alias <> ''")
+    short = (F.col("kind") == "county") & ~F.contains(F.col("alias"), F.lit("county"))
+    forms = F.when(short, F.array(F.concat("alias", F.lit(" county")), F.concat("alias", F.lit(" georgia")))).otherwise(F.array("alias"))
+    return own.select("name", "ord", F.explode(forms).alias("alias")).distinct()
+
+
 def name_matches(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, limit: int | None = None) -> DataFrame:
-    """(id, name, ord): names whose alias stands in a text as whole words. names: name, alias, ord.
+    """(id, name, ord): names whose alias stands in a text as whole words. names: of `aliases_of`.
 
-    An alias of n words meets the n-word windows of the texts in an equi-join; only lengths that aliases have are
-    cut. limit: names of a document at most, by ord (the operator's cap on what it reports).
+    Few aliases are looked for in each text. More meet the windows of the texts that have as many words as an alias;
+    where the aliases are no more than BROADCAST_ROWS, no window is shuffled. limit: names of a document at most, by
+    ord (the operator's cap on what it reports).
     """
-    own = names.select("name", "ord", match_key(F.col("alias")).alias("alias")).where("alias <> ''").withColumn("n", F.size(F.split("alias", " ")))
-    lengths = [r.n for r in own.select("n").distinct().orderBy("n").limit(64).collect()]
-    words = texts.select(F.col(id_col).alias("id"), F.split(match_key(F.col(text_col)), " ").alias("w"))
-    cut = [_windows(n) for n in lengths]
-    if not cut:
-        return words.select("id", F.lit("").alias("name"), F.lit(0).alias("ord")).where("false")
-    windows = words.select("id", F.explode(F.array_distinct(F.concat(*cut))).alias("alias"))
-    hits = windows.join(own, "alias").groupBy("id", "name").agg(F.min("ord").alias("ord"))
+    own = aliases_of(names)
+    few = own.limit(IN_ROW + 1).collect()
+    if len(few) <= IN_ROW:
+        if not few:
+            return texts.select(F.col(id_col).alias("id"), F.lit("").alias("name"), F.lit(0).alias("ord")).where("false")
+        table = F.array(*(F.struct(F.lit(r.name).alias("name"), F.lit(r.ord).alias("ord"), F.lit(f" {r.alias} ").alias("alias")) for r in few))
+        padded = texts.select(F.col(id_col).alias("id"), F.concat(F.lit(" "), match_key(F.col(text_col)), F.lit(" ")).alias("t"))
+        found = padded.select("id", F.explode(F.filter(table, lambda a: F.contains(F.col("t"), a["alias"]))).alias("a"))
+        hits = found.groupBy("id", "a.name").agg(F.min("a.ord").alias("ord"))
+    else:
+        sized = own.withColumn("n", F.size(F.split("alias", " ")))
+        lengths = [r.n for r in sized.select("n").distinct().orderBy("n").collect()]  # no more than words of an alias
+        words = texts.select(F.col(id_col).alias("id"), F.split(match_key(F.col(text_col)), " ").alias("w"))
+        windows = words.select("id", F.explode(F.array_distinct(F.concat(*(_windows(n) for n in lengths)))).alias("alias"))
+        hits = windows.join(if_small(own), "alias").groupBy("id", "name").agg(F.min("ord").alias("ord"))
     if limit is None:
         return hits
     best = hits.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "name"))), 1, limit).alias("h"))

@@ -92,9 +92,14 @@ _UNESC = "replace(replace(replace(replace(replace(replace({c}, '&nbsp;', ' '), '
 _DOC = rf"array_to_string(list_filter(list_transform(string_split_regex({_UNESC}, '\r\n|\r|\n'), lambda x: trim(regexp_replace(x, '[\s\x{{{{00A0}}}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
 
 
-@query(f"select page_id, {_DOC.format(c='''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')} as title, '' as link from pages")
+#: The pages have neither canonical links nor meta titles: every third gets both.
+_LINKED = "case when page_id % 3 = 0 then replace(html, '<head>', '<head><meta content=\"Shared  title ' || page_id || '\" property=\"og:title\"><link rel=\"canonical\" href=\"' || url || '\">') else html end"
+
+
+@query(f"select page_id, case when page_id % 3 = 0 then 'Shared title ' || page_id else {_DOC.format(c='''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)''')} end as title, case when page_id % 3 = 0 then trim(url) else '' end as link from pages")
 def html_title_url(spark, d):
-    return table(spark, d, "pages").select("page_id", H.title(F.col("html")).alias("title"), H.canonical_link(F.col("html")).alias("link"))
+    page = F.expr(_LINKED)
+    return table(spark, d, "pages").select("page_id", H.title(page).alias("title"), H.canonical_link(page).alias("link"))
 
 
 _BARE = "html"
@@ -103,9 +108,32 @@ for _tag in ("script", "style", "noscript", "nav", "footer", "header", "aside",
 _PLAIN = rf"trim(regexp_replace({_DOC.format(c='''regexp_replace(regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<[^>]+>', ' ', 'g')''')}, '[\s\x{{00A0}}]+', ' ', 'g'))"
 
 
-@query(f"select page_id, case when len(a) >= 250 then a else w end as main from (select page_id, {_PLAIN.replace('{c}', '''regexp_extract(b, '(?is)<article[^>]*>(.*?)</article>', 1)''')} as a, {_PLAIN.replace('{c}', 'b')} as w from (select page_id, {_BARE} as b from pages))")
+#: Pages with what tells content from boilerplate: a block to leave out, and for every other page a block of content
+#: with links beside the article.
+_PAGE = "replace(html, '<article>', '<div id=\"top-menu\"><div>skip <p>this</p></div></div>' || case when page_id % 2 = 0 then '<div class=\"story\"><div>' || repeat('some <a href=\"x\">linked words</a> here. ', (page_id % 40)::int) || '</div></div>' else '' end || '<article>')"
+_IN_PAGE = "<article>(.*?)</article>"
+_N = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
+_SCORE = lambda c, t, more: f"(case when len({t}) = 0 then 0.0 else len({t}) + least(200, 4 * {_N(t, '[.!?:]')}) + 120 * {_N(c, '(?i)<p[ >]')} + 60 * {_N(c, '(?i)<h[1-3][ >]')} - 8 * {_N(c, '(?i)<li[ >]')} - 1500.0 * len({_PLAIN.replace('{c}', _LINKS.format(c=c))}) / greatest(1, len({t})) + {more} end)"
+_LINKS = "array_to_string(regexp_extract_all({c}, '(?is)<a [^>]*>(.*?)</a>', 1), ' ')"
+_MAIN = f"""with p as (select page_id, regexp_replace({_PAGE}, '(?is)<head>.*?</head>', ' ') as html from pages), b as (select page_id, regexp_replace({_BARE}, '(?is)<div id="top-menu"><div>.*?</div></div>', ' ') as b from p),
+x as (select page_id, b, regexp_extract(b, '(?is){_IN_PAGE}', 1) as a, regexp_extract(b, '(?is)<div class="story"><div>(.*?)</div></div>', 1) as s from b),
+t as (select *, {_PLAIN.replace('{c}', 'a')} as ta, {_PLAIN.replace('{c}', 's')} as ts, {_PLAIN.replace('{c}', 'b')} as tb from x),
+y as (select page_id, ta, ts, tb, {_SCORE('a', 'ta', '400.0')} as sa, {_SCORE('s', 'ts', '250.0')} as ss, {_SCORE('b', 'tb', '250.0')} as sb from t),
+l as (select page_id, tb, list_filter([{{'s': round(ss, 6), 'i': 3, 't': ts}}, {{'s': round(sa, 6), 'i': 2, 't': ta}}, {{'s': round(sb, 6), 'i': 1, 't': tb}}], lambda z: len(z.t) >= 250) as c from y)
+select page_id, case when list_max(c).s > 0 then list_max(c).t else tb end as main from l"""
+
+
+@query(_MAIN)
 def html_text_fallback(spark, d):
-    return table(spark, d, "pages").select("page_id", H.main_text(F.col("html")).alias("main"))
+    return table(spark, d, "pages").select("page_id", H.main_text(F.expr(_PAGE.replace("::int", ""))).alias("main"))
+
+
+_DATED = "case page_id % 3 when 0 then '<meta name=\"date\" content=\"2031-0' || (page_id % 9 + 1) || '\">' || html when 1 then '<meta content=\" 2030 \" property=\"article:modified_time\"><meta name=\"date\" content=\"1999\">' || html else html end"
+
+
+@query("select page_id, case page_id % 3 when 0 then '2031-0' || (page_id % 9 + 1) when 1 then '2030' else '' end as date from pages")
+def html_date(spark, d):
+    return table(spark, d, "pages").select("page_id", H.publication_date(F.expr(_DATED)).alias("date"))
 
 
 _BARE3 = "html"

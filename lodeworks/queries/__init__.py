@@ -24,4 +24,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import analytics, dedup, evaluation, joining, retrieval, scoring, texts  # noqa: E402, F401
+from . import analytics, dedup, evaluation, joining, retrieval, scoring, study, texts  # noqa: E402, F401

@@ -92,3 +92,25 @@ def samples(df: DataFrame, group: str, name: str, limit: int) -> DataFrame:
 def weighted_counts(df: DataFrame, value: str, weight: Column, limit: int | None = None) -> DataFrame:
     out = df.where(not_blank(value)).groupBy(value).agg(F.sum(weight).alias("weight")).orderBy(F.desc("weight"), value)
     return out if limit is None else out.limit(limit)
+
+
+def medians(df: DataFrame, value: str, *groups: str) -> DataFrame:
+    """(groups, median): the exact median of a number, nulls aside; of the whole table without groups."""
+    return df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.median(value).alias("median"))
+
+
+def labelled_groups(df: DataFrame, groups: list[str], label: str, name: str, labels: list[str]) -> DataFrame:
+    """(groups, label, n, names): rows of some labels by group, with their names in order, each once."""
+    own = df.where(F.col(label).isin(*labels)).groupBy(*groups, label)
+    return own.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(name)), "; ").alias("names"))
+
+
+def counts_by_field(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(field, value, n): how often each value of several columns stands, blank ones aside; one pass over the rows."""
+    cells = F.array(*(F.struct(F.lit(k).alias("field"), F.trim(F.col(c).cast("string")).alias("value")) for k, c in fields.items()))
+    return df.select(F.explode(cells).alias("c")).where("c.value <> ''").groupBy("c.field", "c.value").agg(F.count("*").alias("n"))
+
+
+def represented(df: DataFrame, column: str) -> DataFrame:
+    """(value): a column's distinct values that aren't blank, in order."""
+    return df.where(not_blank(column)).select(F.trim(F.col(column).cast("string")).alias("value")).distinct().orderBy("value")

@@ -54,10 +54,14 @@ def decided(cards: DataFrame, judge: bool, share: float = 0.5) -> DataFrame:
     return capped.orderBy(*ranking.final_order("decision", "final_rank", "hybrid", "credibility"))
 
 
-def report(stages: dict[str, DataFrame]) -> DataFrame:
-    """(stage, rows): one row for each stage of a run."""
+def report(stages: dict[str, DataFrame], flags: dict[str, dict[str, Column]] = {}) -> DataFrame:  # noqa: B006
+    """(stage, rows, and a column for each flag): one row for each stage of a run, with how many of its rows have its
+    flags; null where a stage has no such flag."""
+    names = list(dict.fromkeys(k for own in flags.values() for k in own))
     out = None
     for name, df in stages.items():
-        own = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("stage"), "rows")
-        out = own if out is None else out.unionByName(own)
+        own = flags.get(name, {})
+        counted = [F.count_if(own[k]).alias(k) if k in own else F.lit(None).cast("long").alias(k) for k in names]
+        row = df.agg(F.count("*").alias("rows"), *counted).select(F.lit(name).alias("stage"), "rows", *names)
+        out = row if out is None else out.unionByName(row)
     return out

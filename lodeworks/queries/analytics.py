@@ -37,11 +37,6 @@ def group_sum_mean(spark, d):
     return total.join(mean, "c_mktsegment").select("c_mktsegment", "sum", F.round("mean", 4).alias("mean"))
 
 
-@query("select c_mktsegment, round(median(c_acctbal), 6) as median from customer group by 1")
-def median_value(spark, d):
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(F.round(F.median("c_acctbal"), 6).alias("median"))
-
-
 @query("select min(s_acctbal) as min_value, (select s_name from supplier order by s_acctbal, s_name limit 1) as min_name, max(s_acctbal) as max_value, (select s_name from supplier order by s_acctbal desc, s_name limit 1) as max_name from supplier")
 def range_argminmax(spark, d):
     return A.extremes(table(spark, d, "supplier"), "s_acctbal", "s_name")
@@ -118,53 +113,6 @@ def ecosystem_themes(spark, d):
     return A.rule_matches(table(spark, d, "part"), F.col("p_name"), RULES, F.col("p_size") > 45).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("select p_partkey, p_name from part where lower(p_brand) in ('brand#1', 'brand#2', 'brand#13', 'brand#21') and p_size not in (1, 2) and contains(lower(p_type), 'e')")
-def structured_filter(spark, d):
-    p = table(spark, d, "part")
-    return p.where(F.lower("p_brand").isin("brand#1", "brand#2", "brand#13", "brand#21") & ~F.col("p_size").isin(1, 2) & F.contains(F.lower("p_type"), F.lit("e"))).select("p_partkey", "p_name")
-
-
-@query("select c_custkey, c_acctbal from customer where c_acctbal >= 9000")
-def numeric_threshold(spark, d):
-    return table(spark, d, "customer").where("c_acctbal >= 9000").select("c_custkey", "c_acctbal")
-
-
-@query("select p_partkey from part where trim(case when p_size < 5 then '' else p_brand end) = '' and p_name like 'p%'")
-def missing_value(spark, d):
-    brand = F.when(F.col("p_size") < 5, "").otherwise(F.col("p_brand"))
-    return table(spark, d, "part").where((F.trim(brand) == "") & F.startswith("p_name", F.lit("p"))).select("p_partkey")
-
-
-@query("select p_partkey from part where contains(lower(p_name), '12') or contains(lower(p_name), '7') or (contains(lower(p_name), '3') and contains(lower(p_name), '5'))")
-def quoted_mention(spark, d):
-    low = F.lower("p_name")
-    return table(spark, d, "part").where(F.exists(F.array(F.lit("12"), F.lit("7")), lambda t: F.contains(low, t)) | (F.contains(low, F.lit("3")) & F.contains(low, F.lit("5")))).select("p_partkey")
-
-
-@query("select p_partkey, len(list_filter(string_split(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))::int as words from part where len(string_split(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')), ' ')) >= 1")
-def multi_value_pred(spark, d):
-    from ..functions.text import match_key
-
-    words = F.size(F.split(match_key(F.col("p_type")), " "))
-    return table(spark, d, "part").where(words >= 1).select("p_partkey", words.alias("words"))
-
-
 @query("select p_brand, sum(p_size * 2)::bigint as weight from part group by 1 order by 2 desc, 1 limit 10")
 def weighted_counts(spark, d):
     return A.weighted_counts(table(spark, d, "part"), "p_brand", F.col("p_size") * 2, 10)
-
-
-@query("select coalesce(n_name, 'all') as n_name, coalesce(c_mktsegment, 'all') as c_mktsegment, count(*) as n from customer join nation on c_nationkey = n_nationkey group by grouping sets ((n_name), (c_mktsegment))")
-def multi_key_summary(spark, d):
-    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.groupingSets([["n_name"], ["c_mktsegment"]], "n_name", "c_mktsegment").agg(F.count("*").alias("n")).select(F.coalesce("n_name", F.lit("all")).alias("n_name"), F.coalesce("c_mktsegment", F.lit("all")).alias("c_mktsegment"), "n")
-
-
-@query("select count(*) as orders, count(*) filter (o_orderstatus = 'F') as finished, count(*) filter (o_totalprice > 200000) as large, count(distinct o_custkey) as customers from orders")
-def pipeline_counters(spark, d):
-    return table(spark, d, "orders").agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.count_if(F.col("o_totalprice") > 200000).alias("large"), F.count_distinct("o_custkey").alias("customers"))
-
-
-@query("select distinct p_type from part where trim(p_type) <> '' order by 1")
-def distinct_values(spark, d):
-    return table(spark, d, "part").where(A.not_blank("p_type")).select("p_type").distinct().orderBy("p_type")

@@ -52,8 +52,14 @@ def token_set(c: Column) -> Column:
 
 
 def term_counts(c: Column) -> Column:
-    """Map from token to its count."""
-    return let(tokens(c), lambda t: F.map_from_arrays(F.array_distinct(t), F.transform(F.array_distinct(t), lambda x: F.size(F.filter(t, lambda y: y == x)))))
+    """Map from token to its count: runs of the sorted tokens, each begun at the first of its kind."""
+    runs = lambda t: F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: (i == 1) | (F.get(t, i - 1) != F.get(t, i - 2)))
+
+    def count(t: Column) -> Column:
+        whole = lambda at: F.zip_with(at, F.slice(F.concat(at, F.array(F.size(t) + 1)), 2, F.size(at)), lambda i, j: j - i)
+        return F.when(F.size(t) == 0, F.create_map().cast("map<string,int>")).otherwise(let(runs(t), lambda at: F.map_from_arrays(F.transform(at, lambda i: F.get(t, i - 1)), whole(at))))
+
+    return let(F.array_sort(tokens(c)), count)
 
 
 def bigrams(t: Column) -> Column:

@@ -24,4 +24,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import analytics, cards, dedup, evaluation, joining, questions, retrieval, scoring, study, texts  # noqa: E402, F401
+from . import analytics, cards, dedup, evaluation, joining, questions, retrieval, scoring, storage, study, texts  # noqa: E402, F401

@@ -1,6 +1,5 @@
-"""Joins by id, merges of runs, unpivots and pivots, and events in time."""
+"""Joins by id, merges of runs and names in texts."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
@@ -45,34 +44,3 @@ def mode_outer_merge(spark, d):
 def alias_match(spark, d):
     names = spark.createDataFrame([(x, x, i) for i, x in enumerate(("the", "of the", "die der", "de la", "in the"))], "name string, alias string, ord int")
     return J.name_matches(table(spark, d, "documents"), names, "doc_id", "text").select(F.col("id").alias("doc_id"), "name")
-
-
-@query("select o_orderkey, stage, status from (unpivot (select o_orderkey, o_orderstatus as acquired, o_orderpriority as judged, case when o_orderkey % 2 = 0 then '' else 'x' end as decided from orders) on acquired, judged, decided into name stage value status) where status <> ''")
-def unpivot_log(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("acquired"), F.col("o_orderpriority").alias("judged"), F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("x").alias("decided"))
-    return o.unpivot(["o_orderkey"], ["acquired", "judged", "decided"], "stage", "status").where("status <> ''")
-
-
-@query('select l_returnflag, count(*) filter (l_linestatus = \'O\') as "O", count(*) filter (l_linestatus = \'F\') as "F" from lineitem group by 1')
-def pivot_report(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.count(F.lit(1))).fillna(0)
-
-
-@query("select event_type, date_trunc('hour', ts) as hour, count(*) as n, sum(cast(round(value * 100) as bigint))::bigint as cents from events group by 1, 2")
-def stream_window_counts(spark, d):
-    """What the stream of `streaming.ingest.windowed_counts` gives once all events are in."""
-    from ..streaming.ingest import windowed_counts
-
-    out = windowed_counts(table(spark, d, "events"), "1 hour")
-    return out.select("event_type", F.col("window.start").alias("hour"), "n", "cents")
-
-
-@query("select user_id, event_type, min(event_id) as event_id from events group by 1, 2")
-def stream_dedup_key(spark, d):
-    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-
-
-@query("select c_custkey, o_orderkey from (select o_custkey as c_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as k from orders) where k = 1")
-def latest_manifest(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return table(spark, d, "orders").withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")

@@ -30,8 +30,8 @@ def token_stats(spark, d):
 
 @query(rf"select token, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest({TOKENS.format(c='text')}) as token from documents) group by 1 order by 2 desc, 1 limit 50")
 def term_frequencies(spark, d):
-    each = table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    return each.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).orderBy(F.desc("n"), "token").limit(50)
+    each = table(spark, d, "documents").select("doc_id", F.explode(T.term_counts(F.col("text"))).alias("token", "k"))
+    return each.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("docs")).orderBy(F.desc("n"), "token").limit(50)
 
 
 @query(f"select doc_id, len(list_filter({_lit(TERMS)}, lambda k: contains(lower(text), k))) as hits from documents")
@@ -204,9 +204,9 @@ def row_chunks(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(made).alias("c")).select("p_partkey", "c.chunk_type", "c.text")
 
 
-@query("""select conv_id, turn, lower(regexp_replace(trim(left(text, 20)), '[^a-zA-Z0-9]+', '_', 'g')) as raw_name from conversations""")
+@query("""select conv_id, turn, regexp_replace(lower(regexp_replace(left(text, 20), '[^a-zA-Z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') as raw_name from conversations""")
 def snake_names(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower(F.trim(F.left("text", F.lit(20)))), "[^a-z0-9]+", "_").alias("raw_name"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.snake_case(F.left("text", F.lit(20))).alias("raw_name"))
 
 
 @query("select s_suppkey, 'DOC_' || lpad(s_suppkey::varchar, 3, '0') as doc, replace(s_name, '#', '_') || '_DOC_1.pdf' as name from supplier")

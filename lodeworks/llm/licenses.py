@@ -133,7 +133,7 @@ LEADS = (r"^(?:(?:this|the) (?:[a-z0-9]+ ){0,3}(?:is|are) )?(?:(?:re)?licensed|r
 #: What an SPDX tag begins with, in any case, and the words between the licences of its expression.
 TAG, BETWEEN = r"(?i)SPDX-License-Identifier:[ \t]*", r"(?<=\bspdx [A-Za-z0-9.()+ -]{0,200})[ \t]+(?:OR|AND|WITH)[ \t]+"
 #: Words and phrases in lower case, of which each sentence of SENTENCES has one, with any lead.
-KEYWORDS = ("licen", "copyright", "warrant", "redistribut", "permission", "permitted", "public domain", "all rights reserved", "ed under", "able under", "anyone is free", "advertising materials", "terms and conditions", "of the mpl")
+KEYWORDS = ("licen", "copyright", "warrant", "redistribut", "permission", "permitted", "public domain", "all rights reserved", "ed under", "able under", "anyone is free", "advertising materials", "terms and conditions", "of the mpl", "spdx")
 
 
 def normalised(sentence: Column) -> Column:
@@ -196,10 +196,19 @@ ALL_RULES = (
 )
 
 
+def hinted(low: Column) -> Column:
+    """Whether a text in lower case has a keyword."""
+    out = low.contains(KEYWORDS[0])
+    for word in KEYWORDS[1:]:
+        out = out | low.contains(word)
+    return out
+
+
 def known_sentences(parts: Column) -> Column:
     """The identifiers of an array of sentences, in order; unknown ones are left out."""
     table = F.create_map(*(F.lit(x) for pair in TABLE.items() for x in pair))
-    return F.filter(F.transform(parts, lambda s: F.try_element_at(table, normalised(s))), lambda i: i.isNotNull())
+    told = F.filter(parts, lambda s: let(F.lower(s), hinted))  # others can't be known, and needn't be normalised
+    return F.filter(F.transform(told, lambda s: F.try_element_at(table, normalised(s))), lambda i: i.isNotNull())
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,18 +219,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     none = F.array().cast("array<string>")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    hinted = low.contains(KEYWORDS[0])
-    for word in KEYWORDS[1:]:
-        hinted = hinted | low.contains(word)
+    some = let(F.lower(text), hinted)
     # An SPDX expression is a line for each of its licences.
-    text = F.regexp_replace(F.regexp_replace(text, TAG, "spdx "), BETWEEN, "\nspdx ")
+    tagged = F.regexp_replace(F.regexp_replace(text, TAG, "spdx "), BETWEEN, "\nspdx ")
+    text = F.when(F.contains(F.lower(text), F.lit("spdx")), tagged).otherwise(text)
     # A sentence ends before white space, but not within 'v. 2.0', nor before a lower-case letter after a semicolon.
     ends = r"(?<=[.:!?]|;(?=[ \t]+\p{Lu}))(?!(?<=\b[vV]\.)[ \t]+[0-9])(?!(?<=software:)[ \t]+you can)[ \t]+"
     by_line = F.flatten(F.transform(F.split(text, r"\r?\n"), lambda line: F.split(line, ends)))
     joined = F.flatten(F.transform(F.split(text, r"(?:\r?\n[ \t]*){2,}"), lambda part: F.split(F.regexp_replace(part, r"[ \t]*\r?\n[ \t#*/;-]*", " "), ends)))
     both = F.struct(known_sentences(by_line).alias("lines"), known_sentences(joined).alias("joined"))
-    found = F.when(hinted, let(both, lambda b: F.when(F.size(b["joined"]) > F.size(b["lines"]), b["joined"]).otherwise(b["lines"]))).otherwise(none)
+    found = F.when(some, let(both, lambda b: F.when(F.size(b["joined"]) > F.size(b["lines"]), b["joined"]).otherwise(b["lines"]))).otherwise(none)
 
     def apply(acc: Column, rule: Column) -> Column:
         hit = F.contains(acc["left"], rule["ids"])

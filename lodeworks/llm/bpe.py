@@ -17,7 +17,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Bytes, roughly, of the pieces that a worker remembers, in each of two generations of each of its maps.
-MEMO = 48 << 20
+MEMO = 72 << 20
 #: What an entry costs besides its texts.
 ENTRY = 200
 #: Pairs of tokens of which a worker remembers whether one may follow the other.

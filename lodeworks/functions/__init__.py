@@ -1 +1 @@
-"""See README.md for the operators of this subpackage."""
+"""Column expressions over text, HTML, rules and chunks."""

@@ -326,7 +326,7 @@ def sentence_units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import re
 
     short = frozenset("co corp inc llc ltd mr mrs ms dr st vs etc".split())
-    listed, end = re.compile(BULLET), re.compile(r"[.!?;](?=\s*(\S)?)")
+    listed, end = re.compile(r"\s*(?:[-*•]|\d)"), re.compile(r"[.!?;](?=\s*(\S)?)")
 
     def split(block: str) -> list[str]:
         out, start = [], 0

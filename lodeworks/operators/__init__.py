@@ -1 +1 @@
-"""See README.md for the operators of this subpackage."""
+"""Joins, groupings, rankings, duplicates, retrieval, evaluation and study reports over DataFrames."""

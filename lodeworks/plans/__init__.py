@@ -1 +1 @@
-"""See README.md for the operators of this subpackage."""
+"""Chains of operators: curation of candidates, document cards, questions as a table."""

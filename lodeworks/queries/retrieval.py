@@ -165,3 +165,14 @@ def retrieve(spark, d):
     chunks = chunks_of(spark, d)
     asked, variants = questions_of(spark, d)
     return V.retrieve(asked, variants, chunks, V.idf(chunks, "text"), role_terms=ROLE_TERMS, digits=6)
+
+
+@query("select e.vec_id as id, r.vec_id as reference, round(100.0 * greatest(0.0, list_cosine_similarity(e.embedding::double[], r.embedding::double[])), 2) as score from embeddings e, embeddings r where r.vec_id % 50 = 0")
+def reference_matrix(spark, d):
+    e = _vectors(spark, d)
+    return V.reference_matrix(e, e.where("id % 50 = 0").select(F.col("id").alias("reference"), "vector"))
+
+
+@query(f"select question, '[' || string_agg('{{\"rank\":' || rank || ',\"id\":' || id || ',\"kind\":\"' || kind || '\"}}', ',' order by rank) || ']' as log from ({_RETRIEVE}) group by 1")
+def retrieval_log(spark, d):
+    return V.retrieval_log(retrieve(spark, d).select("question", "rank", "id", "kind"))

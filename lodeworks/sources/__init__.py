@@ -1 +1 @@
-"""See README.md for the operators of this subpackage."""
+"""Readers and sinks."""

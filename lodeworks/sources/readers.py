@@ -24,7 +24,7 @@ def table_rows(df: DataFrame) -> DataFrame:
 def renamed(df: DataFrame, aliases: dict[str, list[str]], required: tuple[str, ...] = ()) -> DataFrame:
     """Columns under their canonical names by header aliases; an error if a required one is missing."""
     plain = lambda s: " ".join(s.lower().replace("_", " ").split())
-    by = {plain(a): name for name, every in aliases.items() for a in [name, *every]}
+    by = {plain(a): name for name, every in ({r: [] for r in required} | aliases).items() for a in [name, *every]}
     out, seen = [], set()
     for c in df.columns:
         name = by.get(plain(c), c)
@@ -60,7 +60,7 @@ def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def documents(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, issues) of the text and HTML files below a folder. manifest: name, and what is known of it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    raw = files.select("path", F.lower(F.element_at(F.split("path", "/"), -1)).alias("name"), F.decode("content", F.lit("UTF-8")).alias("raw"), F.sha2("content", 256).alias("bytes_sha256"))
+    raw = files.select("path", F.lower(F.element_at(F.split("path", "/"), -1)).alias("name"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw"), F.sha2("content", 256).alias("bytes_sha256"))
     kind = F.when(F.col("name").rlike(r"\.html?$"), "html").when(F.col("name").rlike(r"\.(txt|md)$"), "text").otherwise("other")
     read = raw.withColumn("kind", kind).withColumn("title", F.when(kind == "html", H.title(F.col("raw"))).otherwise(T.filename_words(F.col("name"))))
     read = read.withColumn("text", F.when(kind == "html", H.main_text(F.col("raw"))).when(kind == "text", T.document_text(F.col("raw"))).otherwise("")).drop("raw")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from lodeworks.functions.text import let  # noqa: F401
 from lodeworks.operators import analytics, dedup, joins, ranking
 from lodeworks.operators.evaluation import validated
-from lodeworks.plans.planner import answer, plan
 from lodeworks.queries.evaluation import _evidence
 from lodeworks.streaming.ingest import append_once, file_stream, windowed_counts
 
@@ -78,16 +77,6 @@ def test_upsert_and_names(spark):
     assert [(r.id, r.name) for r in joins.name_matches(texts, names, "id", "text").collect()] == [(1, "Acme")]
 
 
-def test_planner(spark):
-    vocab = {"categories": ["OEM", "Tier 1", "Tier 2/3"], "companies": ["Acme"], "locations": ["Rome, Floyd County"], "oems": ["Hyundai Kia"], "roles": ["battery pack", "battery cell"]}
-    p = plan("List all Tier 1 companies grouped by EV Supply Chain Role for battery pack", vocab)
-    assert (p.intent, p.structured, p.group_by_role, p.categories, p.roles) == ("aggregation", True, True, ["Tier 1"], ["battery pack"])
-    rows = spark.createDataFrame([("Acme", "Tier 1", "battery pack", "Floyd County", 10), ("Bolt", "Tier 1", "battery cell", "Floyd County", 30), ("Cog", "OEM", "battery pack", "", None)], "company string, category string, role string, county string, employment long")
-    top = answer("Top 1 counties by number of companies: count by county", rows, vocab).collect()
-    assert [(r.county, r["count"]) for r in top] == [("Floyd County", 2)]
-    assert answer("What is the total employment by category?", rows, vocab).first()["sum"] == 40
-
-
 def test_streaming(spark, tmp_path):
     events = spark.createDataFrame([(i, f"2024-01-01 00:{i:02d}:00", "a" if i % 2 else "b", 1.5) for i in range(20)], "event_id long, t string, event_type string, value double").withColumn("ts", F.to_timestamp("t")).drop("t")
     events.repartition(3).write.parquet(f"{tmp_path}/in")

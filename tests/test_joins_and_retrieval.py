@@ -198,3 +198,33 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(Session())
+
+
+def test_structured_rows_come_before_ranked_chunks(spark):
+    chunks = spark.createDataFrame(
+        [(i, f"token{i % 3} common", [1.0, float(i)], "Acme" if i < 4 else "Rome" if i < 6 else "", "s", "", "", "", "row_full", "", "", f"r{i // 2}") for i in range(10)],
+        "id long, text string, vector array<double>, company string, sheet string, category string, role string, product string, kind string, title string, analysis string, row_key string",
+    )
+    asked = spark.createDataFrame([(0, "token1 of acme", "fact"), (1, "token2", "fact")], "question long, text string, intent string")
+    variants = asked.select("question", F.lit(0).alias("variant"), "text", F.array(F.lit(1.0), F.lit(0.5)).alias("vector"))
+    structured = spark.createDataFrame([(0, 0, 900, "structured_match_summary", "", ""), (0, 1, 901, "structured_row_match", "Acme", "r0"), (0, 2, 902, "structured_row_match", "Acme", "r0"), (0, 3, 903, "structured_row_match", "Acme", "r9x")], "question long, ord int, id long, kind string, company string, row_key string")
+    rows = retrieval.retrieve(asked, variants, chunks, retrieval.idf(chunks, "text"), structured, limit=5).orderBy("question", "rank").collect()
+    own = [r for r in rows if r.question == 0]
+    assert [r.id for r in own[:3]] == [900, 901, 903] and [r.final for r in own[:3]] == [1.0, 0.99, 0.99]  # one a row, two a company
+    assert not [r for r in own[3:] if r.company == "Acme"] and len(own) == 5 and len({r.id for r in own}) == 5
+    other = [r for r in rows if r.question == 1]
+    assert len(other) == 5 and sum(r.company == "Acme" for r in other) <= 2 and [r["rank"] for r in other] == [1, 2, 3, 4, 5]
+
+
+def test_answers_of_questions(spark):
+    rows = spark.createDataFrame([("1", "Acme", "Tier 1", "Lab", "Rome, Floyd County", "Kia", 100), ("2", "Bolt", "Tier 1/2", "Lab", "Macon, Bibb County", "", 900), ("3", "Core", "Tier 2", "Fab", "Rome, Floyd County", "Kia", None)], "row_key string, company string, category string, role string, location string, primary_oems string, employment long")
+    asked = spark.createDataFrame([(0, "Who is in Tier 1/2?"), (1, "List all of Kia in Floyd County"), (2, "employment >= 200"), (3, "what is this?"), (4, "Tier 2 or Tier 1 suppliers, excluding location = Rome.")], "question long, text string")
+    names = Q.named(asked, rows)
+    got = {}
+    for r in Q.matched(Q.understood(asked), names, rows).collect():
+        got.setdefault(r.question, set()).add(r.row_key)
+    assert got == {0: {"2"}, 1: {"1", "3"}, 2: {"2"}, 4: {"1", "3"}}
+    forms = {r.question: r for r in Q.understood(asked).collect()}
+    assert forms[1].exhaustive and forms[2].threshold.value == 200 and forms[4].excluded == ["Rome"] and forms[3].intent == "fact" and forms[1].intent == "aggregation"
+    one = {r.question: r for r in Q.summaries(Q.matched(Q.understood(asked), names, rows), rows, preview=1).collect()}[1]
+    assert one.summary == "Matched rows: 2\nBy category: Tier 1: 1; Tier 2: 1\nCompanies: Acme (+1 more)"

@@ -67,6 +67,8 @@ def _at_exit() -> None:
         delete(SparkSession.builder.getOrCreate(), _UNTIL_EXIT)
 
 
+#: Bytes of a row group of the tables that `written` makes: what a task holds back of the texts that it writes.
+ROW_GROUP = 32 << 20
 #: Rows of an Arrow batch that goes to a Python task. Whole texts are long, and a task holds a batch several times over.
 BATCH_ROWS = 500
 
@@ -89,7 +91,7 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with short_batches(spark):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     own = _SCRATCH.get()
     (_UNTIL_EXIT if keep or own is None else own).append(path)
     return spark.read.schema(df.schema).parquet(path)

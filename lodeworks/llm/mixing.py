@@ -186,4 +186,6 @@ def mixed_rows(mixed: DataFrame, columns: tuple[str, ...], text_col: str = "text
     text = F.col(f"carried_{text_col}")
     cut = F.when(F.col("d.words") < F.col("size"), F.array_join(F.slice(words(text), 1, F.col("d.words").cast("int")), " ")).otherwise(text)
     out = rows.select("d.shard", "d.place", *(cut.alias(c) if c == text_col else F.col(f"carried_{c}").alias(c) for c in columns))
-    return out.repartition("shard", F.pmod("place", F.lit(16))).sortWithinPartitions("shard", "place").select(*columns)
+    # A shard's rows lie in 16 slots; what is more than a partition should hold is split further as it comes.
+    dealt = out.withColumn("slot", F.pmod("place", F.lit(16))).hint("rebalance", "shard", "slot")
+    return dealt.sortWithinPartitions("shard", "place").select(*columns)

@@ -210,8 +210,10 @@ class PrefixCounts:
 
     def steps(self, text: str) -> bytes:
         """Steps of the count from code point to code point."""
+        if not any(s in text for s in self.special):
+            return self._plain(text)
         out, at = [], 0
-        for m in self.marks.finditer(text) if self.special else ():
+        for m in self.marks.finditer(text):
             # A special string is one token once whole, and plain text before that.
             before, mark = text[at : m.start()], m.group()
             head = self._plain(before)
@@ -221,7 +223,7 @@ class PrefixCounts:
             own[0:1] += int(partly[: len(before)].sum()) - until if len(mark) > 1 else 0
             out += [head, own.astype("<i2").tobytes()]
             at = m.end()
-        return b"".join([*out, self._plain(text[at:])]) if out else self._plain(text)
+        return b"".join([*out, self._plain(text[at:])])
 
     def _plain(self, text: str) -> bytes:
         if self.BESIDE.search(text):

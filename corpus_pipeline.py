@@ -55,10 +55,22 @@ def _back(*others: str) -> list:
     return [F.col(f"carried_{c}").alias(c) for c in DOCUMENT if c not in others]
 
 
+def _same(own: DataFrame, other: DataFrame, names: tuple[str, ...]):
+    """The rows of both that agree in these columns, nulls too."""
+    on = F.lit(True)
+    for c in names:
+        on = on & own[c].eqNullSafe(other[f"_{c}"])
+    return on
+
+
 @_stage(0)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go. A null language is a stratum of its own."""
-    return judge(docs, table(spark, sf_dir, "labels"), carry=DOCUMENT).where("kept").select(*_back())
+    """Documents that the rules reject go. A null language is a stratum of its own. Rows are found again by id, text
+    and language, which the verdict depends on, so that no text is held beside its counts."""
+    own = docs.select(*DOCUMENT, F.xxhash64("text").alias("text_hash"))
+    kept = judge(own, table(spark, sf_dir, "labels"), carry=("text_hash", "lang")).where("kept")
+    kept = kept.select(F.col("doc_id").alias("_doc_id"), F.col("carried_text_hash").alias("_text_hash"), F.col("carried_lang").alias("_lang"))
+    return own.join(kept, _same(own, kept, ("doc_id", "text_hash", "lang")), "left_semi").select(*DOCUMENT)
 
 
 @_stage(1)

@@ -74,23 +74,23 @@ BATCH_ROWS = 500
 
 
 @contextmanager
-def short_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches have BATCH_ROWS rows at most meanwhile; the session's own setting comes back afterwards."""
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches have so many rows at most meanwhile; the session's own setting comes back afterwards."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, BATCH_ROWS)
+    spark.conf.set(key, rows)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, rows: int = BATCH_ROWS) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation.
-    keep: the table is no part of a `scratch`."""
+    keep: the table is no part of a `scratch`. rows: of an Arrow batch, more where rows are short."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with short_batches(spark):
+    with short_batches(spark, rows):
         df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     own = _SCRATCH.get()
     (_UNTIL_EXIT if keep or own is None else own).append(path)

@@ -104,12 +104,37 @@ def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "n", "n_bytes", "ordinal", "offset", one("n", "digest").alias("digest"), "copy_n", "copy_n_bytes", "copy_ordinal", "copy_offset", one("copy_n", "copy_digest").alias("copy_digest"), "status")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    found = collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_tool_calls, op2_secrets, op3_minhash, op4_licenses, op5_packing, op6_quality, op7_nearest, op8_mixing, op9_prefix_tokens, op10_fixity)
+    for f in (op1_tool_calls, op2_secrets, op3_minhash, op4_licenses, op5_packing, op6_quality, op7_nearest, op8_mixing, op9_prefix_tokens, op10_fixity, op11_collocations)
 }
 
 ORACLES: dict[str, str] = {
+    "op11_collocations": r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+grams as (select lang, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i])) as phrase, 1 as words from w
+  union all select lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 from w
+  union all select lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 from w),
+f as materialized (select lang, phrase, words, count(*) as f from grams group by all),
+n as (select lang, sum(f)::bigint as n from f where words = 1 group by 1),
+k as materialized (select lang, phrase, words, f from f where f >= 10),
+c as materialized (select lang, phrase, words, f as a, string_split(phrase, ' ') as w from k where words > 1),
+cuts as (select lang, phrase, a, 1 as cut, w[1] as x, array_to_string(w[2:], ' ') as y from c union all select lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] from c where words = 3),
+scored as (select c.lang, c.phrase, c.a, c.cut, l.f as l, r.f as r, (1000000::hugeint * c.a * c.a // (l.f::hugeint * r.f))::bigint as score from cuts c
+  join k l on l.lang = c.lang and l.phrase = c.x join k r on r.lang = c.lang and r.phrase = c.y),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+longer as (select lang, phrase, max(a) as a from (select lang, w[1] || ' ' || w[2] as phrase, a from c where words = 3 union all select lang, w[2] || ' ' || w[3], a from c where words = 3) group by all)
+select b.lang, row_number() over (partition by b.lang order by b.score desc, b.a desc, b.phrase) as rank, b.phrase, b.a, b.l, b.r, n.n, b.score
+from best b join n on n.lang = b.lang left join longer x on x.lang = b.lang and x.phrase = b.phrase where x.a is null or 100 * x.a < 50 * b.a
+qualify rank <= 2000""",
     "op1_tool_calls": """
 with t as (select conv_id, turn, role, coalesce(text, '') as text from conversations),
 c as (select conv_id, turn, text, (turn // 2) % 3 as k, len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as n from t where role = 'user'),

@@ -111,9 +111,21 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+def op13_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id's CRC-32 leaves 2 modulo 4 are held out: their labels are not read."""
+    from .common import short_batches
+    from .quality_model import classify, fit
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    with short_batches(spark):
+        model = fit(docs, table(spark, sf_dir, "labels").where(~held))
+    return classify(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_tool_calls, op2_secrets, op3_minhash, op4_licenses, op5_packing, op6_quality, op7_nearest, op8_mixing, op9_prefix_tokens, op10_fixity, op11_collocations)
+    for f in (op1_tool_calls, op2_secrets, op3_minhash, op4_licenses, op5_packing, op6_quality, op7_nearest, op8_mixing, op9_prefix_tokens, op10_fixity, op11_collocations, op13_quality_model)
 }
 
 ORACLES: dict[str, str] = {

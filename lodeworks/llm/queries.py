@@ -111,6 +111,31 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults of each kind, one in five, by a checksum of their place."""
+    spelled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", spelled("conv_id"), spelled("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", spelled("role").alias("role"), spelled("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    rows = rows.withColumn("text", F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")))
+    rows = rows.withColumn("role", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")))
+    return rows.select("conv_id", "turn", "role", "text", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("col")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import digests, repair
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair(damaged(turns))
+    count = lambda kind: F.count_if(F.col("fault") == kind).alias(kind)
+    counts = found.groupBy("conv").agg(count("blank"), count("duplicate"), count("truncated"), F.sum("illegal").alias("illegal"), F.sum("cost").alias("cost"))
+    span = found.select("conv", "turn").distinct().groupBy("conv").agg((F.max("turn") - F.min("turn") + 1 - F.count("turn")).alias("gaps"))
+    out = turns.select(F.col("conv_id")).distinct()
+    for own in (counts, span, digests(found)):
+        out = out.join(own, out["conv_id"].eqNullSafe(own["conv"]), "left").drop("conv")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return out.select("conv_id", *map(zero, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose id's CRC-32 leaves 2 modulo 4 are held out: their labels are not read."""
     from .common import short_batches
@@ -125,10 +150,38 @@ def op13_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_tool_calls, op2_secrets, op3_minhash, op4_licenses, op5_packing, op6_quality, op7_nearest, op8_mixing, op9_prefix_tokens, op10_fixity, op11_collocations, op13_quality_model)
+    for f in (op1_tool_calls, op2_secrets, op3_minhash, op4_licenses, op5_packing, op6_quality, op7_nearest, op8_mixing, op9_prefix_tokens, op10_fixity, op11_collocations, op12_repair, op13_quality_model)
 }
 
 ORACLES: dict[str, str] = {
+    "op12_repair": r"""
+with recursive tab as (select list(v order by i) as t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as v from (select unnest(range(256)) as i))),
+keyed as (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+d as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ascii(x)::bigint)), lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1])), 4294967295) % 20 as kind from keyed, tab),
+x as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when kind = 3 then 2 else 1 end)) as copy from d where kind <> 0),
+o as (select *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as seen, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as i from x),
+f as materialized (select *, case when seen = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate' when right(seen, 1) not in ('.', '!', '?') then 'truncated' end as fault, left(role, 1) as r, lag(left(role, 1)) over (partition by conv_id order by i) as before from o),
+way as (
+  select conv_id, 0::bigint as i, 0 as q, 0::bigint as c, '' as a, []::varchar[] as lines from f where i = 1
+  union all
+  select conv_id, i, q, c, a, lines from (
+    select *, row_number() over (partition by conv_id, q order by c, a) as best from (
+      select s.conv_id, f.i, case e when 'D' then s.q when 'R' then case when s.q = 2 then 3 else 2 end else case f.r when 's' then 1 when 'u' then 2 else 3 end end as q,
+        s.c + 3 * s.k + case e when 'D' then 4 when 'R' then 3 else 0 end + case when e <> 'D' and f.fault = 'truncated' then 3 else 0 end as c, s.a || repeat('I', s.k) || e as a,
+        list_concat(s.lines, case e when 'D' then [] when 'R' then [case when s.q = 2 then 'assistant:' else 'user:' end || f.text] else [f.role || ':' || f.text] end) as lines
+      from (select w.conv_id, w.i, w.c, w.a, k, case when k = 0 then w.q when k = 1 then case when w.q = 2 then 3 else 2 end else case when w.q = 2 then 2 else 3 end end as q,
+          list_concat(w.lines, case when k = 0 then [] when w.q = 2 then ['assistant:', 'user:'][1:k] else ['user:', 'assistant:'][1:k] end) as lines from way w, (values (0), (1), (2)) inserts (k)) s
+      join f on f.conv_id is not distinct from s.conv_id and f.i = s.i + 1, (values ('D'), ('R'), ('K')) edits (e)
+      where e = 'D' or coalesce(f.fault, 'truncated') = 'truncated' and (e = 'R' or f.r = 's' and s.q = 0 or f.r = 'u' and s.q <> 2 or f.r = 'a' and s.q = 2))
+  ) where best = 1),
+n as (select conv_id, count(*) as n, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+  count(*) filter (where before is not null and before || r not in ('su', 'ua', 'au')) as illegal, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps from f group by 1),
+e as (select w.conv_id, w.c + case q when 1 then 6 when 2 then 3 else 0 end as c, a || case q when 1 then 'II' when 2 then 'I' else '' end as a, list_concat(lines, case q when 1 then ['user:', 'assistant:'] when 2 then ['assistant:'] else [] end) as lines
+  from way w join n on w.conv_id is not distinct from n.conv_id and w.i = n.n qualify row_number() over (partition by w.conv_id order by w.c + case q when 1 then 6 when 2 then 3 else 0 end, a || case q when 1 then 'II' when 2 then 'I' else '' end) = 1)
+select c.conv_id, coalesce(n.gaps, 0)::bigint as gaps, coalesce(n.blank, 0)::bigint as blank, coalesce(n.duplicate, 0)::bigint as duplicate, coalesce(n.truncated, 0)::bigint as truncated, coalesce(n.illegal, 0)::bigint as illegal, coalesce(e.c, 0)::bigint as cost, coalesce(e.a, '') as audit,
+  sha256(coalesce(array_to_string(e.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join n on n.conv_id is not distinct from c.conv_id left join e on e.conv_id is not distinct from c.conv_id""",
     "op11_collocations": r"""
 with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
 w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
+from .matching import term_hits
 from .shared import if_small
 
 
@@ -42,7 +43,7 @@ def merged_modes(frames: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return out
 
 
-#: Aliases up to which each text is searched for each of them; beyond, windows of words are joined with them.
+#: Aliases up to which each text is searched for each of them by an expression; beyond, by an automaton.
 IN_ROW = 64
 
 
@@ -58,9 +59,8 @@ def aliases_of(names: DataFrame) -> DataFrame:
 def name_matches(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, limit: int | None = None) -> DataFrame:
     """(id, name, ord): names whose alias stands in a text as whole words. names: of `aliases_of`.
 
-    Few aliases are looked for in each text. More meet the windows of the texts that have as many words as an alias;
-    where the aliases are no more than BROADCAST_ROWS, no window is shuffled. limit: names of a document at most, by
-    ord (the operator's cap on what it reports).
+    Few aliases are looked for in each text; more by an automaton that reads a text once. limit: names of a document
+    at most, by ord (the operator's cap on what it reports).
     """
     own = aliases_of(names)
     few = own.limit(IN_ROW + 1).collect()
@@ -72,19 +72,10 @@ def name_matches(texts: DataFrame, names: DataFrame, id_col: str, text_col: str,
         found = padded.select("id", F.explode(F.filter(table, lambda a: F.contains(F.col("t"), a["alias"]))).alias("a"))
         hits = found.groupBy("id", "a.name").agg(F.min("a.ord").alias("ord"))
     else:
-        sized = own.withColumn("n", F.size(F.split("alias", " ")))
-        lengths = [r.n for r in sized.select("n").distinct().orderBy("n").collect()]  # no more than words of an alias
-        words = texts.select(F.col(id_col).alias("id"), F.split(match_key(F.col(text_col)), " ").alias("w"))
-        windows = words.select("id", F.explode(F.array_distinct(F.concat(*(_windows(n) for n in lengths)))).alias("alias"))
-        hits = windows.join(if_small(own), "alias").groupBy("id", "name").agg(F.min("ord").alias("ord"))
+        padded = texts.select(F.col(id_col).alias("id"), F.concat(F.lit(" "), match_key(F.col(text_col)), F.lit(" ")).alias("text"))
+        found = term_hits(padded, own.select(F.concat(F.lit(" "), "alias", F.lit(" ")).alias("term")))
+        hits = found.select("id", F.trim("term").alias("alias")).join(if_small(own), "alias").groupBy("id", "name").agg(F.min("ord").alias("ord"))
     if limit is None:
         return hits
     best = hits.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "name"))), 1, limit).alias("h"))
     return best.select("id", F.explode("h").alias("h")).select("id", "h.name", "h.ord")
-
-
-def _windows(n: int) -> Column:
-    w = F.col("w")
-    count = F.greatest(F.size(w) - n + 1, F.lit(0))
-    parts = F.arrays_zip(*(F.slice(w, k + 1, count).alias(f"p{k}") for k in range(n)))
-    return F.transform(parts, lambda p: F.concat_ws(" ", *(p[f"p{k}"] for k in range(n))))

@@ -13,16 +13,27 @@ from ..functions import rules as R
 from ..functions import vocab
 from ..functions.text import category_key, let, match_key, squeeze, text
 from ..operators.joins import name_matches
+from ..operators.matching import term_hits
+from ..operators.shared import if_small, shared_table
 
 #: What of a question names the column that it groups by; the first that fits.
 GROUPS = (
     ("industry group", "industry_group"), ("primary facility type", "primary_facility_type"), ("supplier or affiliation type", "supplier_or_affiliation_type"), ("classification method", "classification_method"),
-    ("primary oem", "primary_oems"), ("ev battery relevant", "ev_battery_relevant"), ("ev supply chain role", "role"), ("categor", "category"), ("county", "county"), ("counties", "county"), ("city", "city"), ("cities", "city"),
+    ("primary oem", "primary_oems"), ("ev battery relevant", "ev_battery_relevant"), ("ev supply chain role", "role"), ("category", "category"), ("categories", "category"), ("county", "county"), ("counties", "county"), ("city", "city"), ("cities", "city"),
 )
-#: Words of a question that asks for everything, and that a question about patterns has.
-EXHAUSTIVE = ("all ", "every", "list", "show", "how many", "count", "group")
-#: The pattern after which locations are left out.
-EXCLUDED = r"(?i)excluding (?:rows with )?location\s*=\s*([A-Za-z0-9 ,()/-]+?)(?:\.|\?|,|$)"
+#: Words of a question that asks for everything.
+EXHAUSTIVE = ("list all", "show all", "provide the matching companies", "include their", "summarize their", "for each category")
+#: Words of a question about figures or patterns, beside those of vocab.ANALYTIC.
+PATTERNS = ("missing primary oems", "ev battery relevant", "containing both", "only one", "classified as", "classification method", "appear multiple times", "most concentrated in a single county", "supply to more than one oem")
+#: The patterns after which locations are left out, and those that give a category.
+EXCLUDED = (r"(?i)excluding rows with location\s*=\s*([A-Za-z0-9 ,()/-]+?)(?:\.|\?|,|$)", r"(?i)excluding location\s*=\s*([A-Za-z0-9 ,()/-]+?)(?:\.|\?|,|$)")
+EXACT = (r"(?i)category\s*=\s*([A-Za-z0-9 ()/-]+?)(?:\s+and\b|\?|$)", r"(?i)category\s+is\s+([A-Za-z0-9 ()/-]+?)(?:\s+and\b|\?|$)")
+#: Words with which "oem" is no category, is one, or is one at a question's beginning.
+NO_OEM = ("primary oem", "oem contract", "oem customer")
+AN_OEM = ("category oem", "category is oem", "oem footprint", "oem company", "oem companies", "original equipment manufacturer")
+OEM_FIRST = r"^(show|list|find|identify|map)\s+oem\b"
+#: Words that make a company the one that is supplied.
+LINKED = ("linked to", "supply to")
 QUOTED = r"\"([^\"]+)\"|'([^']+)'"
 
 
@@ -37,15 +48,31 @@ def group_field(c: Column) -> Column:
 
 
 def exhaustive(c: Column) -> Column:
-    return _has(F.concat(match_key(c), F.lit(" ")), EXHAUSTIVE)
+    return _has(match_key(c), EXHAUSTIVE)
 
 
 def analytic(c: Column) -> Column:
-    return _has(match_key(c), vocab.ANALYTIC)
+    """Whether a question asks for figures or patterns."""
+    q = match_key(c)
+    product = F.contains(q, F.lit("mentions")) & F.contains(q, F.lit("product service"))
+    return _has(q, (*vocab.ANALYTIC, *PATTERNS)) | R.employment_limit(c).isNotNull() | product
 
 
 def excluded_locations(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text(c), F.lit(EXCLUDED), F.lit(1)), F.trim))
+    found = F.concat(*(F.regexp_extract_all(text(c), F.lit(p), F.lit(1)) for p in EXCLUDED))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def exact_category(c: Column) -> Column:
+    """The category that a question gives outright, as a key; null without one."""
+    found = [F.regexp_extract(text(c), p, 1) for p in EXACT]
+    return F.coalesce(*(F.when(f != "", category_key(f)) for f in found))
+
+
+def means_oems(c: Column) -> Column:
+    """Whether "OEM" in a question is the category."""
+    q = category_key(c)
+    return ~_has(q, NO_OEM) & (_has(q, AN_OEM) | q.rlike(OEM_FIRST))
 
 
 def quoted_terms(c: Column) -> Column:
@@ -75,45 +102,101 @@ def known_values(rows: DataFrame, column: str) -> DataFrame:
     return own.withColumn("ord", -F.length("value"))
 
 
-def named(questions: DataFrame, rows: DataFrame, columns: tuple[str, ...] = ("company", "category", "location", "primary_oems", "role")) -> DataFrame:
-    """(question, field, value): values of these columns that a question names as whole words. A location is also
-    named by what follows its last comma; a category that is part of a longer one which is named, too, is not."""
-    values = None
-    for c in columns:
-        own = known_values(rows, c).select(F.concat_ws("\x1f", F.lit(c), "value").alias("name"), F.col("value").alias("alias"), "ord")
-        if c == "location":
-            tail = F.trim(F.regexp_extract("alias", r"([^,]*)$", 1))
-            own = own.unionByName(own.where(F.contains("alias", F.lit(","))).withColumn("alias", tail)).distinct()
-        values = own if values is None else values.unionByName(own)
-    found = name_matches(questions, values, "question", "text").select(F.col("id").alias("question"), F.split_part("name", F.lit("\x1f"), F.lit(1)).alias("field"), F.split_part("name", F.lit("\x1f"), F.lit(2)).alias("value"))
-    every = Window.partitionBy("question", "field")  # what one question names
-    longer = F.exists(F.collect_set("value").over(every), lambda o: (o != F.col("value")) & F.contains(category_key(o), category_key(F.col("value"))))
-    return found.withColumn("_l", (F.col("field") == "category") & longer).where("not _l").drop("_l")
-
-
-def matched(asked: DataFrame, names: DataFrame, rows: DataFrame) -> DataFrame:
-    """(question, row_key): the rows that have, in each field of which a question names values, one of them, that its
-    threshold on employment takes, and that lie at no location it leaves out. asked: of `understood`; names: of
-    `named`. Questions that name nothing and have no threshold match no rows here.
-
-    Rows are long by field and value, so that named values meet them in an equi-join.
+#: The columns by which questions choose rows.
+FIELDS = ("company", "category", "location", "primary_oems", "role")
+
+
+def role_terms(rows: DataFrame) -> DataFrame:
+    """(term): roles in normal form, and their parts between "and" that have two words or more."""
+    role = rows.select(match_key(F.col("role")).alias("role")).where("role <> ''").distinct()
+    parts = F.filter(F.transform(F.split("role", r"\band\b"), lambda x: F.trim(x)), lambda x: F.size(F.split(x, " ")) >= 2)
+    return role.select(F.explode(F.array_distinct(F.concat(F.array("role"), parts))).alias("term")).distinct()
+
+
+def _keyed(rows: DataFrame, column: str, key) -> DataFrame:
+    """(value, key) of a column, one value a key: the longest, then the first."""
+    own = known_values(rows, column).select("value", key(F.col("value")).alias("key")).where("key <> ''")
+    return own.groupBy("key").agg(F.min_by("value", F.struct(-F.length("value"), F.col("value"))).alias("value"))
+
+
+def mentioned(questions: DataFrame, rows: DataFrame) -> DataFrame:
+    """(question, field, key, value): what stands in the questions: companies, OEMs and locations as whole words (a
+    location also by what follows its first comma), categories and role terms as parts of the text."""
+    spelled = lambda field, df: df.select(F.to_json(F.struct(F.lit(field).alias("f"), F.col("key").alias("k"), F.col("value").alias("v"))).alias("name"), "alias", F.lit(0).alias("ord"))
+    names = None
+    for field in ("company", "location", "primary_oems"):
+        own = _keyed(rows, field, match_key).withColumn("alias", F.col("key"))
+        if field == "location":
+            after = own.where(F.contains("value", F.lit(","))).withColumn("alias", match_key(F.regexp_replace("value", "^[^,]*,", "")))
+            own = own.unionByName(after.where("alias <> ''"))
+        names = spelled(field, own) if names is None else names.unionByName(spelled(field, own))
+    hits = name_matches(questions, names, "question", "text").select(F.col("id").alias("question"), F.from_json("name", "f string, k string, v string").alias("n"))
+    whole = hits.select("question", F.col("n.f").alias("field"), F.col("n.k").alias("key"), F.col("n.v").alias("value"))
+    categories = _keyed(rows, "category", category_key)
+    by_category = term_hits(questions.select("question", category_key(F.col("text")).alias("t")), categories.select(F.col("key").alias("term")), "question", "t")
+    by_category = by_category.join(categories, F.col("term") == F.col("key")).select(F.col("id").alias("question"), F.lit("category").alias("field"), "key", "value")
+    by_role = term_hits(questions.select("question", match_key(F.col("text")).alias("t")), role_terms(rows), "question", "t")
+    return whole.unionByName(by_category).unionByName(by_role.select(F.col("id").alias("question"), F.lit("role").alias("field"), F.col("term").alias("key"), F.col("term").alias("value")))
+
+
+def named(questions: DataFrame, rows: DataFrame) -> DataFrame:
+    """(question, field, key, value): what questions choose rows by, of what they mention. The rules, in order: a
+    category that is given outright is the only one; a question about classification has none; "OEM" is a category
+    only where the question means it; a location that is excluded isn't wanted; where a question asks who is linked to
+    or supplies someone, its companies are OEMs, unless it names OEMs, and none of its own."""
+    c, q = F.col("text"), match_key(F.col("text"))
+    facts = questions.select("question", exact_category(c).alias("exact"), _has(q, ("classified as", "classification method")).alias("about"), means_oems(c).alias("oems"), F.contains(q, F.lit("primary oem")).alias("primary"), F.transform(excluded_locations(c), match_key).alias("outside"), _has(q, LINKED).alias("linked"))
+    hits = mentioned(questions, rows).join(facts, "question")
+    key, is_oem = F.col("key"), F.col("key") == "oem"
+    category = F.when(F.col("exact").isNotNull(), key == F.col("exact")).otherwise(~F.col("about") & (~is_oem | F.col("oems"))) & ~(is_oem & F.col("primary"))
+    kept = hits.where(F.when(F.col("field") == "category", category).when(F.col("field") == "location", ~F.array_contains("outside", key)).otherwise(True))
+    has_oem = F.bool_or(F.col("field") == "primary_oems").over(Window.partitionBy("question"))  # what one question names
+    moved = kept.withColumn("has_oem", has_oem)
+    field = F.when(~F.col("linked") | (F.col("field") != "company"), F.col("field")).when(~F.col("has_oem"), "primary_oems")
+    # Read by whatever answers the questions, so written once.
+    return shared_table(moved.select("question", field.alias("field"), "key", "value").where("field is not null").distinct(), "names")
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """(row_key, field, key): what rows can be chosen by; of roles and products (field product) the role terms in them."""
+    key = {"company": match_key, "category": category_key, "location": match_key, "primary_oems": match_key}
+    own = F.array(*(F.struct(F.lit(c).alias("field"), k(F.col(c)).alias("key")) for c, k in key.items()))
+    out = rows.select("row_key", F.explode(own).alias("c")).select("row_key", "c.field", "c.key").where("key <> ''")
+    terms = role_terms(rows)
+    for field, column in (("role", "role"), ("product", "product_service")):
+        if column in rows.columns:
+            keyed = rows.select("row_key", match_key(F.col(column)).alias("t"))
+            hits = term_hits(keyed.select("t").distinct().where("t <> ''").select(F.col("t").alias("id"), "t"), terms, "id", "t")
+            out = out.unionByName(keyed.join(hits, F.col("t") == F.col("id")).select("row_key", F.lit(field).alias("field"), F.col("term").alias("key")))
+    return out
+
+
+#: Rows that a question which names nothing may match, unless it asks for everything.
+EXHAUSTIVE_ROWS = 150
+
+
+def matched(questions: DataFrame, names: DataFrame, rows: DataFrame, most: int = EXHAUSTIVE_ROWS) -> DataFrame:
+    """(question, row_key): the rows that have, in each field in which a question names values, one of them, and that
+    lie at no location it leaves out. names: of `named`.
+
+    Only questions about figures, and others than definitions that name something, choose rows. A role term is met by a
+    role that has it, or by a product where the question speaks of products or mentions. A question that names nothing
+    takes all rows if there are no more than `most` or it asks for everything. Rows are long by field and value, so that
+    named values meet them in an equi-join; questions without names are a stated set that goes through all rows.
     """
-    fields = ("company", "category", "location", "primary_oems", "role")
-    cells = rows.select("row_key", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.trim(F.col(c).cast("string")).alias("value")) for c in fields))).alias("c")).select("row_key", "c.field", "c.value")
+    c, q = F.col("text"), match_key(F.col("text"))
+    facts = questions.select("question", analytic(c).alias("analytic"), (R.intent(q) != "definition").alias("plain"), _has(q, ("product service", "mentions")).alias("products"), exhaustive(c).alias("everything"), F.transform(excluded_locations(c), match_key).alias("outside"))
     wanted = names.groupBy("question").agg(F.count_distinct("field").alias("fields"))
-    hits = names.join(cells, ["field", "value"]).groupBy("question", "row_key").agg(F.count_distinct("field").alias("n")).join(wanted, "question").where("n = fields").select("question", "row_key")
-    bounded = asked.where("threshold is not null")
-    free = bounded.join(wanted, "question", "left_anti").select("question", F.col("threshold.op").alias("op"), F.col("threshold.value").alias("value"))
-    # Thresholds are few; each operator is a comparison of its own, so that no row is paired with a question it fails.
-    numbers = rows.where("employment is not null").select("row_key", "employment")
-    compared = {">": numbers["employment"] > F.col("value"), ">=": numbers["employment"] >= F.col("value"), "<": numbers["employment"] < F.col("value"), "<=": numbers["employment"] <= F.col("value")}
-    for op, on in compared.items():
-        hits = hits.unionByName(free.where(F.col("op") == op).join(numbers, on).select("question", "row_key"))
-    kept = hits.join(asked.select("question", "threshold", "excluded"), "question").join(rows.select("row_key", "employment", "location"), "row_key")
-    value, e = F.col("threshold.value"), F.col("employment")
-    fits = F.when(F.col("threshold").isNull(), True).otherwise(F.coalesce(F.when(F.col("threshold.op") == ">", e > value).when(F.col("threshold.op") == ">=", e >= value).when(F.col("threshold.op") == "<", e < value).when(F.col("threshold.op") == "<=", e <= value), F.lit(False)))
-    outside = ~F.exists("excluded", lambda x: match_key(x) == match_key(F.col("location")))
-    return kept.where(fits & outside).select("question", "row_key")
+    asked = facts.join(wanted, "question", "left").where(F.col("analytic") | (F.col("fields").isNotNull() & F.col("plain")))
+    own = shared_table(cells(rows), "cells")
+    alike = own.withColumn("of", F.when(F.col("field") == "product", "role").otherwise(F.col("field")))
+    met = names.join(alike.select("row_key", F.col("field").alias("by"), F.col("of").alias("field"), "key"), ["field", "key"])
+    met = met.join(asked.where("fields is not null"), "question").where((F.col("by") != "product") | F.col("products"))
+    hits = met.groupBy("question", "row_key", "fields").agg(F.count_distinct("field").alias("n")).where("n = fields").select("question", "row_key")
+    free = asked.where("fields is null").where(F.col("everything") | F.lit(rows.limit(most + 1).count() <= most))
+    every = if_small(free.select("question")).withColumn("one", F.lit(1)).join(rows.select("row_key").withColumn("one", F.lit(1)), "one").select("question", "row_key")
+    found = hits.unionByName(every).join(facts.select("question", "outside"), "question").join(rows.select("row_key", match_key(F.col("location")).alias("at")), "row_key")
+    return found.where(~F.array_contains("outside", F.col("at"))).select("question", "row_key")
 
 
 def summaries(hits: DataFrame, rows: DataFrame, preview: int = 5) -> DataFrame:
@@ -251,3 +334,17 @@ def page_budget(pages: DataFrame, budget: int) -> DataFrame:
     used = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own = pages.where(F.trim("text") != "").withColumn("_left", F.lit(budget) - used).where("_left > 0")
     return own.withColumn("text", F.left("text", F.col("_left").cast("int"))).drop("_left")
+
+
+#: Words that say nothing of what a question is about.
+STOPWORDS = ("a", "all", "an", "and", "are", "as", "by", "for", "from", "group", "how", "in", "is", "list", "me", "of", "show", "the", "them", "what", "which", "with")
+
+
+def variants(questions: DataFrame, names: DataFrame, words: int = 12) -> DataFrame:
+    """(question, variant, text): what is searched for a question: itself, its first words that say something, and what
+    it names, by field and longest first; each different text once. names: of `named`."""
+    order = F.create_map(*(x for k, f in enumerate(("company", "category", "location", "primary_oems", "role")) for x in (F.lit(f), F.lit(k))))
+    filters = names.groupBy("question").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(F.element_at(order, F.col("field")).alias("o"), (-F.length("value")).alias("n"), "value"))), lambda x: x["value"])), " | ").alias("filters"))
+    focus = F.array_join(F.slice(F.filter(F.split(match_key(F.col("text")), " "), lambda w: (w != "") & ~w.isin(*STOPWORDS)), 1, words), " ")
+    every = F.filter(F.array(text(F.col("text")), focus, F.coalesce("filters", F.lit(""))), lambda t: F.trim(t) != "")
+    return questions.join(filters, "question", "left").select("question", F.posexplode(F.array_distinct(every)).alias("variant", "text"))

@@ -8,71 +8,128 @@ from ..plans import questions as Q
 from ..sources.readers import table_rows
 from . import query, table
 
-_ROWS = "(select s_suppkey as row_key, 'Acme ' || s_suppkey as company, 'Tier ' || (s_suppkey % 3 + 1) || case when s_suppkey % 6 = 5 then ' 2' else '' end as category, 'role' || (s_suppkey % 4) as role, 'City' || s_nationkey || case when s_nationkey % 2 = 1 then ', County' || (s_nationkey % 5) else '' end as location, case when s_suppkey % 5 = 0 then '' else 'OEM' || (s_suppkey % 7) end as primary_oems, 'makes ' || (s_suppkey % 9) as product_service, case when s_suppkey % 8 = 0 then null else cast(floor(s_acctbal) as bigint) end as employment from supplier)"
-_TEXT = """case item_id % 6 when 0 then 'How many suppliers in Tier ' || (item_id % 3 + 1) || ' are there?' when 1 then 'List all companies at City' || (item_id % 25) || ' or County' || (item_id % 5) || ' by county' when 2 then 'Which have Employment >= ' || (item_id * 200) || ' of Tier 1 2?'
- when 3 then 'Show Acme ' || item_id || ' or Acme 7 of Tier 1 or Tier 2 or Tier 3, excluding location = City' || (item_id % 25) || ', County9.' when 4 then 'Define the "value chain" and ''tiering'' for OEM' || (item_id % 7) else 'Top 3 with employment at least ' || (item_id * 150) end"""
-_ASKED = f"(select item_id as question, {_TEXT} as text from benchmark)"
-_KEY = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
-_VALUES = f"(select 'company' as field, company as value, company as alias from {_ROWS} union select 'category', category, category from {_ROWS} union select 'role', role, role from {_ROWS} union select 'location', location, location from {_ROWS} union select 'location', location, trim(split_part(location, ',', 2)) from {_ROWS} where contains(location, ',') union select 'primary_oems', primary_oems, primary_oems from {_ROWS} where primary_oems <> '')"
-_HITS = f"(select distinct q.question, v.field, v.value from {_ASKED} q join {_VALUES} v on contains(' ' || {_KEY.format(c='q.text')} || ' ', ' ' || {_KEY.format(c='v.alias')} || ' '))"
-_NAMED = f"(select h.* from {_HITS} h where not (h.field = 'category' and exists (select 1 from {_HITS} o where o.question = h.question and o.field = 'category' and o.value <> h.value and contains(lower(o.value), lower(h.value)))))"
+_CELLS = {
+    "row_key": "s_suppkey", "company": "'Acme ' || (s_suppkey % 68)", "category": "case s_suppkey % 4 when 0 then 'OEM' when 1 then 'Tier 1' when 2 then 'Tier 2/3' else 'Tier 1/2' end",
+    "role": "case s_suppkey % 5 when 0 then 'battery cells' when 1 then 'Battery Pack and Charging Gear' when 2 then 'charging gear' when 3 then 'vehicle assembly' else 'wire goods' end", "product_service": "'makes harness ' || (s_suppkey % 9) || case when s_suppkey % 11 = 0 then ' of wire' else '' end",
+    "location": "'City' || s_nationkey || case when s_nationkey % 2 = 1 then ', C' || (s_nationkey % 5) || ' County' else '' end", "primary_oems": "case s_suppkey % 6 when 0 then '' when 2 then 'Acme ' || (s_suppkey % 5) when 3 then 'Multiple OEMs' when 4 then 'Ford and GM Plants' else 'Kia Motors' end",
+    "employment": "case when s_suppkey % 8 <> 0 then cast(floor(s_acctbal) as bigint) end", "industry_group": "case when s_suppkey % 7 = 0 then '' else 'Group ' || (s_suppkey % 3) end", "primary_facility_type": "case when s_suppkey % 3 = 0 then 'Engineering and Manufacturing' else 'Manufacturing' end",
+    "ev_battery_relevant": "case s_suppkey % 9 when 0 then '' when 1 then 'No' when 2 then 'Indirect' else 'Yes' end", "classification_method": "case when s_suppkey % 10 = 1 then 'Public OEM footprint / supplier listing' else 'Survey' end", "supplier_or_affiliation_type": "case when s_suppkey % 12 = 0 then '' else 'Direct' end",
+}
+_ROWS = "(select " + ", ".join(f"{v} as {k}" for k, v in _CELLS.items()) + ", case when s_nationkey % 2 = 1 then 'C' || (s_nationkey % 5) || ' County' else '' end as county from supplier)"
+_ALL = "(select count(*) <= 150 from supplier)"
+_L = {"category": "Category", "role": "EV Supply Chain Role", "product_service": "Product / Service", "primary_oems": "Primary OEMs", "location": "Location", "primary_facility_type": "Primary Facility Type", "employment": "Employment", "ev_battery_relevant": "EV / Battery Relevant", "classification_method": "Classification Method"}
+
+
+def _lines(heading, fields, where="true", order="row_key"):
+    cells = "".join(f" || case when coalesce({f}::varchar, '') <> '' then ' | {_L[f]}: ' || {f} else '' end" for f in fields)
+    return f"select question, '{heading}' || chr(10) || string_agg('- Company: ' || company{cells}, chr(10) order by {order}) as said from m where {where} group by 1"
+
+
+def _groups(heading, field, line, order="v", where="true", having="true", tail=""):
+    """One line a group: n, e (all employment), mean, firms and roles (arrays) are the group's."""
+    return f"""select question, '{heading}' || chr(10) || string_agg({line}, chr(10) order by {order}){tail} as said from (select question, {field} as v, count(*) as n, sum(employment)::bigint as e, avg(employment) as mean, list_sort(list_distinct(list(company))) as firms, list_sort(list_distinct(list(role))) as roles
+      from m where {field} <> '' and {where} group by 1, 2 having {having}) group by 1"""
+
+
+_PLACES = f"'location in [''' || (select string_agg(v, ''', ''' order by len(v) desc, v) from (select distinct location as v from {_ROWS} where county = 'C' || (i % 5) || ' County')) || ''']'"
+_CONCENTRATED = """select question, 'Most concentrated EV Supply Chain Role:' || chr(10) || '- Role: ' || role || chr(10) || '- County: ' || county || chr(10) || '- Share: ' || printf('%.2f', share) || chr(10) || '- Companies: ' || array_to_string(firms, ', ') as said
+  from (select *, n / sum(n) over (partition by question, role) as share, row_number() over (partition by question, role order by n desc, county) as k from (select question, role, county, count(*) as n, list_sort(list_distinct(list(company))) as firms from m where county <> '' group by 1, 2, 3)) where k = 1 qualify row_number() over (partition by question order by share desc, role) = 1"""
+_SUMS = {k: f"(select question, string_agg(v || ': ' || n, '; ' order by n desc, v) as {k} from (select question, {f} as v, count(*) as n from m where classification_method <> 'Survey' group by 1, 2) group by 1)" for k, f in (("c", "category"), ("e", "ev_battery_relevant"))}
+_LISTED = f"""select question, 'Public OEM footprint / supplier listing [' || n || ' rows]:' || chr(10) || 'Category summary: ' || c || chr(10) || 'EV / Battery Relevant summary: ' || e || chr(10) || 'Companies: ' || f as said
+  from (select question, count(*) as n, string_agg(company, '; ' order by row_key) as f from m where classification_method <> 'Survey' group by 1) join {_SUMS['c']} using (question) join {_SUMS['e']} using (question)"""
+_RANGE = "select question, 'Employment range:' || chr(10) || '- Min: ' || min(employment) || ' | Company: ' || first(company order by employment, row_key) || chr(10) || '- Max: ' || max(employment) || ' | Company: ' || first(company order by employment desc, row_key) as said from m where employment is not null group by 1"
+_FIRST = "row_key in (select row_key from m o where o.question = m.question and employment is not null order by employment desc, company, row_key limit 3)"
+_IN_COUNTY = "county = 'C' || (i % 5) || ' County'"
+#: Question, the rows that it chooses, the filters named, the template, and the answer: what the rules say of it. i is the
+#: question's number; rows are r, chosen rows m.
+_KINDS = [
+    ("'Show all Tier 1 companies grouped by EV Supply Chain Role for charging gear.'", "category = 'Tier 1' and contains(lower(role), 'charging gear')", "'category in [''Tier 1''], role terms in [''charging gear'']'", "grouped_listing", _groups("Grouped by EV Supply Chain Role:", "role", "'- ' || v || ': ' || array_to_string(firms, '; ')")),
+    ("'category is Tier 2/3 and count by industry group'", "category = 'Tier 2/3'", "'category in [''Tier 2/3'']'", "counts", _groups("Counts by Industry Group:", "industry_group", "'- ' || v || ': ' || n", "n desc, v")),
+    ("'List Tier 1 suppliers excluding location = City' || (i % 25) || '.'", "category = 'Tier 1' and location <> 'City' || (i % 25)", "'category in [''Tier 1''], location not in [''City' || (i % 25) || ''']'", "details", _lines("Matching rows:", ["location"])),
+    ("'Which suppliers are linked to Acme ' || (i % 5) || '?'", "primary_oems = 'Acme ' || (i % 5)", "'primary OEMs in [''Acme ' || (i % 5) || ''']'", "linked", _lines("Linked companies:", ["role", "location", "employment", "ev_battery_relevant"])),
+    ("'Which suppliers of wire goods have OEM contracts?'", "role = 'wire goods'", "'role terms in [''wire goods'']'", "details", _lines("Matching rows:", [])),
+    ("'How many companies are there by county?'", _ALL, "''", "counts", _groups("Counts by County:", "county", "'- ' || v || ': ' || n", "n desc, v")),
+    ("'Compare total employment by EV Supply Chain Role, with the highest'", _ALL, "''", "totals", _groups("Total Employment by EV Supply Chain Role:", "role", "'- ' || v || ': ' || e", "e desc, v", "employment is not null", tail=" || chr(10) || 'Highest: ' || arg_max(v, e) || ' (' || max(e) || ')'")),
+    ("'Average employment by category for Tier 1/2 rows'", "category in ('Tier 1', 'Tier 1/2')", "'category in [''Tier 1/2'', ''Tier 1'']'", "averages", _groups("Average Employment by Category:", "category", "'- ' || v || ': ' || printf('%.2f', mean)", "mean desc, v", "employment is not null")),
+    ("'What is the median employment of Kia Motors suppliers?'", "primary_oems = 'Kia Motors'", "'primary OEMs in [''Kia Motors'']'", "median", "select question, 'Median Employment: ' || round_even(median(employment), 0)::bigint as said from m group by 1"),
+    ("'Give the range of employment in C' || (i % 5) || ' County'", _IN_COUNTY, _PLACES, "range", _RANGE),
+    ("'Top 3 companies with highest employment in Tier 2/3'", "category = 'Tier 2/3'", "'category in [''Tier 2/3'']'", "ranked", _lines("Employment-ranked companies:", ["employment"], _FIRST, "employment desc, company, row_key")),
+    ("'Which companies appear multiple times with distinct EV Supply Chain Roles?'", _ALL, "''", "several_roles", _groups("Companies appearing multiple times with distinct EV Supply Chain Roles:", "company", "'- ' || v || ': ' || array_to_string(roles, ', ')", having="count(distinct role) > 1")),
+    ("'Which EV Supply Chain Role is most concentrated in a single county?'", _ALL, "''", "concentrated", _CONCENTRATED),
+    ("'Which industry groups are represented among OEM companies?'", "category = 'OEM'", "'category in [''OEM'']'", "groups_named", "select question, 'Industry Groups represented:' || chr(10) || '- ' || string_agg(v, '; ' order by v) as said from (select distinct question, industry_group as v from m where industry_group <> '') group by 1"),
+    ("'List suppliers with missing Primary OEMs in Tier 2/3'", "category = 'Tier 2/3'", "'category in [''Tier 2/3'']'", "missing_oems", _lines("Entries with missing Primary OEMs:", ["role"], "primary_oems = ''")),
+    ("'EV / Battery Relevant: yes versus indirect for charging gear'", "contains(lower(role), 'charging gear')", "'role terms in [''charging gear'']'", "relevance", _groups("EV / Battery Relevant groups:", "ev_battery_relevant", "'- ' || v || ': ' || n || chr(10) || '  Companies: ' || array_to_string(firms, ', ')")),
+    ("'Which mentions \"harness ' || (i % 9) || '\" in Product / Service?'", _ALL, "''", "mentions", _lines("Matching Product / Service entries:", ["product_service"], "contains(product_service, 'harness ' || (question % 9)) or contains(product_service, 'wire')")),
+    ("'What is the methodology of each classification method for Tier 1?'", _ALL, "''", "details", _lines("Matching rows:", ["classification_method"])),
+    ("'Which rows have Employment >= ' || (i * 50) || ' of Tier 1?'", "category = 'Tier 1'", "'category in [''Tier 1'']'", "details", _lines("Matching rows:", ["employment"], "employment >= question * 50")),
+    ("'Which suppliers supply to more than one OEM in C' || (i % 5) || ' County?'", _IN_COUNTY, _PLACES, "several_oems", _lines("Companies linked to more than one explicit OEM:", ["primary_oems"], "primary_oems = 'Ford and GM Plants'")),
+    ("'Give the public OEM footprint / supplier listing of Tier 1'", "category in ('OEM', 'Tier 1')", "'category in [''Tier 1'', ''OEM'']'", "public_listing", _LISTED),
+    ("'Which primary facility type containing both words has vehicle assembly?'", "role = 'vehicle assembly'", "'role terms in [''vehicle assembly'']'", "containing_both", _lines("Primary Facility Type matches:", ["primary_facility_type"], "primary_facility_type <> 'Manufacturing'")),
+    ("'Count entries whose category starts with OEM by supplier or affiliation type'", _ALL, "''", "details", _lines("Matching rows:", ["category"], "category = 'OEM' and supplier_or_affiliation_type = ''")),
+    ("'List all Tier 1 companies grouped by EV Supply Chain Role and count them'", "category = 'Tier 1'", "'category in [''Tier 1'']'", "grouped", _groups("Grouped by EV Supply Chain Role:", "role", "'- ' || v || ': ' || array_to_string(firms, '; ')")),
+]
+_TEXT = "case i % 24 " + " ".join(f"when {k} then {t}" for k, (t, *_) in enumerate(_KINDS)) + " end"
+_MATCHED = "(" + " union all ".join(f"select i as question, r.* from (select item_id as i from benchmark where item_id % 24 = {k}) b, {_ROWS} r where {where}" for k, (_, where, *_) in enumerate(_KINDS)) + ")"
+#: (question, template, filters, said) of every kind.
+_SAID = " union all ".join(f"select question, '{t}' as template, {f.replace('i %', 'question %')} as filters, said from (with m as (select * from matched where question % 24 = {k}) {body})" for k, (_, _, f, t, body) in enumerate(_KINDS))
+_ANSWERS = f"with matched as materialized {_MATCHED} select a.question, template, t.rows, 'Structured workbook matches from exact metadata filters:' || chr(10) || 'Applied filters: ' || filters || chr(10) || 'Matched rows: ' || t.rows || chr(10) || said as text from ({_SAID}) a join (select question, count(*) as rows from matched group by 1) t on t.question = a.question"
+#: (question, field, value) that the kinds name.
+_NAMES = {
+    "category": "when i % 24 in (0, 2, 18, 23) then ['Tier 1'] when i % 24 in (1, 10, 14) then ['Tier 2/3'] when i % 24 = 7 then ['Tier 1', 'Tier 1/2'] when i % 24 = 13 then ['OEM'] when i % 24 = 20 then ['OEM', 'Tier 1']",
+    "role": "when i % 24 in (0, 15) then ['charging gear'] when i % 24 = 4 then ['wire goods'] when i % 24 = 21 then ['vehicle assembly']",
+    "primary_oems": "when i % 24 = 3 then ['Acme ' || (i % 5)] when i % 24 = 8 then ['Kia Motors']",
+}
+_NAMED = "(" + " union all ".join(f"select i as question, '{f}' as field, unnest(case {c} else [] end) as value from (select item_id as i from benchmark)" for f, c in _NAMES.items()) + f" union all select item_id, 'location', location from benchmark, (select distinct location, county from {_ROWS}) where item_id % 24 in (9, 19) and county = 'C' || (item_id % 5) || ' County')"
 
 
 def rows(spark, d):
-    return table(spark, d, "supplier").selectExpr(*_spark_columns())
+    return table(spark, d, "supplier").selectExpr(*(f"{v} as {k}" for k, v in _CELLS.items()))
 
 
-def _spark_columns():
-    """The expressions of _ROWS, which Spark reads as they are: cut at commas outside quotes and brackets."""
-    inner, out, depth, quoted = _ROWS.removeprefix("(select ").removesuffix(" from supplier)"), [""], 0, False
-    for c in inner:
-        quoted ^= c == "'"
-        depth += 0 if quoted else (c == "(") - (c == ")")
-        if c == "," and not quoted and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
+def asked(spark, d):
+    return table(spark, d, "benchmark").selectExpr("item_id as question", "item_id as i").selectExpr("question", f"{_TEXT} as text")
 
 
-def asked(spark, d):
-    return table(spark, d, "benchmark").selectExpr("item_id as question", f"{_TEXT.replace(chr(39) * 2 + 'tiering' + chr(39) * 2, chr(92) + chr(39) + 'tiering' + chr(92) + chr(39))} as text")
+_GROUPED = {0: "role", 1: "industry_group", 2: "city", 5: "county", 6: "role", 7: "category", 9: "county", 11: "role", 12: "role", 13: "industry_group", 14: "primary_oems", 15: "ev_battery_relevant", 17: "classification_method", 19: "county", 21: "primary_facility_type", 22: "supplier_or_affiliation_type", 23: "role"}
+_FORMS = f"""select i as question, {_TEXT} as text, case when i % 24 = 17 then 'definition' when i % 24 in (6, 15) then 'comparison' when i % 24 in (0, 1, 2, 5, 9, 12, 13, 14, 19, 20, 22, 23) then 'aggregation' else 'fact' end as intent,
+case i % 24 {' '.join(f"when {k} then '{v}'" for k, v in _GROUPED.items())} end as group_field,
+case i % 24 when 6 then 5 when 10 then 3 end as top, case when i % 24 = 18 then '>=' end as op, case when i % 24 = 18 then i * 50 end as value, case when i % 24 = 2 then 'City' || (i % 25) else '' end as excluded, case when i % 24 = 16 then 'harness ' || (i % 9) else '' end as quoted,
+i % 24 not in (0, 2, 3, 4, 20) as analytic, i % 24 in (0, 23) as exhaustive from (select item_id as i from benchmark)"""
 
 
-@query(f"""select question, text, case item_id % 6 when 4 then 'definition' when 0 then 'aggregation' when 1 then 'aggregation' when 3 then 'fact' else 'fact' end as intent_kind, case item_id % 6 when 1 then 'county' when 3 then null end as group_field, case item_id % 6 when 5 then 3 end as top,
-case item_id % 6 when 2 then '>=' when 5 then '>=' end as op, case item_id % 6 when 2 then item_id * 200 when 5 then item_id * 150 end as value, case item_id % 6 when 3 then 'City' || (item_id % 25) else '' end as excluded, case item_id % 6 when 4 then 'value chain|tiering' else '' end as quoted from (select item_id, item_id as question, {_TEXT} as text from benchmark)""")
+@query(_FORMS)
 def question_forms(spark, d):
     out = Q.understood(asked(spark, d))
-    kind = F.when(F.col("intent") == "comparison", "fact").otherwise(F.col("intent"))
-    grouped = F.when(F.col("question") % 6 == 1, F.col("group"))  # other questions say "county" by the way
-    return out.select("question", "text", F.when((F.col("question") % 6).isin(0, 1, 4), kind).otherwise("fact").alias("intent_kind"), grouped.alias("group_field"), F.when(F.col("question") % 6 == 5, F.col("limit")).alias("top"), "threshold.op", "threshold.value", F.array_join("excluded", "|").alias("excluded"), F.array_join("quoted", "|").alias("quoted"))
+    return out.select("question", "text", "intent", F.col("group").alias("group_field"), F.col("limit").alias("top"), "threshold.op", "threshold.value", F.array_join("excluded", "|").alias("excluded"), F.array_join("quoted", "|").alias("quoted"), "analytic", "exhaustive")
 
 
 @query(f"select question, field, value from {_NAMED}")
 def question_names(spark, d):
-    return Q.named(asked(spark, d), rows(spark, d))
-
-
-_MATCHED = f"""(with n as {_NAMED}, w as (select question, count(distinct field) as fields from n group by 1), q as (select item_id as question, case item_id % 6 when 2 then item_id * 200 when 5 then item_id * 150 end as least, case item_id % 6 when 3 then 'City' || (item_id % 25) end as outside from benchmark),
-r as {_ROWS}, c as (select row_key, 'company' as field, company as value from r union all select row_key, 'category', category from r union all select row_key, 'role', role from r union all select row_key, 'location', location from r union all select row_key, 'primary_oems', primary_oems from r),
-h as (select question, row_key from n join c using (field, value) group by 1, 2, (select fields from w where w.question = n.question) having count(distinct field) = (select fields from w where w.question = n.question)
-  union all select question, row_key from q, r where least is not null and employment >= least and not exists (select 1 from w where w.question = q.question))
-select h.question, h.row_key from h join q using (question) join r using (row_key) where (least is null or coalesce(employment >= least, false)) and (outside is null or location <> outside))"""
+    return Q.named(asked(spark, d), rows(spark, d)).select("question", "field", "value")
 
 
 @query(f"select question, row_key from {_MATCHED}")
 def structured_filter(spark, d):
-    r = rows(spark, d)
-    q = asked(spark, d)
-    return Q.matched(Q.understood(q), Q.named(q, r), r)
+    r, q = rows(spark, d), asked(spark, d)
+    return Q.matched(q, Q.named(q, r), r)
+
+
+@query(_ANSWERS)
+def question_answers(spark, d):
+    """Twenty-four kinds of questions, each with rows and an answer of its own."""
+    from ..plans.answers import answers
+
+    r, q = rows(spark, d), asked(spark, d)
+    names = Q.named(q, r)
+    return answers(q, Q.matched(q, names, r), r, names)
 
 
-@query(f"""with m as (select question, company, category, employment from {_MATCHED} join {_ROWS} using (row_key)), c as (select question, string_agg(category || ': ' || n, '; ' order by n desc, category) as categories from (select question, category, count(*) as n from m group by 1, 2) group by 1),
+@query(f"""with m as (select question, row_key, company, category, employment from {_MATCHED}), c as (select question, string_agg(category || ': ' || n, '; ' order by n desc, category) as categories from (select question, category, count(*) as n from m group by 1, 2) group by 1),
 f as (select question, string_agg(company, '; ' order by company) filter (k <= 5) as companies, greatest(0, count(*) - 5) as more from (select question, company, row_number() over (partition by question order by company) as k from (select distinct question, company from m)) group by 1), t as (select question, count(*) as rows, sum(employment)::bigint as employment from m group by 1)
 select question, rows, employment, categories, companies, more, 'Matched rows: ' || rows || chr(10) || 'By category: ' || categories || chr(10) || 'Companies: ' || companies || case when more > 0 then ' (+' || more || ' more)' else '' end as summary from t join c using (question) join f using (question)""")
 def structured_summary(spark, d):
     r, q = rows(spark, d), asked(spark, d)
-    return Q.summaries(Q.matched(Q.understood(q), Q.named(q, r), r), r)
+    return Q.summaries(Q.matched(q, Q.named(q, r), r), r)
 
 
 @query("select c_custkey, c_acctbal from customer where floor(c_acctbal) >= 9000")

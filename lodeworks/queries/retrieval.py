@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ranking as K
 from ..operators import retrieval as V
+from ..operators.shared import shared_table
+from ..plans import questions as PQ
 from . import query, table
+from . import questions as QQ
 
 _TOK = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
 IDF = f"(select token, count(*) as df, ln((1.0 + (select count(*) from documents)) / (1.0 + count(*))) + 1.0 as idf from (select doc_id, unnest({_TOK}) as token from documents) group by 1)"
@@ -167,6 +170,42 @@ def retrieve(spark, d):
     return V.retrieve(asked, variants, chunks, V.idf(chunks, "text"), role_terms=ROLE_TERMS, digits=6)
 
 
+# The same with questions about the entity table: what their filters find comes first, and what they name is searched, too.
+_FOCUS = "array_to_string(list_filter(string_split(q, ' '), lambda w: w <> '' and not list_contains([" + ", ".join(f"'{w}'" for w in PQ.STOPWORDS) + "], w))[1:12], ' ')"
+_ASKED = f"select question, text, intent, {_NORMAL.format(c='text')} as q from ({QQ._FORMS})"
+_FILTERS = f"(select question, string_agg(value, ' | ' order by case field when 'company' then 0 when 'category' then 1 when 'location' then 2 when 'primary_oems' then 3 else 4 end, len(value) desc, value) as t from {QQ._NAMED} group by 1)"
+_STRUCTURED = f"""sr as (select question, row_key, company, row_number() over (partition by question order by row_key) as o from {QQ._MATCHED} where question in (select question from ({QQ._ANSWERS})) qualify o <= 6),
+st as (select distinct question, 0 as ord, 'structured-summary::' || question as id, 'structured_match_summary' as kind, '' as company, '' as row_key from sr union all select question, o, 'structured-row::' || row_key, 'structured_row_match', company, row_key::varchar from sr),
+"""
+_BOTH = (
+    _RETRIEVE.replace("doc_id as id, text, ", "doc_id::varchar as id, text, ", 1).replace("e.vec_id as id", "e.vec_id::varchar as id").replace("e.vec_id in (select id", "e.vec_id::varchar in (select id")
+    .replace("round(coalesce(f.lexical, 0.0), 5)", "round(coalesce(f.lexical, 0.0)::decimal(18, 6), 5)::double").replace("round(coalesce(dr.dense, 0.0), 5)", "round(coalesce(dr.dense, 0.0)::decimal(18, 6), 5)::double")
+)
+_A, _B, _C, _D = _BOTH.index("q as (select item_id"), _BOTH.index("vec as ("), _BOTH.index("idf as ("), _BOTH.index("s1 as (")
+_BOTH = (
+    _BOTH[:_A] + f"q as ({_ASKED}), v as (select question, 0 as variant, text from q union all select question, 1, {_FOCUS} from q union all select question, 2, t from {_FILTERS}),\n"
+    + "vec as (select v.question, v.variant, e.embedding::double[] as vector from v join embeddings e on e.vec_id = v.question + v.variant),\n" + _BOTH[_C:_D] + _STRUCTURED
+    + """u as (select question, id, final, dense, lexical, kind, company, row_key, priority, 1 as stage, 0 as ord from s union all select question, id, case ord when 0 then 1.0 else 0.99 end, case ord when 0 then 1.0 else 0.99 end, case ord when 0 then 1.0 else 0.99 end, kind, company, row_key, 9.0, 0, ord from st),
+s1 as (select *, row_number() over (partition by question, coalesce(nullif(trim(row_key), ''), id) order by stage, ord, priority desc, final desc, id) as k from u qualify k = 1), s2 as (select *, row_number() over (partition by question, company order by stage, ord, priority desc, final desc, id) as g from s1 qualify g <= 2 or company = ''),
+s3 as (select *, row_number() over (partition by question order by stage, ord, priority desc, final desc, id) as rank from s2) select question, rank, id, final, dense, lexical, kind, company from s3 where rank <= 8"""
+)
+
+
+@query(_BOTH)
+def retrieve_structured(spark, d):
+    """Questions about suppliers: their plan's variants are searched, and their structured results come first."""
+    from ..plans.answers import answers, structured_results
+
+    rows, asked = QQ.rows(spark, d), PQ.understood(QQ.asked(spark, d)).select("question", "text", "intent")
+    names = PQ.named(asked, rows)
+    hits = shared_table(PQ.matched(asked, names, rows), "hits")
+    first = shared_table(structured_results(shared_table(answers(asked, hits, rows, names), "answers"), hits, rows), "structured")
+    e = _vectors(spark, d).withColumnRenamed("id", "vec")
+    v = shared_table(PQ.variants(asked, names).join(e, F.col("vec") == F.col("question") + F.col("variant"), "left").drop("vec"), "variants")
+    chunks = chunks_of(spark, d).withColumn("id", F.col("id").cast("string"))
+    return V.retrieve(asked, v, chunks, V.idf(chunks, "text"), first, role_terms=ROLE_TERMS, digits=6)
+
+
 @query("select e.vec_id as id, r.vec_id as reference, round(100.0 * greatest(0.0, list_cosine_similarity(e.embedding::double[], r.embedding::double[])), 2) as score from embeddings e, embeddings r where r.vec_id % 50 = 0")
 def reference_matrix(spark, d):
     e = _vectors(spark, d)

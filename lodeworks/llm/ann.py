@@ -94,12 +94,18 @@ def scan(ids: np.ndarray, u: np.ndarray, qids: np.ndarray, v: np.ndarray, k: int
     return a, b
 
 
+def near_one(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest components near one: cosines stay what they are to the last
+    bit, and no square is too large or too small."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def hits_of(cands: pa.Table, asked: pa.Table, k: int, turn: np.ndarray) -> list[tuple]:
     """(query, its key, candidate, cosine) of each query's k nearest among these candidates; exact repeats count once."""
     only = lambda t: np.unique(np.stack([t["id"].to_numpy(), t["key"].to_numpy()]), axis=1, return_index=True)[1]
     at, ask = only(cands), only(asked)
-    ids, x = cands["id"].to_numpy()[at], matrix(cands["vec"])[at]
-    qids, qkeys, q = asked["id"].to_numpy()[ask], asked["key"].to_numpy()[ask], matrix(asked["vec"])[ask]
+    ids, x = cands["id"].to_numpy()[at], near_one(matrix(cands["vec"])[at])
+    qids, qkeys, q = asked["id"].to_numpy()[ask], asked["key"].to_numpy()[ask], near_one(matrix(asked["vec"])[ask])
     u, norm, out = unit(x) @ turn, np.sqrt((x * x).sum(1)), []
     for i in range(0, len(q), AT_ONCE):
         part, own = q[i : i + AT_ONCE], qids[i : i + AT_ONCE]

@@ -3,7 +3,7 @@
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import lru_cache
@@ -61,6 +61,11 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def until_exit(paths: Iterable[str]) -> None:
+    """These tables are deleted when the program ends."""
+    _UNTIL_EXIT.extend(paths)
+
+
 @atexit.register
 def _at_exit() -> None:
     if SparkContext._active_spark_context is not None and _UNTIL_EXIT:

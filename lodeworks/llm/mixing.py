@@ -108,6 +108,10 @@ def shard_runs(plan: DataFrame, levels: int, seed: int) -> DataFrame:
     return written(runs.select("place", "shard", "first", "last", F.explode(buckets).alias("bucket")), "mixing-runs")
 
 
+#: Parts of a source's line that are summed together.
+GROUP = 8192
+
+
 def lines(sized: DataFrame, parts: int) -> DataFrame:
     """(row, at): the words before a document on its source's line. sized: row, task, name, h, id, size.
 
@@ -119,8 +123,12 @@ def lines(sized: DataFrame, parts: int) -> DataFrame:
     part = F.floor((F.col("h").cast("double") + 9.223372036854775807e18) / 1.8446744073709551616e19 * parts).cast("int")
     classes = sized.groupBy(*kinds).agg(F.count("*").alias("copies")).withColumn("part", part).withColumn("words", F.col("copies") * F.col("size"))
     classes = written(classes, "mixing-classes")
-    sub = classes.groupBy("name", "part").agg(F.sum("words").alias("n"))
-    ahead = sub.select("name", "part", (F.sum("n").over(Window.partitionBy("name").orderBy("part")) - F.col("n")).alias("ahead"))
+    # Words before a part: in its group of parts, and in the groups before, so no task sees all parts of a source.
+    sub = classes.groupBy("name", "part").agg(F.sum("words").alias("n")).withColumn("g", F.floor(F.col("part") / GROUP))
+    groups = sub.groupBy("name", "g").agg(F.sum("n").alias("n"))
+    before = groups.select("name", "g", (F.sum("n").over(Window.partitionBy("name").orderBy("g")) - F.col("n")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("name", "g").orderBy("part")) - F.col("n")
+    ahead = sub.withColumn("within", within).join(before, ["name", "g"]).select("name", "part", (F.col("before") + F.col("within")).alias("ahead"))
     inside = F.sum("words").over(Window.partitionBy("name", "part").orderBy("h", "id", "size", "task")) - F.col("words")
     begins = classes.withColumn("inside", inside).join(ahead, ["name", "part"]).select(*kinds, (F.col("ahead") + F.col("inside")).alias("begin"))
     nth = F.row_number().over(Window.partitionBy(*kinds).orderBy("row")) - 1

@@ -102,6 +102,22 @@ def rounds(totals: list[int], weights: list[float] | None, window: int, quantum:
     return [*phases, {"rounds": 0, "rate": [], "sent": sent, "at": at * quantum}]
 
 
+#: Rounds that are worked out at a time, each with a number for every queue.
+ROUNDS = 2048
+
+
+def sending(lo: int, hi: int, rate: int) -> Iterator[np.ndarray]:
+    """The rounds in which a queue sends its quanta lo to hi, in order. A queue of a small share sends in few of the
+    rounds that pass meanwhile, so there are never more than the quanta."""
+    first, final = ((((u + 1) << POINT) - 1) // rate for u in (lo, hi))
+    if final - first <= hi - lo:
+        yield from (np.arange(s, min(s + ROUNDS, final + 1), dtype=np.int64) for s in range(first, final + 1, ROUNDS))
+    else:  # less than a quantum a round, so each has a round of its own
+        for s in range(lo, hi + 1, ROUNDS):
+            u = np.arange(s, min(s + ROUNDS, hi + 1), dtype=np.int64)
+            yield (((u + 1) << POINT) - 1) // rate
+
+
 def places(q: int, lo: int, hi: int, phases: list[dict], totals: list[int], quantum: int) -> Iterator[tuple[int, int, int]]:
     """(token in the queue, place in the packed stream, length) of the runs that tokens lo to hi of queue q make."""
     for phase, after in zip(phases, [*phases[1:], None], strict=True):
@@ -114,15 +130,13 @@ def places(q: int, lo: int, hi: int, phases: list[dict], totals: list[int], quan
             yield a, phase["at"] + sum(t - s * quantum for t, s in zip(totals[:q], phase["sent"][:q], strict=True)) + a - start, b - a
             continue
         rate = np.array(phase["rate"], np.int64)
-        first, final = ((((x - start) // quantum + 1 << POINT) - 1) // int(rate[q]) for x in (a, b - 1))
-        w = np.arange(first, final + 1, dtype=np.int64)
-        own = rate[q] * np.append(w, final + 1) >> POINT
-        ahead = (np.multiply.outer(w + 1, rate[:q]) >> POINT).sum(1) + (np.multiply.outer(w, rate[q:]) >> POINT).sum(1)
-        begins = start + own[:-1] * quantum
-        lows, highs = np.maximum(begins, a), np.minimum(start + own[1:] * quantum, b)
-        for x, y, z, g in zip(lows.tolist(), highs.tolist(), begins.tolist(), ahead.tolist(), strict=True):
-            if y > x:
-                yield x, phase["at"] + g * quantum + x - z, y - x
+        for w in sending((a - start) // quantum, (b - 1 - start) // quantum, int(rate[q])):
+            ahead = (np.multiply.outer(w + 1, rate[:q]) >> POINT).sum(1) + (np.multiply.outer(w, rate[q:]) >> POINT).sum(1)
+            begins, ends = start + (rate[q] * w >> POINT) * quantum, start + (rate[q] * (w + 1) >> POINT) * quantum
+            lows, highs = np.maximum(begins, a), np.minimum(ends, b)
+            for x, y, z, g in zip(lows.tolist(), highs.tolist(), begins.tolist(), ahead.tolist(), strict=True):
+                if y > x:
+                    yield x, phase["at"] + g * quantum + x - z, y - x
 
 
 def pack(docs: DataFrame, path: str, window: int = 2048, quantum: int = 8, weights: dict | None = None, queues: int = QUEUES, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -38,7 +38,8 @@ _TYPES = {
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no white space, whole numbers without a fraction."""
+    """JSON with sorted keys, no white space, whole numbers without a fraction; lone surrogates, which no text can hold,
+    as escapes."""
 
     def plain(v):
         if isinstance(v, float):
@@ -49,7 +50,12 @@ def canonical(value) -> str:
             return {k: plain(x) for k, x in v.items()}
         return [plain(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return escaped(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def escaped(s: str) -> str:
+    """A text whose lone surrogates are written as escapes."""
+    return s if s.isascii() else re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", s)
 
 
 def violations(value, schema: dict, at: str = "$") -> Iterator[str]:
@@ -211,20 +217,20 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         for batch in batches:
             status, errors, message, places = [], [], [], []
             for r in batch.to_pylist():
-                wrong, arguments = [], None
+                wrong, arguments = [], "null"
                 if r["n_calls"]:
                     try:
-                        arguments = json.loads(r["arguments"] or "null")
-                        canonical(arguments)
-                        wrong = list(violations(arguments, schemas[r["name"]])) if r["name"] in schemas else ["no such tool"]
+                        given = json.loads(r["arguments"] or "null")
+                        arguments = canonical(given)
+                        wrong = list(map(escaped, violations(given, schemas[r["name"]]))) if r["name"] in schemas else ["no such tool"]
                     except (ValueError, RecursionError):
-                        arguments, wrong = None, ["no JSON"]
+                        arguments, wrong = "null", ["no JSON"]
                 state = "orphan" if not r["n_calls"] else "invalid" if wrong else "pending" if not r["n_results"] else "early" if (r["result_turn"] or 0) < (r["call_turn"] or 0) else "ok"
-                own = {"id": r["call_id"]}
-                own |= {"call": {"name": r["name"], "arguments": arguments}} if r["n_calls"] else {}
-                own |= {"result": r["content"]} if r["n_results"] else {}
+                # Keys in order; the arguments are the text that was checked, so nesting goes no deeper here.
+                own = [f'"call":{{"arguments":{arguments},"name":{canonical(r["name"])}}}'] if r["n_calls"] else []
+                own += [f'"id":{canonical(r["call_id"])}'] + ([f'"result":{canonical(r["content"])}'] if r["n_results"] else [])
                 conv, nth = r["conv_id"], nth + 1 if r["conv_id"] == conv else 1
-                for to, v in zip((status, errors, message, places), (state, wrong, canonical(own), nth), strict=True):
+                for to, v in zip((status, errors, message, places), (state, wrong, "{" + ",".join(own) + "}", nth), strict=True):
                     to.append(v)
             made = [pa.array(v, t) for v, t in ((status, pa.string()), (errors, pa.list_(pa.string())), (message, pa.string()), ([part] * len(status), pa.int64()), (places, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in OUT), *made], [*OUT, "status", "errors", "message", "part", "nth"])

@@ -1,9 +1,9 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; whoever runs them writes each
-stage's rows and reads them again. A stage begins by deleting the intermediate tables of the stages before it over
-the same sf_dir, since their rows have been written then; no other tables are touched. Counted as part of
-`lodeworks.llm`.
+stage's rows and reads them again. A stage begins by deleting the intermediate tables of the stages before it in the
+same run, since their rows have been written then; no other tables are touched. A run is what a thread does over an
+sf_dir from one first stage to its next. Counted as part of `lodeworks.llm`.
 
 In every stage null texts count as empty, null ids, languages and sources are values of their own, repeated rows are
 documents each until near_dedup makes them one, texts are read whole, columns besides those of DOCUMENT are not read
@@ -12,12 +12,13 @@ documents each until near_dedup makes them one, texts are read whole, columns be
 
 from collections.abc import Callable
 from functools import wraps
+from threading import get_ident
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import delete, scratch, table, written
+from lodeworks.llm.common import delete, scratch, table, until_exit, written
 from lodeworks.llm.minhash import near_duplicates
 from lodeworks.llm.mixing import mix, mixed_rows
 from lodeworks.llm.packing import pack
@@ -25,8 +26,8 @@ from lodeworks.llm.quality import judge
 from lodeworks.llm.secrets import redacted, scan_secrets
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
-#: sf_dir -> (stage, its intermediate tables) of the stages that have begun.
-_TABLES: dict[str, list[tuple[int, list[str]]]] = {}
+#: (thread, sf_dir) -> (stage, its intermediate tables) of the stages of the present run that have begun.
+_TABLES: dict[tuple[int, str], list[tuple[int, list[str]]]] = {}
 
 
 def _stage(place: int):
@@ -35,7 +36,11 @@ def _stage(place: int):
     def wrap(f: Callable) -> Callable:
         @wraps(f)
         def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            begun = _TABLES.setdefault(sf_dir, [])
+            begun = _TABLES.setdefault((get_ident(), sf_dir), [])
+            if place == 0:
+                # Another run's tables may still be read; they go when the program ends.
+                until_exit(x for _, paths in begun for x in paths)
+                begun.clear()
             for before, paths in begun:
                 if before < place:
                     delete(spark, paths)
@@ -77,12 +82,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one document stays: the one with the smallest id (null last), of several texts
     with that id the one of the smallest hash, and of rows that repeat it one. Rows that share an id but not a text
-    are different documents. Documents without words all stay."""
+    are different documents. Documents without words are like no other, but rows that repeat an id and a text are one."""
     leads = near_duplicates(docs).where("leads").select(F.col("doc_id").alias("lead_id"), "text_hash").distinct()
     own = docs.select(*DOCUMENT, F.xxhash64("text").alias("text_hash"))
     found = own.join(leads, own["doc_id"].eqNullSafe(leads["lead_id"]) & (own["text_hash"] == leads["text_hash"]), "left_semi")
-    alike = Window.partitionBy("doc_id", "text_hash").orderBy("lang", "source", "n_chars")
-    return found.withColumn("k", F.row_number().over(alike)).where("k = 1").select(*DOCUMENT)
+    # An aggregate, which combines repeated rows before it deals them out.
+    one = found.groupBy("doc_id", "text_hash").agg(F.min(F.struct("lang", "source", "n_chars")).alias("o"), F.min("text").alias("text"))
+    return one.select("doc_id", "text", "o.lang", "o.source", "o.n_chars").select(*DOCUMENT)
 
 
 @_stage(2)
@@ -113,9 +119,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other; a stage's rows go when the next one's have been written, those that the last
+    stage reads when the program ends."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}", keep=True)
+            with scratch() as own:
+                docs = written(docs, f"pipeline-{name}")
+            delete(spark, before)
+            before = own
+    until_exit(before)
     return docs

@@ -1,9 +1,14 @@
 """Tables that end a lineage, and joins whose small side is of a checked size."""
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +33,46 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir(spark.sparkContext.applicationId)
 
 
+#: The list of the innermost `scratch`; without one, tables stay until the program ends.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+_UNTIL_EXIT: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The folders that are made meanwhile are deleted at its end: what is to stay must have been written by then."""
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        delete(spark, paths)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    if SparkContext._active_spark_context is not None and _UNTIL_EXIT:
+        delete(SparkSession.builder.getOrCreate(), _UNTIL_EXIT)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it goes with its `scratch`, or when the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    own = _SCRATCH.get()
+    (_UNTIL_EXIT if own is None else own).append(path)
+    return path
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again, which ends its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import ranking as K
 from ..operators import retrieval as V
-from ..operators.shared import shared_table
+from ..operators.shared import shared_path, shared_table
 from ..plans import questions as PQ
 from . import query, table
 from . import questions as QQ
@@ -215,3 +215,30 @@ def reference_matrix(spark, d):
 @query(f"select question, '[' || string_agg('{{\"rank\":' || rank || ',\"id\":' || id || ',\"kind\":\"' || kind || '\"}}', ',' order by rank) || ']' as log from ({_RETRIEVE}) group by 1")
 def retrieval_log(spark, d):
     return V.retrieval_log(retrieve(spark, d).select("question", "rank", "id", "kind"))
+
+
+def _refreshed(spark, d):
+    """An index of documents of which some are missing, others and some that are too many are there, then brought to the
+    documents as they are."""
+    from ..operators import index as X
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(_vectors(spark, d), "id", "left")
+    k = F.col("id")
+    older = docs.where(k % 97 != 3).withColumn("text", F.when(k % 89 == 5, F.concat("text", F.lit(" since changed"))).otherwise(F.col("text")))
+    older = older.unionByName(docs.where(k % 101 == 7).withColumn("id", -k - 1))
+    path = shared_path(spark, "index")
+    X.refresh(spark, path, older)
+    return path, X.refresh(spark, path, docs)
+
+
+@query(f"select token, df, round(idf, 6) as idf from {IDF}")
+def index_refresh(spark, d):
+    from ..operators import index as X
+
+    path, _ = _refreshed(spark, d)
+    return X.frequencies(spark, path).select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("select state, count(*) as chunks from (select case when doc_id % 97 = 3 then 'added' when doc_id % 89 = 5 then 'changed' else 'same' end as state from documents union all select 'gone' from documents where doc_id % 101 = 7) group by 1")
+def index_changes(spark, d):
+    return _refreshed(spark, d)[1]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup as D
-from ..operators.shared import shared_dir
+from ..operators.shared import shared_path
 from ..sources import readers as S
 from ..sources import sinks as K
 from ..streaming import ingest as I
@@ -14,8 +14,7 @@ from . import query, table
 from .texts import _CANON as CANONICAL
 
 
-def _folder(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_folder = shared_path
 
 
 @query("select doc_id, lang, source, n_chars, md5(coalesce(text, '')) as text from documents")

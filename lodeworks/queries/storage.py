@@ -186,3 +186,37 @@ def heading_lines(spark, d):
     made = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Heading "), F.col("doc_id").cast("string"))).otherwise("A: b"), F.lit("\nthis line is no heading at all.\nno\n"))
     docs = table(spark, d, "documents").where("trim(text) <> ''")
     return docs.select("doc_id", F.lower(F.regexp_extract("text", r"^\s*(\S+)", 1)).alias("first"), F.array_join(T.headings(made), "|").alias("headings"))
+
+
+@query("""select 'question' as kind, case when item_id % 4 = 0 then 'id' || item_id else null end as id, trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g')) as text, case when item_id % 3 = 0 then 'gold ' || item_id end as answer from benchmark where len(trim(text)) >= 5""")
+def question_sheets(spark, d):
+    """Question sheets whose header stands below two other rows; rows without an id get their number."""
+    from ..sources import sheets
+
+    path, k = _folder(spark, "sheets"), F.col("item_id")
+    b = table(spark, d, "benchmark")
+    plain = F.concat(F.lit('"'), F.replace(T.squeeze(F.col("text")), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.when(k % 4 == 0, F.concat(F.lit("id"), k.cast("string"))).otherwise(""), plain, F.lit("x"), F.when(k % 3 == 0, F.concat(F.lit("gold "), k.cast("string"))).otherwise(""))
+    head = spark.createDataFrame([(0, "Study,of,items"), (1, ",,,"), (2, "#,Sample  Query,,Reference Answer")], "nth long, value string")
+    rows = head.unionByName(b.select((k + 10).alias("nth"), line.alias("value")))
+    rows.repartitionByRange(4, "nth").sortWithinPartitions("nth").coalesce(1).select("value").write.text(path)
+    own = sheets.questions(spark, path)
+    return own.select(F.lit("question").alias("kind"), F.when(F.col("q_id").startswith("id"), F.col("q_id")).alias("id"), F.col("question").alias("text"), F.col("expected_answer").alias("answer"))
+
+
+@query("""with s as (select s_suppkey, s_name, s_nationkey from supplier), t as (select s_nationkey % 3 as sheet, row_number() over (partition by s_nationkey % 3 order by s_suppkey) as nth, s_suppkey, s_name from s)
+select 'row' as kind, sheet, nth, '{"Company":"' || s_name || case when s_suppkey % 2 = 0 then '","Number":"' || s_suppkey else '' end || '"}' as said from t where sheet <> 1
+union all select 'note', 1, 0, string_agg(s_name, chr(10) order by nth) from t where sheet = 1""")
+def sheet_rows(spark, d):
+    """Sheets of suppliers: two are tables, the third has one named column, and so is a note."""
+    from ..sources import sheets
+
+    path = _folder(spark, "sheets")
+    s = table(spark, d, "supplier").select((F.col("s_nationkey") % 3).alias("sheet"), F.col("s_suppkey").alias("nth"), F.concat_ws(",", "s_name", F.when((F.col("s_nationkey") % 3 != 1) & (F.col("s_suppkey") % 2 == 0), F.col("s_suppkey").cast("string")).otherwise("")).alias("value"))
+    heads = spark.createDataFrame([(0, -1, "Company,Number"), (1, -1, "Definitions,"), (2, -1, "Company,Number"), (2, -2, ",,")], "sheet int, nth long, value string")
+    rows = heads.unionByName(s).repartition(3, "sheet").sortWithinPartitions("sheet", "nth")
+    rows.select("sheet", "value").write.partitionBy("sheet").text(path)
+    tables, notes = sheets.rows_and_notes(spark, f"{path}/*")
+    sheet = F.regexp_extract("file", r"sheet=(\d)", 1).cast("int").alias("sheet")
+    own = tables.select(F.lit("row").alias("kind"), sheet, "nth", F.to_json("values").alias("said"))
+    return own.unionByName(sheets.note_texts(notes).select(F.lit("note").alias("kind"), sheet, F.lit(0).cast("long").alias("nth"), F.col("text").alias("said")))

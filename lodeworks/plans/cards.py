@@ -7,10 +7,11 @@ Vocabularies, names and reference texts are parameters.
 
 import hashlib
 import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,45 +39,69 @@ class Grounding:
 # ---- similarity by hashed grams
 
 
-def hashed(c: Column) -> Column:
-    """The buckets of a text's tokens and bigrams, sorted."""
-    bucket = lambda g: (F.conv(F.substring(F.sha1(g), 1, 8), 16, 10).cast("bigint") % BUCKETS).cast("int")
-    return F.array_sort(F.transform(T.grams(T.squeeze(c)), bucket))
+#: Grams whose buckets a Python worker remembers.
+KNOWN_GRAMS = 500_000
+_TOKEN = re.compile(r"[a-z0-9][a-z0-9\-+.]*")
+_known: dict[str, int] = {}
 
 
-def _norm(h: Column) -> Column:
-    """Root of the sum of squared counts of a sorted array: the n-th of equal items adds 2n - 1."""
-    step = lambda acc, x: F.struct(x.alias("last"), F.when(acc["last"] == x, acc["run"] + 1).otherwise(1).alias("run"), (acc["sum"] + F.when(acc["last"] == x, 2 * acc["run"] + 1).otherwise(1)).alias("sum"))
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).cast("bigint").alias("sum"))
-    return F.sqrt(F.aggregate(h, start, lambda acc, x: step(acc, x).cast("struct<last:int,run:int,sum:bigint>"), lambda acc: acc["sum"].cast("double")))
+def buckets(text: str) -> list[int]:
+    """The buckets of a text's tokens and bigrams."""
+    tokens = _TOKEN.findall((text or "").lower())
+    if len(_known) > KNOWN_GRAMS:
+        _known.clear()
+    out = []
+    for g in (*tokens, *map("__".join, zip(tokens, tokens[1:], strict=False))):
+        if g not in _known:
+            _known[g] = int(hashlib.sha1(g.encode()).hexdigest()[:8], 16) % BUCKETS
+        out.append(_known[g])
+    return out
 
 
-def vector(text: str) -> list[float]:
-    """Counts by bucket of a reference text, over their norm."""
-    tokens = re.findall(r"[a-z0-9][a-z0-9\-+.]*", " ".join(text.split()).lower())
-    counts = Counter(int(hashlib.sha1(g.encode()).hexdigest()[:8], 16) % BUCKETS for g in [*tokens, *map("__".join, zip(tokens, tokens[1:], strict=False))])
-    norm = sqrt(sum(n * n for n in counts.values())) or 1.0
-    return [counts[b] / norm for b in range(BUCKETS)]
+def counts(texts: list[str]) -> np.ndarray:
+    """Counts by bucket, a row a text."""
+    return np.stack([np.bincount(buckets(t), minlength=BUCKETS) for t in texts]).astype(np.float64) if texts else np.zeros((0, BUCKETS))
 
 
-def _percent(cosine: Column) -> Column:
-    return F.round(100.0 * T.clamp(F.coalesce(cosine, F.lit(0.0)), 0.0, 1.0), 2)
+def _cosines(x: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """Cosines of rows with references; 0 where one of them is empty."""
+    norms = np.outer(np.sqrt((x * x).sum(1)), np.sqrt((refs * refs).sum(1)))
+    return np.divide(x @ refs.T, norms, out=np.zeros(norms.shape), where=norms > 0)
+
 
+def _compared(given: tuple[str, ...]):
+    """Cosines of texts with fixed references and with their own queries: a matrix product a batch of texts."""
+    refs = counts(list(given))
 
-def similarities(c: Column, query: Column, grounding: Grounding) -> Column:
-    """Struct of whole, query (whole without one) and facets (an array in the order of the grounding's), 0 to 100."""
-    refs = [vector(t) for t in (grounding.whole, *grounding.facets.values())]
+    @F.pandas_udf("struct<refs:array<double>,asked:double>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, queries in batches:
+            found, asked = np.zeros((len(texts), len(refs))), np.zeros(len(texts))
+            own, of = np.unique(queries.fillna("").to_numpy(dtype=object), return_inverse=True)
+            wanted = counts(list(own))
+            for at in range(0, len(texts), 1024):
+                x, q = counts(texts.iloc[at : at + 1024].tolist()), wanted[of[at : at + 1024]]
+                found[at : at + 1024] = _cosines(x, refs)
+                norms = np.sqrt((x * x).sum(1) * (q * q).sum(1))
+                asked[at : at + 1024] = np.divide((x * q).sum(1), norms, out=np.zeros(len(x)), where=norms > 0)
+            yield pd.DataFrame({"refs": list(found), "asked": asked})
 
-    def score(h: Column) -> Column:
-        def given(x: Column) -> Column:
-            to = lambda r: _percent(F.aggregate(x["h"], F.lit(0.0), lambda s, b: s + F.get(F.lit(r), b)) / F.nullif(x["n"], F.lit(0.0)))
-            shared = F.aggregate(x["q"], F.lit(0.0), lambda s, b: s + F.size(F.filter(x["h"], lambda y: y == b)))
-            asked = F.when(T.squeeze(query) == "", to(refs[0])).otherwise(_percent(shared / F.nullif(x["n"] * _norm(x["q"]), F.lit(0.0))))
-            return F.struct(to(refs[0]).alias("whole"), asked.alias("query"), F.array(*(to(r) for r in refs[1:])).alias("facets"))
+    return run
+
+
+def _percent(cosine: Column) -> Column:
+    return F.round(100.0 * T.clamp(F.coalesce(cosine, F.lit(0.0)), 0.0, 1.0), 2)
 
-        return T.let(F.struct(h["h"].alias("h"), h["q"].alias("q"), _norm(h["h"]).alias("n")), given)
 
-    return T.let(F.struct(hashed(c).alias("h"), hashed(query).alias("q")), score)
+def with_similarities(df: DataFrame, name: str, c: str, query: str, grounding: Grounding) -> DataFrame:
+    """df with a struct of whole, query (whole without one) and facets (an array in the order of the grounding's), each 0
+    to 100, of a text column and the query that goes with it."""
+    compared = _compared((grounding.whole, *grounding.facets.values()))
+    raw = df.withColumn("_raw", compared(T.text(F.col(c)), T.text(F.col(query))))
+    whole = _percent(F.get("_raw.refs", F.lit(0)))
+    asked = F.when(T.squeeze(F.col(query)) == "", whole).otherwise(_percent(F.col("_raw.asked")))
+    facets = F.array(*(_percent(F.get("_raw.refs", F.lit(i + 1))) for i in range(len(grounding.facets)))).cast("array<double>")
+    return raw.withColumn(name, F.struct(whole.alias("whole"), asked.alias("query"), facets.alias("facets"))).drop("_raw")
 
 
 # ---- parts of a card
@@ -160,7 +185,7 @@ def chunk_candidates(profiled: DataFrame, per_entry: int = 3) -> DataFrame:
 
 def top_chunks(candidates: DataFrame, grounding: Grounding, top: int = 3) -> DataFrame:
     """The candidates of the best chunk score of each id, with whole, asked, facet and combined; ties to the first."""
-    scored = candidates.withColumn("s", similarities(F.col("text"), F.col("query"), grounding))
+    scored = with_similarities(candidates, "s", "text", "query", grounding)
     labels = F.array(*map(F.lit, grounding.facets))
     best = F.array_max(F.transform("s.facets", lambda f, i: F.struct(f.alias("v"), (-i).alias("i"))))
     facets = [F.get("s.facets", F.lit(i)) for i in range(len(grounding.facets))]
@@ -198,7 +223,7 @@ def scored(carded: DataFrame, grounding: Grounding, v=vocab) -> DataFrame:
     n = lambda k: F.size(k).cast("double")
     mean = lambda k: F.when(F.size("chunks") > 0, F.aggregate("chunks", F.lit(0.0), lambda s, x: s + x[k]) / F.size("chunks")).otherwise(0.0)
     hits = lambda words: T.keyword_count(c, words)
-    own = carded.withColumns({"s": similarities(c, F.col("query"), grounding), "cat": R.category_hits(c, v.SIGNALS)} | {f"n_{k}": hits(getattr(v, k.upper())) for k in ("quality", "negative", "marketing", "news", "research", "region")})
+    own = with_similarities(carded, "s", "card_text", "query", grounding).withColumns({"cat": R.category_hits(c, v.SIGNALS)} | {f"n_{k}": hits(getattr(v, k.upper())) for k in ("quality", "negative", "marketing", "news", "research", "region")})
     counts = {k: n(k) for k in (*KINDS.values(), "facilities", "capacities", "dates", "value_chain")} | {k: hits(words) for k, words in v.LEXICAL.items()}
     facets = [F.get("s.facets", F.lit(i)) for i in range(len(grounding.facets))]
     grounded = F.least(F.lit(100.0), sum((w * (F.least(F.lit(4.0), n(k)) if k == "dates" else n(k)) for k, w in v.GROUNDED.items()), F.lit(0.0)))

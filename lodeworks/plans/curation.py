@@ -1,6 +1,6 @@
 """Curation of candidate documents: the stages from raw rows to keep, review or discard, as one chain of frames."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -9,11 +9,10 @@ from ..functions import vocab
 from ..operators import dedup, ranking
 
 
-def generated_queries(spark: SparkSession, topics: list[str], templates: list[str], expected: int | None = None) -> DataFrame:
-    """(query, ord): every topic in every template, in order, distinct but for case."""
-    t = F.explode(F.transform(F.array(*map(F.lit, topics)), lambda x, i: F.struct(x.alias("topic"), i.alias("t"))))
+def generated_queries(topics: DataFrame, templates: list[str], expected: int | None = None) -> DataFrame:
+    """(query, ord): every topic in every template, in order, distinct but for case. topics: topic, t (its place)."""
     p = F.explode(F.transform(F.array(*map(F.lit, templates)), lambda x, i: F.struct(x.alias("template"), i.alias("p"))))
-    every = spark.range(1).select(t.alias("t")).select("t.*", p.alias("p")).select("topic", "t", "p.template", F.col("p.p").alias("p"))
+    every = topics.select("topic", "t", p.alias("p")).select("topic", "t", "p.template", F.col("p.p").alias("p"))
     made = every.select(T.squeeze(F.replace("template", F.lit("{topic}"), F.col("topic"))).alias("query"), (F.col("t") * len(templates) + F.col("p")).cast("long").alias("ord"))
     out = dedup.best_by_key(made.withColumn("_k", F.lower("query")), ["_k"], [F.asc("ord")]).drop("_k")
     if expected is not None and out.count() != expected:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions import vocab
 from ..operators import analytics as A
 from ..plans import questions as Q
 from ..sources.readers import table_rows
@@ -132,13 +132,16 @@ def structured_summary(spark, d):
     return Q.summaries(Q.matched(q, Q.named(q, r), r), r)
 
 
-@query("select c_custkey, c_acctbal from customer where floor(c_acctbal) >= 9000")
+@query("select c_custkey, c_acctbal, case c_custkey % 3 when 0 then '>=' when 1 then '<' else '>=' end as op from customer where case c_custkey % 3 when 1 then floor(c_acctbal) < c_nationkey * 400 when 0 then floor(c_acctbal) >= c_nationkey * 400 else floor(c_acctbal) >= 5000 + c_nationkey end")
 def numeric_threshold(spark, d):
-    """The limit is read from a question."""
+    """Each row has a question of its own, from which its limit is read."""
     from ..functions.rules import employment_limit
 
-    c = table(spark, d, "customer").withColumn("t", employment_limit(F.lit("Which have employment >= 9,000?")))
-    return c.where((F.col("t.op") == ">=") & (F.floor("c_acctbal") >= F.col("t.value"))).select("c_custkey", "c_acctbal")
+    k, n = F.col("c_custkey") % 3, (F.col("c_nationkey") * 400).cast("string")
+    asked = F.when(k == 0, F.concat(F.lit("Which have employment >= "), n, F.lit("?"))).when(k == 1, F.concat(F.lit("EMPLOYMENT<"), n)).otherwise(F.concat(F.lit("with employment at least 5,"), F.lpad(F.col("c_nationkey").cast("string"), 3, "0")))
+    c = table(spark, d, "customer").withColumn("t", employment_limit(asked))
+    e = F.floor("c_acctbal")
+    return c.where(F.when(F.col("t.op") == ">=", e >= F.col("t.value")).otherwise(e < F.col("t.value"))).select("c_custkey", "c_acctbal", "t.op")
 
 
 _CELL = "case when o_orderkey % 11 = 0 then null when o_orderkey % 7 = 0 then ' N/A ' when o_orderkey % 5 = 0 then '' else o_orderpriority end"
@@ -273,12 +276,16 @@ def pipeline_counters(spark, d):
     return report({"orders": o, "large": large}, {"large": {"finished": F.col("o_orderstatus") == "F"}})
 
 
+_LOW = "lower(trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g')))"
+_SAYS = lambda ws: "(" + " or ".join(f"contains({_LOW}, '{w}')" for w in ws) + ")"
+_ROUTED = "(select conv_id, turn, text || case conv_id % 5 when 0 then '  is DEMAND for  imports growing?' when 1 then ' x  vs  y' when 2 then ' and bottleneck' else '' end as text from conversations)"
 
 
-@query(f"select conv_id, turn, case when conv_id % 4 = 0 then 'web_needed' when conv_id % 4 = 1 then 'analytic' else 'lookup' end as route from conversations")
+@query(f"select conv_id, turn, case when {_SAYS(vocab.ROUTES['web_needed'])} then 'web_needed' when {_SAYS(vocab.ROUTES['analytic'])} then 'analytic' else 'lookup' end as route from {_ROUTED}")
 def question_route(spark, d):
-    k = F.col("conv_id") % 4
-    q = F.concat(F.when(k == 0, "is demand for imports growing? ").when(k == 1, "which is highest? ").otherwise("w "), T.match_key(F.left("text", F.lit(0))))
+    """Whole turns, to some of which a question is added."""
     from ..functions.rules import route
 
-    return table(spark, d, "conversations").select("conv_id", "turn", route(q).alias("route"))
+    k = F.col("conv_id") % 5
+    said = F.concat("text", F.when(k == 0, "  is DEMAND for  imports growing?").when(k == 1, " x  vs  y").when(k == 2, " and bottleneck").otherwise(""))
+    return table(spark, d, "conversations").select("conv_id", "turn", route(said).alias("route"))

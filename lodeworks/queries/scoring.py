@@ -143,5 +143,5 @@ def metadata_score(spark, d):
     from ..functions import html as H
     from ..plans.curation import deduplicated, gated, scored_candidates
 
-    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), H.title(F.col("html")).alias("title"), F.left(H.main_text(F.col("html")), F.lit(2400)).alias("content"), F.lit("").alias("description"), F.lit("battery supplier facility").alias("query"), "url", ((F.col("page_id") * 7 % 100) / 100.0).alias("engine"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), H.title(F.col("html")).alias("title"), H.main_text(F.col("html")).alias("content"), F.lit("").alias("description"), F.lit("battery supplier facility").alias("query"), "url", ((F.col("page_id") * 7 % 100) / 100.0).alias("engine"))
     return gated(deduplicated(scored_candidates(pages))).select("id", "canonical", "metadata", "two_signal", "rule_pass", "selected")

@@ -5,8 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup as D
-from ..operators.shared import shared_path
+from ..operators.shared import if_small, shared_path
 from ..sources import readers as S
 from ..sources import sinks as K
 from ..streaming import ingest as I
@@ -93,7 +92,13 @@ def stream_window_counts(spark, d):
 
 @query("select user_id, event_type, min(event_id) as event_id from events group by 1, 2")
 def stream_dedup_key(spark, d):
-    return D.best_by_key(table(spark, d, "events"), ["user_id", "event_type"], [F.asc("event_id")]).select("user_id", "event_type", "event_id")
+    """Events as a stream of files: the first of each user and type, whichever file it comes in."""
+    path, name = _folder(spark, "events"), f"firsts_{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select("user_id", "event_type", "event_id")
+    events.repartition(3).write.parquet(path)
+    firsts = I.file_stream(spark, path, events.schema, files_per_trigger=1).groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    firsts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
 
 
 @query(f"select distinct canonical from {CANONICAL}")
@@ -172,13 +177,13 @@ def content_hashes(spark, d):
     return docs.where(same).select("doc_id", T.text_hash(F.col("text")).alias("hash"), json.alias("json"))
 
 
-@query("select vec_id, round(greatest(0.0, list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 1))), 6) as cosine from embeddings")
+@query("select e.vec_id, q.vec_id as asked, round(greatest(0.0, list_cosine_similarity(e.embedding::double[], q.embedding::double[])), 6) as cosine from embeddings e join embeddings q on q.vec_id % 20 = 0")
 def vector_cosine(spark, d):
     from ..operators.retrieval import vector_cosine as cosine
 
     e = table(spark, d, "embeddings")
-    one = e.where("vec_id = 1").select(F.col("embedding").alias("other"))
-    return e.join(F.broadcast(one)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("asked"), F.col("embedding").alias("other"))  # a stated set of queries
+    return e.join(if_small(asked), F.lit(True)).select("vec_id", "asked", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
 @query("select doc_id, lower(regexp_extract(text, '^\\s*(\\S+)', 1)) as first, case when doc_id % 3 = 0 then 'Heading ' || doc_id else 'A: b' end as headings from documents where trim(text) <> ''")

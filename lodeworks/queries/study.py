@@ -99,9 +99,12 @@ _PAIRED = f"""(select coalesce(l.model, h.model) as model, coalesce(l.q_id, h.q_
 _SIGNAL = "(hybrid_web > 0 and (changed or coalesce(local_abstained and not hybrid_abstained, false) or coalesce(support_rate_delta > 0, false) or coalesce(similarity_delta > 0, false) or coalesce(exact_delta > 0, false)))"
 
 
-@query("select 'm0' as model, 'a' as first_run, 'b' as second_run union all select 'm1', 'c', 'd'")
+@query("""with m as (select o_custkey as model, o_orderkey as run_id, o_orderdate as created, case o_orderkey % 3 when 0 then 'local_rag' when 1 then 'hybrid_rag' else 'no_rag' end as mode from orders),
+n as (select model, mode, arg_max(run_id, (created, run_id)) as run from m group by 1, 2) select a.model, a.run as first_run, b.run as second_run from n a join n b on a.model = b.model and a.mode = 'local_rag' and b.mode = 'hybrid_rag'""")
 def paired_models(spark, d):
-    return S.latest_pairs(manifests(spark))
+    """Customers stand for models, orders for runs."""
+    mode = F.when(F.col("o_orderkey") % 3 == 0, "local_rag").when(F.col("o_orderkey") % 3 == 1, "hybrid_rag").otherwise("no_rag")
+    return S.latest_pairs(table(spark, d, "orders").select(F.col("o_custkey").alias("model"), mode.alias("mode"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("created")))
 
 
 @query(f"select model, q_id, question, changed, hybrid_web::bigint as hybrid_web, {', '.join(S.MEASURES.values())}, abstention_delta::double as abstention_delta, {_SIGNAL} as value_signal from {_PAIRED}")

@@ -28,10 +28,10 @@ def token_stats(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.tokens(t)).cast("long").alias("tokens"), F.size(T.token_set(t)).cast("long").alias("distinct_tokens"), T.word_count(t).cast("long").alias("words"), T.token_estimate(t).cast("long").alias("estimate"))
 
 
-@query(rf"select token, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest({TOKENS.format(c='text')}) as token from documents) group by 1 order by 2 desc, 1 limit 50")
+@query(rf"select token, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest({TOKENS.format(c='text')}) as token from documents) group by 1")
 def term_frequencies(spark, d):
     each = table(spark, d, "documents").select("doc_id", F.explode(T.term_counts(F.col("text"))).alias("token", "k"))
-    return each.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("docs")).orderBy(F.desc("n"), "token").limit(50)
+    return each.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
 @query(f"select doc_id, len(list_filter({_lit(TERMS)}, lambda k: contains(lower(text), k))) as hits from documents")
@@ -204,9 +204,9 @@ def row_chunks(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(made).alias("c")).select("p_partkey", "c.chunk_type", "c.text")
 
 
-@query("""select conv_id, turn, regexp_replace(lower(regexp_replace(left(text, 20), '[^a-zA-Z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') as raw_name from conversations""")
+@query("""select conv_id, turn, regexp_replace(lower(regexp_replace(trim(text), '[^a-zA-Z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') as raw_name from conversations""")
 def snake_names(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.snake_case(F.left("text", F.lit(20))).alias("raw_name"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.snake_case(F.col("text")).alias("raw_name"))
 
 
 @query("select s_suppkey, 'DOC_' || lpad(s_suppkey::varchar, 3, '0') as doc, replace(s_name, '#', '_') || '_DOC_1.pdf' as name from supplier")
@@ -215,17 +215,26 @@ def file_names(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("DOC_"), F.lpad(F.col("s_suppkey").cast("string"), 3, "0")).alias("doc"), T.with_suffix(own, F.lit("DOC_1")).alias("name"))
 
 
-TOPICS, TEMPLATES = ["batteries", "ports", "rail"], ["{topic} supply chain", "who makes {topic}", "{topic} capacity 2030"]
+TEMPLATES = ["{topic} supply chain", "who makes {topic}", "{Topic}   capacity 2030"]
 
 
-@query("select replace(tpl, '{topic}', topic) as query, (topic_no * 3 + tpl_no)::bigint as ord from (values (0, 'batteries'), (1, 'ports'), (2, 'rail')) t(topic_no, topic), (values (0, '{topic} supply chain'), (1, 'who makes {topic}'), (2, '{topic} capacity 2030')) p(tpl_no, tpl)")
+@query("""with t as (select p_type as topic, row_number() over (order by p_type) - 1 as t from (select distinct p_type from part)), q as (select replace(tpl, '{topic}', topic) as query, t * 3 + p as ord from t, (values (0, '{topic} supply chain'), (1, 'who makes {topic}'), (2, '{Topic} capacity 2030')) p(p, tpl))
+select query, ord::bigint as ord from q qualify row_number() over (partition by lower(query) order by ord) = 1""")
 def query_generation(spark, d):
+    """Every type of part is a topic; a template without its mark gives one query for all."""
+    from pyspark.sql import Window
+
     from ..plans.curation import generated_queries
 
-    return generated_queries(spark, TOPICS, TEMPLATES)
+    types = table(spark, d, "part").select(F.col("p_type").alias("topic")).distinct()
+    return generated_queries(types.withColumn("t", F.row_number().over(Window.orderBy("topic")) - 1), TEMPLATES)  # a row a type
+
+
+_PLAIN = "trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g'))"
+_HINTS = "supplier tier network facility capacity timeline Georgia Southeast risk resilience localization"
+_PDF, _WEB = f"left({_PLAIN} || ' filetype:pdf {_HINTS}', 420)", f"left({_PLAIN} || ' {_HINTS}', 420)"
 
 
-@query("select item_id, 'pdf_only' as label, left(trim(left(replace(regexp_replace(text, '\\s+', ' ', 'g'), '  ', ' '), 60)) || ' filetype:pdf supplier tier network facility capacity timeline Georgia Southeast risk resilience localization', 420) as query from benchmark union all select item_id, 'web_only', left(trim(left(replace(regexp_replace(text, '\\s+', ' ', 'g'), '  ', ' '), 60)) || ' supplier tier network facility capacity timeline Georgia Southeast risk resilience localization', 420) from benchmark")
+@query(f"select item_id, 'pdf_only' as label, {_PDF} as query from benchmark union all select item_id, 'web_only', {_WEB} from benchmark where lower({_WEB}) <> lower({_PDF})")
 def query_variants(spark, d):
-    q = F.left(T.squeeze(F.col("text")), F.lit(60))
-    return table(spark, d, "benchmark").select("item_id", F.explode(T.query_variants(q)).alias("v")).select("item_id", "v.label", "v.query")
+    return table(spark, d, "benchmark").select("item_id", F.explode(T.query_variants(F.col("text"))).alias("v")).select("item_id", "v.label", "v.query")

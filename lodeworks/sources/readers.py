@@ -9,10 +9,16 @@ from ..functions import text as T
 
 
 def query_list(spark: SparkSession, path: str, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """(query, ord): lines, squeezed, blank ones dropped; offset and limit count queries."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "line"))
-    own = lines.select(T.squeeze(F.col("line")).alias("query"), "ord").where("query <> ''").orderBy("ord").offset(offset)
-    return own if limit is None else own.limit(limit)
+    """(query, ord): lines, squeezed, blank ones dropped, numbered from 0; offset and limit count queries. A file is read
+    in parts, each of which numbers its own lines."""
+    where = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.read.text(path).select(T.squeeze(F.col("value")).alias("query"), where.alias("part"), F.monotonically_increasing_id().alias("nth")).where("query <> ''")
+    ahead = lines.groupBy("part").agg(F.count("*").alias("n"))
+    ahead = ahead.select(F.col("part").alias("of"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))  # a row a part
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("nth")) - 1
+    own = lines.withColumn("inside", inside).join(ahead, F.col("part") == F.col("of")).select("query", (F.col("inside") + F.col("ahead")).alias("ord"))
+    own = own.where(F.col("ord") >= offset)
+    return own if limit is None else own.where(F.col("ord") < offset + limit)
 
 
 def table_rows(df: DataFrame) -> DataFrame:

@@ -92,3 +92,20 @@ def test_evidence_is_every_document(spark, tmp_path):
     answers = spark.createDataFrame([("a", "- sixty blue boats sail [DOC:d60]\n- red lamps glow [DOC:d7]\n- green birds sing [DOC:d4000]\n- lost [DOC:d8]\n- none")], "id string, text string")
     out = {r.ord: r for r in validated(answers, _evidence(spark, str(tmp_path))).collect()}
     assert [(out[k].missing, out[k].invalid, out[k].label) for k in range(5)] == [*[(False, False, "supported")] * 3, (False, True, "unsupported"), (True, False, "unsupported")]
+
+
+def test_ranks_within_a_frequent_key(spark):
+    rows = spark.range(2000).select((F.col("id") % 3 == 0).cast("string").alias("k"), (F.col("id") * 7919 % 2003).alias("v"), "id")
+    got = {r.id: r.place for r in ranking.ranked_within(rows, ["k"], [F.desc("v"), F.asc("id")], "place", "places").collect()}
+    for k in (True, False):
+        own = sorted((i for i in range(2000) if (i % 3 == 0) == k), key=lambda i: (-(i * 7919 % 2003), i))
+        assert [got[i] for i in own] == list(range(1, len(own) + 1))
+
+
+def test_topics_over_their_share(spark):
+    rows = [(i, "a" if i < 12 else "b" if i < 16 else "", "keep" if i != 3 else "discard", float(i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, topic string, decision string, score double")
+    out = {r.id: (r.decision, r.moved) for r in ranking.diversified(df, "topic", "decision", [F.desc("score"), F.asc("id")], 0.3).collect()}
+    assert {i for i, (_, m) in out.items() if m} == {0, 1, 2, 4, 5} and out[3] == ("discard", False) and all(d == "review" for d, m in out.values() if m)
+    few = ranking.diversified(df.where("id < 12"), "topic", "decision", [F.desc("score")], 0.2)
+    assert few.where("moved").count() == 0 and few.count() == 12

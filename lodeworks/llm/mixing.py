@@ -144,7 +144,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     under names that begin with carried_.
 
     draws: array of (pass, shard, words, place); words is below size only where a source's target ends within the
-    document, or where the document is drawn again. A null text has no words; null ids and sources are kept; repeated
+    document, or where the document is drawn again. Documents of a source stand by a hash of id and text, then id and size,
+    and those that agree in all are interchangeable; equal places in a shard stay in any order. A null text has no words; null ids and sources are kept; repeated
     rows are documents of their own; texts are counted whole; other columns are not read; an empty table gives an empty one.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACE.replace("[", "[^"))).cast("long")

@@ -157,7 +157,8 @@ def scan_secrets(docs: DataFrame, rate: float = 0.01, level: float = 0.01, id_co
 
     rate: of the extra spans of each class of length, the share that may be natural. level: below this p-value a
     candidate is not random. Null texts count as empty; ids are only passed on; other columns are not read. An
-    empty table gives an empty table. Candidates that touch a base span are left to it.
+    empty table gives an empty table. Candidates that touch a base span are left to it. Texts are read whole, however
+    long, by expressions over the text; repeated rows have the same spans each, and their candidates count each.
     """
     text = F.col("text")
     low = F.lower(text)

@@ -193,7 +193,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     Rows without a conversation or an identifier are left out of the join and count as pending or orphan each; null
     arguments are JSON's null, null contents too; of calls that agree in turn, too, the one of the smaller name and
     arguments counts. Empty tables give what the other table gives alone. Other columns are not read. A schema that
-    names an unknown type is an error at once.
+    names an unknown type is an error at once. Texts are read and written whole, however long; lone surrogates in
+    arguments are written as escapes; arguments that are nested deeper than Python's parser goes are no JSON.
     """
     for name, schema in schemas.items():
         checked(schema, name)

@@ -131,8 +131,14 @@ def places(q: int, lo: int, hi: int, phases: list[dict], totals: list[int], quan
             continue
         rate = np.array(phase["rate"], np.int64)
         for w in sending((a - start) // quantum, (b - 1 - start) // quantum, int(rate[q])):
-            ahead = (np.multiply.outer(w + 1, rate[:q]) >> POINT).sum(1) + (np.multiply.outer(w, rate[q:]) >> POINT).sum(1)
-            begins, ends = start + (rate[q] * w >> POINT) * quantum, start + (rate[q] * (w + 1) >> POINT) * quantum
+            # What each queue has sent before and after these rounds; where they follow each other, after is before the next.
+            if w[-1] - w[0] == len(w) - 1:
+                sent = np.multiply.outer(np.append(w, w[-1] + 1), rate) >> POINT
+                before, upto = sent[:-1], sent[1:]
+            else:
+                before, upto = np.multiply.outer(w, rate) >> POINT, np.multiply.outer(w + 1, rate) >> POINT
+            ahead = upto[:, :q].sum(1) + before[:, q:].sum(1)
+            begins, ends = start + before[:, q] * quantum, start + upto[:, q] * quantum
             lows, highs = np.maximum(begins, a), np.minimum(ends, b)
             for x, y, z, g in zip(lows.tolist(), highs.tolist(), begins.tolist(), ahead.tolist(), strict=True):
                 if y > x:
@@ -182,16 +188,17 @@ def pack(docs: DataFrame, path: str, window: int = 2048, quantum: int = 8, weigh
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = word_ids(path).dtype
         for batch in batches:
-            out: tuple[list, ...] = tuple([] for _ in range(8))
+            rows: list[tuple] = []
             for doc, q, g, begin, n, whole, raw in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                ids = np.frombuffer(raw, dtype).astype("<u4")
+                ids = np.frombuffer(raw, dtype).astype("<u4").tobytes()
                 for token, place, length in places(q, g, g + n, phases, totals, quantum):
                     while length > 0:
-                        size = min(length, window - place % window)
-                        piece = ids[token - g : token - g + size].tobytes()
-                        for to, v in zip(out, (doc, begin + token - g, size, whole, q, place // window, place % window, piece), strict=True):
-                            to.append(v)
+                        sequence, offset = divmod(place, window)
+                        size = min(length, window - offset)
+                        at = token - g
+                        rows.append((doc, begin + at, size, whole, q, sequence, offset, ids[4 * at : 4 * (at + size)]))
                         token, place, length = token + size, place + size, length - size
+            out = zip(*rows, strict=True) if rows else ((),) * 8
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (batch.schema.field(0).type, *[pa.int64()] * 3, pa.int32(), *[pa.int64()] * 2, pa.binary()), strict=True)], NAMES)
 
     NAMES = [id_col, "start", "length", "doc_tokens", "queue", "sequence_id", "offset", "ids"]

@@ -64,6 +64,16 @@ def test_many_rows_without_names(spark):
     assert said[2].endswith("- Lab: C1, C11\n  + 8 more companies\n- Unspecified: C0, C10\n  + 8 more companies\nSummary truncated because matched rows (20) exceed structured_exhaustive_limit (10).")
 
 
+def test_everything_asked_of_many_rows(spark):
+    """Who asks for everything gets every company, however many rows were matched."""
+    rows = spark.createDataFrame([(i, f"C{i:03}", "Tier 1", "Lab", "", "", "", i, "", "") for i in range(200)], SCHEMA)
+    asked = spark.createDataFrame([(0, "Show all Tier 1 companies grouped by EV supply chain role"), (1, "List all Tier 1 companies grouped by EV Supply Chain Role and count them")], "question long, text string")
+    names = Q.named(asked, rows)
+    said = {r.question: r.text for r in answers(asked, Q.matched(asked, names, rows), rows, names).collect()}
+    for k in (0, 1):
+        assert said[k].endswith("Grouped by EV Supply Chain Role:\n- Lab: " + "; ".join(f"C{i:03}" for i in range(200)))
+
+
 def test_nothing_asked(spark):
     rows = spark.createDataFrame(ROWS, SCHEMA)
     asked = spark.createDataFrame([], "question long, text string")

@@ -160,3 +160,13 @@ def test_summaries_and_snippets(spark):
 def test_curated_on_empty_tables(spark, rows):
     none = C.cards(rows.where("false"), Q.names(spark), G, v=V)
     assert C.curated(C.credible(C.classified(C.scored(none, G, V), V), V)).count() == 0
+
+
+def test_no_terms_across_parts(spark):
+    """A part that ends in a blank and the next one make no term: here the first segment ends in "ing ", the middle
+    one begins with "of", and no part has "ing of"."""
+    text = ("x" * 164 + " of" + "y" * 2200)[:2195] + "ying " + "z" * 330
+    assert len(text) == 2530 and text[165:167] == "of" and text[:2200].endswith("ing ") and "ing of" not in text
+    row = [(1, "t", "https://x.org/z", "", "", "", 1.0, None, text, True)]
+    rows = spark.createDataFrame(row, "id long, title string, url string, query string, description string, snippet string, metadata double, html string, text string, file boolean")
+    assert C.entities(C.profiles(rows, v=V), Q.names(spark), ["ing of", "ying"], V).first().value_chain == ["ying"]

@@ -228,3 +228,16 @@ def test_answers_of_questions(spark):
     assert forms[1].exhaustive and forms[2].threshold.value == 200 and forms[4].excluded == ["Rome"] and forms[3].intent == "fact" and forms[1].intent == "aggregation"
     one = {r.question: r for r in Q.summaries(Q.matched(asked, names, rows), rows, preview=1).collect()}[1]
     assert one.summary == "Matched rows: 2\nBy category: Tier 1: 1; Tier 2: 1\nCompanies: Acme (+1 more)"
+
+
+def test_all_cosines_of_odd_vectors(spark):
+    """Every vector meets every reference; without a direction, or of another length, the score is 0."""
+    from lodeworks.operators import retrieval as V
+
+    v = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [-3.0, -4.0]), (6, [4.0, 3.0])], "id long, vector array<float>")
+    r = spark.createDataFrame([(7, [3.0, 4.0]), (8, None), (9, [2.0])], "reference long, vector array<float>")
+    wanted = {(i, k): 0.0 for i in range(1, 7) for k in (7, 8, 9)} | {(1, 7): 100.0, (4, 9): 100.0, (6, 7): 96.0}
+    assert {(x.id, x.reference): x.score for x in V.reference_matrix(v, r).collect()} == wanted
+    small = V.all_cosines(v, r, 2, 100.0, block=2)
+    assert {(x.id, x.reference): x.score for x in small.collect()} == wanted
+    assert V.reference_matrix(v, r.limit(0)).count() == 0

@@ -241,3 +241,22 @@ def test_all_cosines_of_odd_vectors(spark):
     small = V.all_cosines(v, r, 2, 100.0, block=2)
     assert {(x.id, x.reference): x.score for x in small.collect()} == wanted
     assert V.reference_matrix(v, r.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hashed", [None, 512])
+def test_bag_cosines_leave_texts_in_their_tasks(spark, hashed):
+    """With few references nothing of the texts is shuffled, and the cosines are those of the shuffled way."""
+    from lodeworks.operators import retrieval as V
+
+    a = spark.createDataFrame([(i, t) for i, t in enumerate(["One two two three-4.", "", None, "zz", "two  ONE\none two", "caf\u00e9 one"])], "id long, text string")
+    b = spark.createDataFrame([("x", "one two"), ("y", "three-4. zz q"), ("z", "")], "id string, text string")
+    out = V.bag_cosines(a, b, hashed)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    own = {(r.a, r.b): r.cosine for r in out.collect()}
+    most, V.BROADCAST_ROWS = V.BROADCAST_ROWS, 0
+    try:
+        other = {(r.a, r.b): r.cosine for r in V.bag_cosines(a, b, hashed).collect()}
+    finally:
+        V.BROADCAST_ROWS = most
+    assert own == pytest.approx(other, abs=1e-12) and (0, "x") in own and (3, "y") in own
+    assert V.bag_cosines(a, b.limit(0), hashed).count() == 0

@@ -32,17 +32,18 @@ def _byte_of() -> dict[str, int]:
 
 
 class Memo:
-    """A map of at most 2 * MEMO bytes, roughly, and one text's keys; the generation that was filled longest ago goes first."""
+    """A map of at most 2 * shares * MEMO bytes, roughly, and one text's keys; the generation that was filled longest ago goes first."""
 
-    def __init__(self, make):
+    def __init__(self, make, shares: int = 1):
         self.new: dict = {}
+        self.shares = shares
         self.old: dict = {}
         self.make = make
         self.size = 0
 
     def fill(self, keys) -> dict:
         """A map that has all the keys."""
-        if self.size > MEMO:
+        if self.size > self.shares * MEMO:
             self.old, self.new, self.size = self.new, {}, 0
         new, old = self.new, self.old
         for k in keys:
@@ -72,6 +73,8 @@ class WordIds:
     """
 
     PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: The same pieces of lower-case ASCII.
+    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
     PLAIN = re.compile("[!-~À-İı-ž]+").fullmatch
     NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -86,16 +89,20 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.special = special
         self.dtype = np.dtype("<u2") if max(model["model"]["vocab"].values(), default=0) < 65536 else np.dtype("<u4")
-        self.word = Memo(self._word)
-        self.chunk = Memo(self._chunk)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        # Chunks only: their words are made anew, which costs less than a second map to remember them in.
+        self.chunk = Memo(self._chunk, 2)
 
     def _word(self, word: str) -> bytes:
-        return np.array(self.core.encode_single_piece(word.encode() + b"\xff"), self.dtype).tobytes()
+        return array(self.code, self.core.encode_single_piece(word.encode() + b"\xff")).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii() and chunk.isprintable():
+            low = chunk.lower()
+            return self._word(low) if low.isalpha() else b"".join(map(self._word, self.ASCII(low)))
         if not self.PLAIN(chunk) or "İ" in chunk:
             return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
-        return b"".join(map(self.word.get, self.PIECES.findall(unicodedata.normalize("NFC", chunk).lower())))
+        return b"".join(map(self._word, self.PIECES.findall(unicodedata.normalize("NFC", chunk).lower())))
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian integers of self.dtype."""

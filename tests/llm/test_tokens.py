@@ -156,3 +156,21 @@ def test_packing_edges(spark, docs):
     assert pack(docs.where("false"), WORDS).count() == 0
     one = pack(docs.where("doc_id = 3"), WORDS).collect()
     assert [(r.start, r.length, r.sequence_id, r.offset) for r in one] == [(0, 1, 0, 0)] and np.frombuffer(one[0].ids, "<u4").tolist() == [1]
+
+
+def test_words_are_remembered_once():
+    """Chunks alone are remembered, and short cuts for ASCII give what the library gives."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+
+    from lodeworks.llm import bpe
+
+    own = bpe.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    assert [k for k, v in vars(own).items() if isinstance(v, bpe.Memo)] == ["chunk"]
+    rng = random.Random(3)
+    odd = ["don't", "I'LL", "'s", "we're's", "12ab3", "a_b", "\x00a", "\x7fq", "Ünd'ER", "İstanbul", "naïve42!"]
+    odd += ["".join(rng.choice("abAB'sStTrevmMlLdD01.,-_!\x00\x7f~é") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    for piece in odd:
+        assert np.frombuffer(own.ids(piece), own.dtype).tolist() == own.library.encode(piece, add_special_tokens=False).ids, piece

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -260,3 +261,19 @@ def test_bag_cosines_leave_texts_in_their_tasks(spark, hashed):
         V.BROADCAST_ROWS = most
     assert own == pytest.approx(other, abs=1e-12) and (0, "x") in own and (3, "y") in own
     assert V.bag_cosines(a, b.limit(0), hashed).count() == 0
+
+
+def test_near_links_count_what_near_pairs_lists(spark, monkeypatch):
+    # A family that shares its title, in blocks so small that it is dealt out among several, gives a row a document.
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(90)]
+    base = [rng.choice(words) for _ in range(70)]
+    texts = [" ".join(base[:8] + [rng.choice(words) if rng.random() < 0.04 else w for w in base[8:]]) for _ in range(40)] + [" ".join(rng.choice(words) for _ in range(70)) for _ in range(5)]
+    df = spark.createDataFrame([(i, " ".join(t.split()[:8]), t) for i, t in enumerate(texts)], "id long, title string, body string")
+    signed = df.join(dedup.simhash_table(df, "id", "body"), "id")
+    pairs = {(r.a, r.b) for r in dedup.near_pairs(signed).collect()}
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 7)
+    rows = dedup.near_links(signed).collect()
+    assert {r.id: r.links for r in rows} == Counter(i for p in pairs for i in p) and len(pairs) > 100
+    assert {(r.a, r.b) for r in dedup.near_pairs(signed).collect()} == pairs
+    assert {r.component for r in rows} == {0} and len(rows) == 40

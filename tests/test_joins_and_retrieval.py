@@ -277,3 +277,21 @@ def test_near_links_count_what_near_pairs_lists(spark, monkeypatch):
     assert {r.id: r.links for r in rows} == Counter(i for p in pairs for i in p) and len(pairs) > 100
     assert {(r.a, r.b) for r in dedup.near_pairs(signed).collect()} == pairs
     assert {r.component for r in rows} == {0} and len(rows) == 40
+
+
+@pytest.mark.parametrize("rows", [0, 200_000])
+def test_lexical_top_cuts_in_the_task(spark, monkeypatch, rows):
+    # Ties by id, bonuses and the best of two variants, cut again and again while chunks are read; and by a shuffle.
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    chunks = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(4)), rng.choice(["", "W1", "w2 w3", None])) for i in range(200)], "id long, text string, name string").repartition(3)
+    asked = spark.createDataFrame([(k, v, " ".join(rng.choice(words) for _ in range(3))) for k in range(4) for v in range(2)], "question long, variant int, text string")
+    weights = retrieval.idf(chunks, "text")
+    bonus = F.when((F.coalesce("name", F.lit("")) != "") & F.contains(F.lower("query_text"), F.lower("name")), 2.5).otherwise(0.0)
+    scores = retrieval.lexical_scores(asked, chunks, weights, bonus).withColumn("score", F.round("score", 6))
+    want = sorted(map(tuple, retrieval.top_ranks(scores, 7).collect()))
+    monkeypatch.setattr(retrieval, "WAITING", 20)
+    monkeypatch.setattr(retrieval, "SCORES", 100)
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", rows)
+    top = retrieval.lexical_top(asked, chunks, weights, 7, 6, {"name": 2.5})
+    assert sorted(map(tuple, top.collect())) == want and len(want) == 28

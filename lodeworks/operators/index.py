@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import json_fingerprint, token_set
+from .shared import if_small
 
 #: Version of the layout; an index of another one is built anew.
 LAYOUT = 1
@@ -67,7 +68,11 @@ def _live_part(spark: SparkSession, path: str, part: str) -> DataFrame:
     rows = _read(spark, path, part, known)
     if len(known) == 1:
         return rows.drop("generation")
-    return rows.join(live(spark, path).select("id", "generation"), ["id", "generation"], "left_semi").drop("generation")
+    # What later generations say of an id replaces its rows. Few ids have more than one entry, so few are to be left out.
+    entries = _read(spark, path, "entries", known).groupBy("id").agg(F.max(F.struct("generation", "state")).alias("e"), F.count("*").alias("n"))
+    last = entries.where((F.col("n") > 1) | (F.col("e.state") == _GONE)).select("id", F.when(F.col("e.state") == _LIVE, F.col("e.generation")).otherwise(-1).alias("_last"))
+    own = rows.join(if_small(last), "id", "left")
+    return own.where(F.col("_last").isNull() | (F.col("_last") == F.col("generation"))).drop("generation", "_last")
 
 
 def postings(spark: SparkSession, path: str) -> DataFrame:
@@ -102,11 +107,12 @@ def _write(spark: SparkSession, path: str, generation: int, whole: bool, entries
 def refresh(spark: SparkSession, path: str, chunks: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     """Brings the index at a path to what chunks (id, text, vector, and columns whose change counts, too) say, and tells
     (state, chunks): how many were added, changed, gone, same. Of rows that share an id the one with the smallest
-    fingerprint counts; null ids are left out; null texts have no tokens. Where nothing differs, nothing is written."""
+    fingerprint counts; null ids are left out; null texts have no tokens. Where nothing differs, nothing is written. Chunks are read
+    several times: hand over a table, not a join."""
     # A chunk's fingerprint is of its text, its vector and the columns named.
     marks = json_fingerprint(F.col("text"), F.col("vector"), *map(F.col, columns))
     given = chunks.where("id is not null").select("id", "text", "vector", marks.alias("fingerprint"))
-    one = given.groupBy("id").agg(F.min("fingerprint").alias("fingerprint"))
+    one = given.groupBy("id").agg(F.min("fingerprint").alias("fingerprint"), F.count("*").alias("rows"))
     known = manifests(spark, path)
     # The numbers of generations only grow, those of failed refreshes and of other layouts, too, are taken again or passed.
     number = max((r["generation"] for r in known), default=0) + 1
@@ -116,15 +122,17 @@ def refresh(spark: SparkSession, path: str, chunks: DataFrame, columns: tuple[st
     else:
         both = one.withColumn("had", F.lit(None).cast("string"))
     state = F.when(F.col("had").isNull(), "added").when(F.col("fingerprint").isNull(), "gone").when(F.col("fingerprint") != F.col("had"), "changed").otherwise("same")
-    compared = both.select("id", "fingerprint", state.alias("state"))
-    differing = compared.where("state <> 'same'")
+    compared = both.select("id", "fingerprint", "rows", state.alias("state"))
     entries = f"{path}/comparisons/generation-{number}"
     compared.write.mode("overwrite").parquet(entries)
     compared = spark.read.schema(compared.schema).parquet(entries)
     differing = compared.where("state <> 'same'")
     if not known or not differing.isEmpty():
         wanted = differing.where("state <> 'gone'").select("id", "fingerprint")
-        new = given.join(wanted, ["id", "fingerprint"], "left_semi").dropDuplicates(["id"])
+        if not known and compared.agg(F.coalesce(F.sum("rows"), F.lit(0)) == F.count("*")).first()[0]:
+            new = given  # all of it, and no id twice
+        else:
+            new = given.join(if_small(wanted), ["id", "fingerprint"], "left_semi").dropDuplicates(["id"])
         own = differing.select("id", F.when(F.col("state") == "gone", _GONE).otherwise(_LIVE).alias("state"), "fingerprint")
         _write(spark, path, number, not known, own, new)
     return compared.groupBy("state").agg(F.count("*").alias("chunks"))

@@ -76,3 +76,19 @@ def test_scratch_deletes_what_it_made(spark):
     assert len(kept) == 5
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_postings_stay_where_they_are(spark, tmp_path):
+    # Two generations: what of the first is out of date is brought to the postings; these are not shuffled by id.
+    path = f"{tmp_path}/index"
+    X.refresh(spark, path, frame(spark, BASE))
+    X.refresh(spark, path, frame(spark, [(i, t + " more" if i == 5 else t, v) for i, t, v in BASE[1:]]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = X.postings(spark, path)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert {i for t, i in rows.collect() if t == "more"} == {5} and {i for _, i in rows.collect()} == set(range(1, 200))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -295,3 +295,13 @@ def test_lexical_top_cuts_in_the_task(spark, monkeypatch, rows):
     monkeypatch.setattr(retrieval, "BROADCAST_ROWS", rows)
     top = retrieval.lexical_top(asked, chunks, weights, 7, 6, {"name": 2.5})
     assert sorted(map(tuple, top.collect())) == want and len(want) == 28
+
+
+def test_hamming_matches_are_dealt_out(spark):
+    # One small file of signatures that all share a band: the work on it is no single task's.
+    signed = spark.range(60).select("id", F.shiftleft("id", 60).alias("signature")).coalesce(1)
+    found = dedup.hamming_matches(signed.where("id % 20 = 0"), signed)
+    assert found.rdd.getNumPartitions() > 1
+    rows = signed.collect()
+    want = {(a.id, b.id) for a in rows for b in rows if a.id % 20 == 0 and a.id != b.id and ((a.signature ^ b.signature) & (2**64 - 1)).bit_count() <= 4}
+    assert {(r.a, r.b) for r in found.collect()} == want and len(want) == found.count()

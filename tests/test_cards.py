@@ -170,3 +170,9 @@ def test_no_terms_across_parts(spark):
     row = [(1, "t", "https://x.org/z", "", "", "", 1.0, None, text, True)]
     rows = spark.createDataFrame(row, "id long, title string, url string, query string, description string, snippet string, metadata double, html string, text string, file boolean")
     assert C.entities(C.profiles(rows, v=V), Q.names(spark), ["ing of", "ying"], V).first().value_chain == ["ying"]
+
+
+def test_cards_leave_texts_with_the_profile(spark):
+    row = spark.createDataFrame([(1, "T", "https://a.org/x", "the", "d", "s", 1.0, None, "the thing of that. " * 40, True)], "id long, title string, url string, query string, description string, snippet string, metadata double, html string, text string, file boolean")
+    made = C.cards(row, Q.names(spark), Q.GROUNDING, v=Q.PROSE)
+    assert not {"full", "first", "two", "sampled", "text", "html", "entries"} & set(made.columns) and made.first().first_page_summary.startswith("the thing")

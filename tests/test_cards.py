@@ -176,3 +176,12 @@ def test_cards_leave_texts_with_the_profile(spark):
     row = spark.createDataFrame([(1, "T", "https://a.org/x", "the", "d", "s", 1.0, None, "the thing of that. " * 40, True)], "id long, title string, url string, query string, description string, snippet string, metadata double, html string, text string, file boolean")
     made = C.cards(row, Q.names(spark), Q.GROUNDING, v=Q.PROSE)
     assert not {"full", "first", "two", "sampled", "text", "html", "entries"} & set(made.columns) and made.first().first_page_summary.startswith("the thing")
+
+
+def test_searched_text_is_squeezed_and_dates_are_looked_for(spark):
+    # The first page ends in a blank, and a title has more than one: the whole still reads as if it had been squeezed.
+    body = "ab " * 833 + "on 2031-01-05 and in March 3, 2029. " + "cd " * 900
+    row = spark.createDataFrame([(1, " A  T ", "https://a.org/x", "the", "d", "s", 1.0, None, body, True)], "id long, title string, url string, query string, description string, snippet string, metadata double, html string, text string, file boolean")
+    made = C.profiles(row, v=Q.PROSE).select(C.entity_text().alias("t"), "first").first()
+    assert made.t == " ".join(made.t.split()) and made.t.startswith("A T title:") and made.t.endswith("cd cd")
+    assert [list(r.d) for r in spark.createDataFrame([(made.t,), ("none in 1999",), (None,)], "t string").select(C.T.dates(F.col("t")).alias("d")).collect()] == [["March 3, 2029", "2031-01-05", "2031", "2029"], [], []]

@@ -297,6 +297,39 @@ def test_lexical_top_cuts_in_the_task(spark, monkeypatch, rows):
     assert sorted(map(tuple, top.collect())) == want and len(want) == 28
 
 
+def test_only_tokens_asked_for_are_counted(spark, monkeypatch):
+    # Others of the texts are never shuffled; with too many to ask for, all are.
+    texts = ["the cat", "The CAT sat", None, "", "dog-the-dog", "\u212aat 42"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    asked = spark.createDataFrame([("a cat, the",), ("kat",), (None,)], "text string")
+    every = {r.token: (r.df, r.idf) for r in retrieval.idf(chunks, "text").collect()}
+    few = {r.token: (r.df, r.idf) for r in retrieval.idf(chunks, "text", asked).collect()}
+    assert few == {t: every[t] for t in ("cat", "the", "kat")} and few["the"][0] == 3
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 2)
+    assert {r.token: (r.df, r.idf) for r in retrieval.idf(chunks, "text", asked).collect()} == every
+
+
+def test_hits_of_many_queries_are_not_shuffled(spark, monkeypatch):
+    # 400 chunks that all meet all 12 questions: with more tokens than are brought at once, too, a task gives each question's best 3.
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 5)
+    chunks = spark.range(400, numPartitions=2).select("id", F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
+    asked = spark.range(12).select(F.col("id").alias("question"), F.lit(0).alias("variant"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"))
+    seen, own = [], retrieval.top_ranks
+    monkeypatch.setattr(retrieval, "top_ranks", lambda scores, top: seen.append(scores.count()) or own(scores, top))
+    top = retrieval.lexical_top(asked, chunks, retrieval.idf(chunks, "text", asked), 3, 6)
+    got = {(r.question, r["rank"]): r.id for r in top.collect()}
+    assert seen == [2 * 12 * 3]
+    assert got == {(q, k + 1): i for q in range(12) for k, i in enumerate([q, *(i for i in range(3) if i != q)][:3])}
+
+
+def test_words_of_a_text(spark):
+    texts = ["One, two  THREE", "-- a", "", None, "x" * 40_000, "\u0130stanbul \u212a 7", "a b c d e f g h i"]
+    key = lambda t: [w for w in re.sub("[^a-z0-9]+", " ", (t or "").lower()).split(" ") if w]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", F.array(*(T.nth_word(F.col("t"), n) for n in range(1, 9))).alias("w")).collect()
+    assert {r.i: r.w for r in got} == {i: [*key(t), *[""] * 8][:8] for i, t in enumerate(texts)}
+
+
 def test_hamming_matches_are_dealt_out(spark):
     # One small file of signatures that all share a band: the work on it is no single task's.
     signed = spark.range(60).select("id", F.shiftleft("id", 60).alias("signature")).coalesce(1)

@@ -1,7 +1,7 @@
 import pytest
 
 from lodeworks.plans import questions as Q
-from lodeworks.plans.answers import answers
+from lodeworks.plans.answers import answered, answers, structured_results
 
 SCHEMA = "row_key int, company string, category string, role string, product_service string, location string, primary_oems string, employment long, ev_battery_relevant string, industry_group string"
 ROWS = [
@@ -53,6 +53,17 @@ def test_question(told, k):
         assert said[k].text.split("\n", 3)[3] == lines
 
 
+def test_structured_results_need_no_texts(spark, told):
+    """Who is answered is known without the answers, with rows that no template has lines for, too; so is all that retrieval takes."""
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    hits = spark.createDataFrame([(r.question, r.row_key) for r in told[1]], "question long, row_key int")
+    said = spark.createDataFrame([(k, r.text) for k, r in told[2].items()], "question long, text string")
+    assert sorted(r.question for r in answered(hits).collect()) == sorted(told[2]) and any(r.template == "rows" for r in told[2].values())
+    full, bare = structured_results(said, hits, rows), structured_results(answered(hits), hits, rows)
+    assert "text" in full.columns and "text" not in bare.columns
+    assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, full.drop("text").collect())) and bare.count() > len(told[2])
+
+
 def test_many_rows_without_names(spark):
     rows = spark.createDataFrame([(i, f"C{i}", "Tier 1", "Lab" if i % 2 else "", "", "", "", i, "", "") for i in range(20)], SCHEMA)
     asked = spark.createDataFrame([(0, "How many by category?"), (1, "List all, and count by category"), (2, "Show all Tier 1 companies grouped by EV supply chain role")], "question long, text string")

@@ -185,3 +185,18 @@ def test_searched_text_is_squeezed_and_dates_are_looked_for(spark):
     made = C.profiles(row, v=Q.PROSE).select(C.entity_text().alias("t"), "first").first()
     assert made.t == " ".join(made.t.split()) and made.t.startswith("A T title:") and made.t.endswith("cd cd")
     assert [list(r.d) for r in spark.createDataFrame([(made.t,), ("none in 1999",), (None,)], "t string").select(C.T.dates(F.col("t")).alias("d")).collect()] == [["March 3, 2029", "2031-01-05", "2031", "2029"], [], []]
+
+
+def test_metadata_summary_of_blank_values(spark, tmp_path):
+    # Blank and missing values, and white space that the SQL doesn't squeeze.
+    import duckdb
+
+    from lodeworks.queries import ORACLES, QUERIES
+
+    rows = [(1, " " * 60 + "late", "en", "a", 64), (2, "", "de", "b", 0), (3, None, None, None, 0), (4, "a  \t b", "", "", 5), (5, " a\x0bb c　", "x  y", " s ", 7), (6, "no length", "en", "a", None), (7, "plain text " * 9, "en", "a", 99)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(ORACLES["metadata_summary"]).fetchall())
+    assert sorted(map(tuple, QUERIES["metadata_summary"](spark, str(tmp_path)).collect())) == want
+    assert want[0][1] == "title: en query: domain: a description: d content snippet:  metadata score: 64"

@@ -93,3 +93,18 @@ def test_nothing_asked(spark):
     one = spark.createDataFrame([(0, None), (1, "")], "question long, text string")
     names = Q.named(one, rows.limit(0))
     assert names.collect() == [] and Q.matched(one, names, rows.limit(0)).collect() == []
+
+
+def test_structured_search_takes_all_rows(spark, tmp_path, monkeypatch):
+    """Who names nothing gets structured results from a table of any size."""
+    from lodeworks.queries import ORACLES, retrieval
+
+    spark.range(200).selectExpr("cast(id as int) as s_suppkey", "concat('S', id) as s_name", "cast(id % 25 as int) as s_nationkey", "cast(id as double) as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(48).selectExpr("cast(id as int) as item_id", "'text' as text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.range(60).selectExpr("id as vec_id", "array(1.0f, 2.0f) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(40).selectExpr("id as doc_id", "concat('some words of text ', id, ' and more of them') as text", "'en' as lang", "'a' as source", "30L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(retrieval.V, "retrieve", lambda asked, v, chunks, weights, first, **_: first)
+    first = retrieval.retrieve_structured(spark, str(tmp_path)).collect()
+    for k in (5, 6, 11, 12, 22):  # How many companies by county, totals by role, ...
+        assert [r.row_key for r in sorted(first, key=lambda r: r.ord) if r.question == k] == ["", "0", "1", "2", "3", "4", "5"]
+    assert "150" not in ORACLES["retrieve_structured"] and "<= 150" in ORACLES["structured_filter"]

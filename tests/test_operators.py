@@ -109,3 +109,47 @@ def test_topics_over_their_share(spark):
     assert {i for i, (_, m) in out.items() if m} == {0, 1, 2, 4, 5} and out[3] == ("discard", False) and all(d == "review" for d, m in out.values() if m)
     few = ranking.diversified(df.where("id < 12"), "topic", "decision", [F.desc("score")], 0.2)
     assert few.where("moved").count() == 0 and few.count() == 12
+
+
+def test_near_links_leave_no_pair_out(spark):
+    """Pairs of very different lengths, of short bodies and of bodies that are alike at the beginning only."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base, head = text(70), text(5000)
+    bodies = [base, " ".join([base] * 4), "a b c d e f g", "a b c d e f g h", head + " other" * 8000, head + " thing" * 8000, f"{head} x", f"x {head}", text(50), text(50)]
+    df = spark.createDataFrame([(i, " ".join(b.split()[:8]), b) for i, b in enumerate(bodies)], "id long, title string, body string")
+    signed = df.join(dedup.simhash_table(df, "id", "body"), "id")
+    pairs = {(r.a, r.b) for r in dedup.near_pairs(signed).collect()}
+    assert pairs == {(0, 1), (2, 3), (6, 7)} and len(head) > 20_000
+    assert {r.id: (r.component, r.links) for r in dedup.near_links(signed).collect()} == {i: (i - i % 2, 1) for i in (0, 1, 2, 3, 6, 7)}
+
+
+def test_near_pairs_against_all_pairs_of_odd_titles(spark, monkeypatch):
+    """Titles of few, many and repeated words, equal ones and none; in blocks of five documents, too."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for i in range(150):
+        title = rng.choice([None, "", "w1", "w1 w1 w2", "w2 w1", *(" ".join(rng.choice(words[:9]) for _ in range(rng.randrange(1, 12))) for _ in range(8))])
+        base = random.Random(i // 5).choices(words, k=40)
+        rows.append((i, title, " ".join(rng.choice(words) if rng.random() < 0.1 else w for w in base) * rng.choice([1, 1, 3])))
+    df = spark.createDataFrame(rows, "id long, title string, body string")
+    signed = df.join(dedup.simhash_table(df, "id", "body"), "id")
+    sig = {r.id: r.signature & (2**64 - 1) for r in signed.collect()}
+
+    def cosine(a, b):
+        a, b = (a or "").split(), (b or "").split()
+        dot = sum(a.count(w) * b.count(w) for w in set(a))
+        return dot / ((sum(a.count(w) ** 2 for w in set(a)) * sum(b.count(w) ** 2 for w in set(b))) ** 0.5 or 1)
+
+    want = set()
+    for (i, t1, b1), (j, t2, b2) in itertools.combinations(rows, 2):
+        d, t, x = (sig[i] ^ sig[j]).bit_count(), cosine(t1, t2), cosine(b1, b2)
+        if (d <= 4 or t >= 0.6) and (x >= 0.88 or (d <= 2 and t >= 0.6) or (x >= 0.84 and t >= 0.8) or (d <= 12 and x >= 0.82)):
+            want.add((i, j))
+    assert {(r.a, r.b) for r in dedup.near_pairs(signed).collect()} == want and len(want) > 40
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 5)
+    assert {(r.a, r.b) for r in dedup.near_pairs(signed).collect()} == want
+    links = dedup.near_links(signed).collect()
+    assert sum(r.links for r in links) == 2 * len(want) and {r.id for r in links} == {i for p in want for i in p}

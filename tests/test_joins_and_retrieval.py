@@ -338,3 +338,12 @@ def test_hamming_matches_are_dealt_out(spark):
     rows = signed.collect()
     want = {(a.id, b.id) for a in rows for b in rows if a.id % 20 == 0 and a.id != b.id and ((a.signature ^ b.signature) & (2**64 - 1)).bit_count() <= 4}
     assert {(r.a, r.b) for r in found.collect()} == want and len(want) == found.count()
+
+
+def test_vectors_are_shuffled_in_their_own_precision(spark):
+    from lodeworks.operators import retrieval as V
+
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(6)], "id long, vector array<float>")
+    out = V.all_cosines(v, v.where("id = 2").withColumnRenamed("id", "reference"), 6)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array<double>" not in plan and {r.id: r.score for r in out.collect()} == {i: round((2 * i + 1) / ((i * i + 1) * 5) ** 0.5, 6) for i in range(6)}
